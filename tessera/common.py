@@ -71,7 +71,7 @@ def latest(df: DataFrame, key: Column, at: Column, payload: list[str]) -> DataFr
     packed into one struct before they are grouped.
     """
     packed = df.select(key.alias("key"), at.alias("at"), F.struct(*[F.col(c) for c in payload]).alias("row"))
-    order = F.struct(F.col("at").isNotNull(), F.col("at"), F.xxhash64(F.to_json("row")))
+    order = F.struct(F.col("at").isNotNull(), F.col("at"), F.xxhash64("row"))
     best = packed.where("key is not null").groupBy("key").agg(F.max_by(F.struct("at", "row"), order).alias("best"))
     return best.select("key", F.col("best.at").alias("at"), "best.row.*")
 
