@@ -8,12 +8,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.common import table
-from tessera.llm import encoding, packing, pieces
+from tessera.llm import encoding, packing, pieces, secrets
 
 #: Capacity of a container, limit of a piece and overlap of pieces, in tokens of byte_bpe_50k.
 CAPACITY, LIMIT, OVERLAP = 2048, 512, 64
 
 
+#: Where credentials are looked for: table, id, text and time of its rows.
+_TEXTS = (("entries", "id", "code", "updatedAt"), ("gemini_prompts", "promptId", "prompt", "at"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries, prompts = (secrets.found(table(spark, sf_dir, t[0]), *t) for t in _TEXTS)
+    return entries.unionByName(prompts)
+
+
+def p4_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """rec_table, rec_id, redactions, text: records with credentials and their texts without."""
+    entries, prompts = (secrets.cleaned(table(spark, sf_dir, t[0]), *t) for t in _TEXTS)
+    return entries.unionByName(prompts)
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.encode(table(spark, sf_dir, "documents"))
 
@@ -47,7 +62,7 @@ def p8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.split(table(spark, sf_dir, "documents"), limit=LIMIT, overlap=OVERLAP)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p6_ids, p6_round_trip, p7_containers, p7_fill, p8_pieces)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p4_found, p4_redacted, p6_ids, p6_round_trip, p7_containers, p7_fill, p8_pieces)}
 
 SQL: dict[str, str] = {
     "p6_round_trip": "SELECT true AS same, count(*) AS n FROM documents",
