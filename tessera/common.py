@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -76,12 +78,36 @@ def latest(df: DataFrame, key: Column, at: Column, payload: list[str]) -> DataFr
     return best.select("key", F.col("best.at").alias("at"), "best.row.*")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint in the shared folder of `spark.checkpoint.dir`.
-
-    Where the session names none, as in tests on one machine, a temporary folder is set.
-    """
-    sc = df.sparkSession.sparkContext
+def _shared(spark: SparkSession) -> str:
+    """The folder for checkpoints, shared by all executors: `spark.checkpoint.dir`, or a temporary one where the session names none."""
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cuts the lineage with a reliable checkpoint in the shared folder."""
+    _shared(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Writes a table in the shared folder and reads it back: for wide rows of which later steps read a few columns.
+
+    It is removed when the program ends.
+    """
+    spark = df.sparkSession
+    path = f"{_shared(spark)}/tessera-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+
+    def remove() -> None:
+        try:
+            jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+        except Exception:  # noqa: BLE001, S110 - the session is gone
+            pass
+
+    atexit.register(remove)
+    return spark.read.parquet(path)
