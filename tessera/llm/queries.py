@@ -7,13 +7,81 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.common import table
-from tessera.llm import encoding, packing, pieces, secrets
+from tessera.common import BLANKS, iso_ts, key_or_null, latest, norm_key, stored, table
+from tessera.llm import encoding, neardup, packing, pieces, secrets, splits
+from tessera.llm.components import components
 
 #: Capacity of a container, limit of a piece and overlap of pieces, in tokens of byte_bpe_50k.
 CAPACITY, LIMIT, OVERLAP = 2048, 512, 64
 
 
+#: Words of a run and least similarity of near-duplicate entries, as TESTDATA.md states them.
+WORDS, ALIKE = 3, 0.5
+
+
+def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splits.groups(splits.projects(table(spark, sf_dir, "project_records")))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splits.pairs(_groups(spark, sf_dir))
+
+
+def p1_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """slug, component, entries, split of every project."""
+    config = table(spark, sf_dir, "split_config").first()  # one row
+    entries = latest(table(spark, sf_dir, "entries"), key_or_null("id"), iso_ts("updatedAt"), ["project"])
+    sizes = entries.groupBy(key_or_null("project").alias("slug")).agg(F.count("*").alias("entries")).where("slug is not null")
+    return splits.assign(_groups(spark, sf_dir), sizes, config["ratios"].asDict(), config["splitSeed"])
+
+
+def p1_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """split, projects, entries, share of entries: how near the shares come to the ratios."""
+    by = p1_split(spark, sf_dir).groupBy("split").agg(F.count("*").alias("projects"), F.sum("entries").alias("entries"))
+    return by.crossJoin(F.broadcast(by.agg(F.sum("entries").alias("n")))).select("split", "projects", "entries", F.round(F.col("entries") / F.col("n"), 4).alias("share"))
+
+
+def _blank(c: str):
+    return F.coalesce(F.btrim(F.regexp_replace(c, r"\s+", " "), F.lit(BLANKS)), F.lit("")) == ""
+
+
+def _contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of entries with its content's class and set; the last bit of a class tells code from decision."""
+    text = F.when(~_blank("code"), F.col("code")).when(~_blank("decision"), F.col("decision"))
+    rows = table(spark, sf_dir, "entries").select("id", "updatedAt", (~_blank("code")).cast("long").alias("kind"), text.alias("content")).where("content is not null")
+    found = rows.select("id", "updatedAt", "kind", neardup.sets_of(F.col("content"), WORDS).alias("s"))
+    return found.select("id", "updatedAt", F.col("s.cls").bitwiseAND(F.lit(-2)).bitwiseOR(F.col("kind")).alias("cls"), F.col("s.grams").alias("grams"))
+
+
+def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, cls of the current row of each entry; entries without content have no class."""
+    blank = table(spark, sf_dir, "entries").where(_blank("code") & _blank("decision")).select("id", "updatedAt", F.lit(None).cast("long").alias("cls"))
+    held = latest(_contents(spark, sf_dir).drop("grams").unionByName(blank), key_or_null("id"), iso_ts("updatedAt"), ["cls"])
+    return held.where("cls is not null").select(F.col("key").alias("id"), "cls")
+
+
+def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classes = stored(_contents(spark, sf_dir).where("grams is not null").select("cls", "grams").dropDuplicates(["cls"]))
+    return neardup.links(classes, ALIKE).where((F.col("a").bitwiseAND(1)) == (F.col("b").bitwiseAND(1)))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.expand(_links(spark, sf_dir), _members(spark, sf_dir))
+
+
+def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, grp (the least id of the group), copies (entries of equal content), links (entries at least half the same) of every entry with content."""
+    members, links = stored(_members(spark, sf_dir)), stored(_links(spark, sf_dir))
+    classes = members.groupBy("cls").agg(F.min("id").alias("first"), F.count("*").alias("copies"))
+    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    linked = both.join(classes.select(F.col("cls").alias("b"), "copies"), "b").groupBy(F.col("a").alias("cls")).agg(F.sum("copies").alias("others"))
+    grouped = components(links).select(F.col("node").alias("cls"), "component")
+    wide = classes.join(linked, "cls", "left").join(grouped, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    names = wide.groupBy("component").agg(F.min("first").alias("grp"))
+    each = wide.join(names, "component").select("cls", "grp", "copies", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("links"))
+    return members.join(each, "cls").select("id", "grp", "copies", "links")
+
+
 #: Where credentials are looked for: table, id, text and time of its rows.
 _TEXTS = (("entries", "id", "code", "updatedAt"), ("gemini_prompts", "promptId", "prompt", "at"))
 
@@ -62,7 +130,7 @@ def p8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.split(table(spark, sf_dir, "documents"), limit=LIMIT, overlap=OVERLAP)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p4_found, p4_redacted, p6_ids, p6_round_trip, p7_containers, p7_fill, p8_pieces)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_split, p1_shares, p2_found, p2_groups, p4_found, p4_redacted, p6_ids, p6_round_trip, p7_containers, p7_fill, p8_pieces)}
 
 SQL: dict[str, str] = {
     "p6_round_trip": "SELECT true AS same, count(*) AS n FROM documents",
