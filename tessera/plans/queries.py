@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tessera.plans import outcomes
+from tessera.plans import outcomes, references
 from tessera.plans.registry import Book
 
-BOOKS: tuple[Book, ...] = (outcomes.BOOK,)
+BOOKS: tuple[Book, ...] = (outcomes.BOOK, references.BOOK)
 
 QUERIES = {name: f for book in BOOKS for name, f in book.queries.items()}
 SQL = {name: text for book in BOOKS for name, text in book.sql.items()}
