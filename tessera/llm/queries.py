@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.common import BLANKS, iso_ts, key_or_null, latest, norm_key, stored, table
-from tessera.llm import encoding, neardup, packing, pieces, secrets, splits
+from tessera.llm import encoding, neardup, overlap, packing, pieces, secrets, splits
 from tessera.llm.components import components
 
 #: Capacity of a container, limit of a piece and overlap of pieces, in tokens of byte_bpe_50k.
@@ -82,6 +82,70 @@ def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return members.join(each, "cls").select("id", "grp", "copies", "links")
 
 
+# Hashes of an empty text.
+_EMPTY = ("e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855", "da39a3ee5e6b4b0d3255bfef95601890afd80709", "d41d8cd98f00b204e9800998ecf8427e", "cf83e1357eefb8bdf1542850d66d8007d620e4050b5715dc83f4a921d36ce9ce47d0d13c5d85f2b0ff8318d2877eec2f63b931bd47417a81a538327af927da3e")
+
+
+def _code_hash(c: str):
+    """A hash without case, blanks and the algorithm's name; null where it says nothing."""
+    h = F.regexp_replace(norm_key(c), r"^(?:sha-?\d*|md5|blake\w*|xxh\w*)\s*[:=$-]\s*", "")
+    return F.when((h != "") & ~h.rlike("^0+$") & ~h.isin(*_EMPTY), h)
+
+
+def _code_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of entries, with the class of its code; null without code."""
+    rows = table(spark, sf_dir, "entries").select("id", "updatedAt", "status", "project", "codeHash", F.when(~_blank("code"), F.col("code")).alias("code"))
+    return rows.withColumn("s", neardup.sets_of(F.col("code"), WORDS)).withColumn("cls", F.when(F.col("code").isNotNull(), F.col("s.cls")))
+
+
+def _sided(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, cls, hash, split, source, side of active entries of projects with a split."""
+    held = latest(_code_classes(spark, sf_dir).drop("code", "s"), key_or_null("id"), iso_ts("updatedAt"), ["status", "project", "codeHash", "cls"])
+    active = held.where(norm_key("status") == "active").select(F.col("key").alias("id"), key_or_null("project").alias("slug"), "cls", _code_hash("codeHash").alias("hash"))
+    projects = splits.projects(table(spark, sf_dir, "project_records")).select("slug", "split", F.col("repo").alias("source"), overlap.sides(F.col("split")).alias("side"))
+    return active.join(projects.where("side is not null"), "slug")
+
+
+def _code_texts(spark: SparkSession, sf_dir: str, sided: DataFrame) -> DataFrame:
+    """cls, side, code: one text of each class that active entries of split projects have, and whether of train, of held-out ones or both (3)."""
+    asked = sided.where("cls is not null").groupBy("cls").agg(F.bit_or("side").alias("side"))
+    texts = _code_classes(spark, sf_dir).where("cls is not null").select("cls", "code")
+    return stored(texts.join(asked, "cls").dropDuplicates(["cls"]).select("cls", "side", "code"))
+
+
+def _overlaps(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Pairs of entries (train, held out) that are the same or almost the same, and the walk over the suffix array."""
+    sided = stored(_sided(spark, sf_dir))
+    texts = _code_texts(spark, sf_dir, sided)
+    found = overlap.array(texts)
+    train, held = (sided.where(F.col("side") == n).select(F.col("id").alias(f"{x}_id"), F.col("cls").alias(f"{x}_cls"), "hash") for n, x in ((overlap.TRAIN, "train"), (overlap.HELD_OUT, "held")))
+    t, h = train.where("train_cls is not null").drop("hash"), held.where("held_cls is not null").drop("hash")
+    near = overlap.links(found, texts, ALIKE).join(t, F.col("a") == F.col("train_cls")).join(h, F.col("b") == F.col("held_cls")).select("train_id", "held_id")
+    same = t.join(h, F.col("train_cls") == F.col("held_cls")).select("train_id", "held_id")
+    hashed = train.where("hash is not null").join(held, "hash").where("train_cls is null or held_cls is null").select("train_id", "held_id")
+    return near.unionByName(same).unionByName(hashed), found
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs, _ = _overlaps(spark, sf_dir)
+    return pairs.select(F.least("train_id", "held_id").alias("id_a"), F.greatest("train_id", "held_id").alias("id_b"))
+
+
+def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """split, source, entries, overlapping: active held-out entries and those found in train, per split and repository."""
+    pairs, _ = _overlaps(spark, sf_dir)
+    held = _sided(spark, sf_dir).where(F.col("side") == overlap.HELD_OUT).select("id", "split", F.coalesce("source", F.lit("unknown")).alias("source"))
+    hit = pairs.select(F.col("held_id").alias("id")).distinct().withColumn("hit", F.lit(1))
+    return held.join(hit, "id", "left").groupBy("split", "source").agg(F.count("*").alias("entries"), F.count("hit").alias("overlapping"))
+
+
+def p3_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, split, covered: words of each held-out entry's code that lie in spans of six words or more that train code has too."""
+    sided = stored(_sided(spark, sf_dir))
+    covered = overlap.coverage(overlap.array(_code_texts(spark, sf_dir, sided)))
+    return sided.where(F.col("side") == overlap.HELD_OUT).join(covered, "cls").select("id", "split", "covered")
+
+
 #: Where credentials are looked for: table, id, text and time of its rows.
 _TEXTS = (("entries", "id", "code", "updatedAt"), ("gemini_prompts", "promptId", "prompt", "at"))
 
@@ -130,7 +194,7 @@ def p8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.split(table(spark, sf_dir, "documents"), limit=LIMIT, overlap=OVERLAP)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_split, p1_shares, p2_found, p2_groups, p4_found, p4_redacted, p6_ids, p6_round_trip, p7_containers, p7_fill, p8_pieces)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_split, p1_shares, p2_found, p2_groups, p3_found, p3_report, p3_coverage, p4_found, p4_redacted, p6_ids, p6_round_trip, p7_containers, p7_fill, p8_pieces)}
 
 SQL: dict[str, str] = {
     "p6_round_trip": "SELECT true AS same, count(*) AS n FROM documents",
