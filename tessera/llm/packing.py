@@ -14,11 +14,13 @@ import bisect
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.common import checkpoint
+
 #: Buckets within a size, for ranks: so many tasks may share one size.
-BUCKETS = 256
+BUCKETS = 64
 
 
 def best_fill(counts: dict[int, int], room: int) -> dict[int, int]:
@@ -76,7 +78,7 @@ def pack(items: DataFrame, id_col: str, size_col: str, capacity: int) -> DataFra
     container counts from 0.
     """
     spark = items.sparkSession
-    sized = items.select(F.col(id_col).alias("id"), F.col(size_col).cast("long").alias("total")).where("total > 0")
+    sized = checkpoint(items.select(F.col(id_col).alias("id"), F.col(size_col).cast("long").alias("total"))).where("total > 0")  # sizes may be dear, and are read three times
     rest = sized.select("id", "total", (F.col("total") % capacity).cast("int").alias("size")).where("size > 0")
     bucket = F.pmod(F.xxhash64("id"), F.lit(BUCKETS)).cast("int")
     cells = rest.groupBy("size", bucket.alias("bucket")).agg(F.count("*").alias("n")).toPandas()  # <= capacity * BUCKETS rows
@@ -105,8 +107,6 @@ def pack(items: DataFrame, id_col: str, size_col: str, capacity: int) -> DataFra
                 container[i], place[i] = base + (rank - first) // each, shift + (rank - first) % each
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(batch.column("total")), batch.column("size"), pa.array(container), pa.array(place)], names=["id", "total", "size", "container", "place"])
 
-    from pyspark.sql import Window
-
     ranked = rest.withColumn("bucket", bucket).withColumn("nth", F.row_number().over(Window.partitionBy("size", "bucket").orderBy("id", "total")))
     kind = items.schema[id_col].dataType.simpleString()
     shared = ranked.mapInArrow(find, f"id {kind}, total long, size int, container long, place int").select(
