@@ -48,7 +48,7 @@ def sets_of(text: Column, k: int) -> Column:
             cls[i], n[i] = np.uint64(xxhash.xxh3_64_intdigest(raw)).astype(np.int64), len(values)
         return pa.StructArray.from_arrays([pa.array(cls), pa.array(n), pa.array(out, pa.binary())], ["cls", "n", "grams"])
 
-    return find(text)
+    return find.asNondeterministic()(text)  # else filters on the result would run it twice
 
 
 def _signed(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -187,7 +187,7 @@ def similarity(a: Column, b: Column) -> Column:
     def measure(x: pa.Array, y: pa.Array) -> pa.Array:
         return pa.array([grams.jaccard(p, q) for p, q in zip(x.to_pylist(), y.to_pylist())], pa.float64())
 
-    return measure(a, b)
+    return measure.asNondeterministic()(a, b)
 
 
 def blocks(hot: DataFrame, sketches: DataFrame, least: float) -> DataFrame:

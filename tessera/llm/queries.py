@@ -95,12 +95,12 @@ def _code_hash(c: str):
 def _code_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row of entries, with the class of its code; null without code."""
     rows = table(spark, sf_dir, "entries").select("id", "updatedAt", "status", "project", "codeHash", F.when(~_blank("code"), F.col("code")).alias("code"))
-    return rows.withColumn("s", neardup.sets_of(F.col("code"), WORDS)).withColumn("cls", F.when(F.col("code").isNotNull(), F.col("s.cls")))
+    return rows.withColumn("cls", F.when(F.col("code").isNotNull(), neardup.sets_of(F.col("code"), WORDS)["cls"]))
 
 
 def _sided(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, cls, hash, split, source, side of active entries of projects with a split."""
-    held = latest(_code_classes(spark, sf_dir).drop("code", "s"), key_or_null("id"), iso_ts("updatedAt"), ["status", "project", "codeHash", "cls"])
+    held = latest(_code_classes(spark, sf_dir).drop("code"), key_or_null("id"), iso_ts("updatedAt"), ["status", "project", "codeHash", "cls"])
     active = held.where(norm_key("status") == "active").select(F.col("key").alias("id"), key_or_null("project").alias("slug"), "cls", _code_hash("codeHash").alias("hash"))
     projects = splits.projects(table(spark, sf_dir, "project_records")).select("slug", "split", F.col("repo").alias("source"), overlap.sides(F.col("split")).alias("side"))
     return active.join(projects.where("side is not null"), "slug")
@@ -109,7 +109,8 @@ def _sided(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _code_texts(spark: SparkSession, sf_dir: str, sided: DataFrame) -> DataFrame:
     """cls, side, code: one text of each class that active entries of split projects have, and whether of train, of held-out ones or both (3)."""
     asked = sided.where("cls is not null").groupBy("cls").agg(F.bit_or("side").alias("side"))
-    texts = _code_classes(spark, sf_dir).where("cls is not null").select("cls", "code")
+    rows = table(spark, sf_dir, "entries").select("code").where(~_blank("code"))
+    texts = rows.select(neardup.sets_of(F.col("code"), WORDS)["cls"].alias("cls"), "code").hint("merge")  # its size is guessed from the schema, far too low to let it choose a broadcast
     return stored(texts.join(asked, "cls").dropDuplicates(["cls"]).select("cls", "side", "code"))
 
 
