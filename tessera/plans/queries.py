@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tessera.plans import datasets, evidence, outcomes, references, texts
+from tessera.plans import datasets, evidence, extraction, outcomes, ranking, references, texts
 from tessera.plans.registry import Book
 
-BOOKS: tuple[Book, ...] = (outcomes.BOOK, references.BOOK, texts.BOOK, datasets.BOOK, evidence.BOOK)
+BOOKS: tuple[Book, ...] = (outcomes.BOOK, references.BOOK, texts.BOOK, datasets.BOOK, evidence.BOOK, ranking.BOOK, extraction.BOOK)
 
 QUERIES = {name: f for book in BOOKS for name, f in book.queries.items()}
 SQL = {name: text for book in BOOKS for name, text in book.sql.items()}
