@@ -40,12 +40,13 @@ def deltas(changes: DataFrame) -> DataFrame:
 def orphans(references: DataFrame, changes: DataFrame) -> DataFrame:
     """The rows of `references` with `orphan`: whether their target doesn't stand at their time.
 
-    `references` has `key`, `ts` and any other columns, none of them named `slice`, `salt`, `stands` or `kind`. A null key
-    refers to nothing and is left out. A reference without time is judged by the last state. A change at the
-    very time of a reference comes before it.
+    `references` has `key`, `ts` and any other columns; one named `orphan` is replaced. A null key refers to nothing and
+    its row is left out. A reference without time is judged by the last state. A change at the very time of a reference
+    comes before it. Repeated rows come out as often as they come in; empty tables give empty ones.
     """
+    kept = [c for c in references.columns if c != "orphan"]
     at = F.coalesce("ts", F.lit(_LAST).cast("timestamp"))
-    refs = references.where("key is not null").withColumn("_at", at).withColumn("slice", F.to_date("_at"))
+    refs = references.where("key is not null").select("key", at.alias("at"), F.to_date(at).alias("slice"), F.struct(*kept).alias("row"))
     asked = refs.groupBy("key", "slice").agg(F.ceil(F.count("*") / SPREAD).cast("int").alias("salts"))
     daily = changes.groupBy("key", F.to_date("ts").alias("slice")).agg(F.max_by("stands", "ts").alias("stands"))
     entering = F.last("stands", ignorenulls=True).over(Window.partitionBy("key").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1))
@@ -53,13 +54,13 @@ def orphans(references: DataFrame, changes: DataFrame) -> DataFrame:
     merged = known.groupBy("key", "slice").agg(F.max("stands").alias("stands"), F.max("salts").alias("salts"))
     slices = merged.withColumn("entering", entering).where("salts is not null").select("key", "slice", "salts", "entering")
     spread = F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")
-    first = slices.select("key", "slice", spread, F.lit(None).cast("timestamp").alias("_at"), F.col("entering").alias("stands"))
-    inside = changes.withColumn("slice", F.to_date("ts")).join(slices, ["key", "slice"]).select("key", "slice", spread, F.col("ts").alias("_at"), "stands")
-    salted = refs.join(slices.select("key", "slice", "salts"), ["key", "slice"]).withColumn("salt", F.pmod(F.xxhash64(*references.columns), F.col("salts")).cast("int")).drop("salts")
+    first = slices.select("key", "slice", spread, F.lit(None).cast("timestamp").alias("at"), F.col("entering").alias("stands"))
+    inside = changes.select("key", F.to_date("ts").alias("slice"), F.col("ts").alias("at"), "stands").join(slices, ["key", "slice"]).select("key", "slice", spread, "at", "stands")
+    salted = refs.join(slices.select("key", "slice", "salts"), ["key", "slice"]).withColumn("salt", F.pmod(F.xxhash64("at", F.monotonically_increasing_id()), F.col("salts")).cast("int")).drop("salts")
     lined = salted.withColumn("kind", F.lit(1)).unionByName(first.unionByName(inside).withColumn("kind", F.lit(0)), allowMissingColumns=True)
-    state = F.last("stands", ignorenulls=True).over(Window.partitionBy("key", "slice", "salt").orderBy(F.col("_at").asc_nulls_first(), "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    judged = lined.withColumn("orphan", ~F.coalesce(state, F.lit(False))).where("kind = 1")
-    return judged.select(*references.columns, "orphan")
+    state = F.last("stands", ignorenulls=True).over(Window.partitionBy("key", "slice", "salt").orderBy(F.col("at").asc_nulls_first(), "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    judged = lined.withColumn("missing", ~F.coalesce(state, F.lit(False))).where("kind = 1")
+    return judged.select("row.*", F.col("missing").alias("orphan"))
 
 
 def standing(references: DataFrame, changes: DataFrame) -> DataFrame:
