@@ -14,7 +14,7 @@ def stars(keyed: DataFrame) -> DataFrame:
     `keyed` has `node` and `key`; null keys join nothing. A key shared by n nodes gives n edges, not n squared;
     its least node is found by a partial aggregation.
     """
-    used = keyed.where("node is not null and key is not null").distinct()
+    used = keyed.select("node", "key").where("node is not null and key is not null").distinct()
     least = used.groupBy("key").agg(F.min("node").alias("b"))
     return used.join(least, "key").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
 

@@ -65,7 +65,7 @@ def assign(groups: DataFrame, sizes: DataFrame, ratios: dict[str, float], seed:
     are placed at once by the room that then is left. So the draw of a light component depends on no other.
     `sizes` has `slug, entries`; projects without entries count as 0. Ties can't be: draws differ.
     """
-    sized = groups.join(sizes, "slug", "left").withColumn("entries", F.coalesce("entries", F.lit(0)).cast("long"))
+    sized = groups.select("slug", "component").join(sizes.select("slug", "entries"), "slug", "left").withColumn("entries", F.coalesce("entries", F.lit(0)).cast("long"))
     by_component = sized.groupBy("component").agg(F.sum("entries").alias("weight"))
     total = by_component.agg(F.coalesce(F.sum("weight"), F.lit(0))).first()[0]
     heavy = by_component.where((F.col("weight") >= HEAVY * total) & (F.col("weight") > 0)).orderBy(F.desc("weight"), "component").collect()
