@@ -78,7 +78,7 @@ def latest(df: DataFrame, key: Column, at: Column, payload: list[str]) -> DataFr
     return best.select("key", F.col("best.at").alias("at"), "best.row.*")
 
 
-def _shared(spark: SparkSession) -> str:
+def shared_folder(spark: SparkSession) -> str:
     """The folder for checkpoints, shared by all executors: `spark.checkpoint.dir`, or a temporary one where the session names none."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
@@ -88,7 +88,7 @@ def _shared(spark: SparkSession) -> str:
 
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a reliable checkpoint in the shared folder."""
-    _shared(df.sparkSession)
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -98,7 +98,7 @@ def stored(df: DataFrame) -> DataFrame:
     It is removed when the program ends.
     """
     spark = df.sparkSession
-    path = f"{_shared(spark)}/tessera-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/tessera-{uuid.uuid4().hex}"
     df.write.parquet(path)
 
     def remove() -> None:

@@ -115,3 +115,35 @@ def shared_terms(spark, sf_dir):
     words = F.array_distinct(F.regexp_extract_all(F.lower("decision"), F.lit("[a-z]+"), F.lit(0)))
     both = F.array_intersect(F.transform("inputs.name", F.lower), words)
     return entries(spark, sf_dir, "inputs", "decision").select("id", F.size(both).cast("long").alias("shared"), (F.size(both) > 0).alias("overlaps"))
+
+
+@BOOK.add(CURRENT + "SELECT project, status, count(*) AS entries, count(DISTINCT file) AS files FROM e WHERE project IS NOT NULL GROUP BY ALL")
+def stored_entries(spark, sf_dir):
+    """SRC04, SNK01, SNK02: current entries that break no rule, written as JSON lines behind the gate and read by schema again."""
+    import uuid
+
+    from tessera.common import shared_folder
+    from tessera.sources import files, sinks
+
+    rows = entries(spark, sf_dir, "status", "file").where("project is not null")
+    path = f"{shared_folder(spark)}/entries-{uuid.uuid4().hex}"
+    sinks.gated(rows, rows.where("id is null").select(F.lit("missing id").alias("problem")), path, ["file", "id"])
+    back = files.json_lines(spark, path, "id string, project string, status string, file string")
+    return back.groupBy("project", "status").agg(F.count("*").alias("entries"), F.countDistinct("file").alias("files"))
+
+
+def _stub(prompt: str, round_: int) -> dict:
+    """A client without a network: answers with the length, asks once more about long prompts, fails on prompts that begin with `v`."""
+    if prompt.startswith("v"):
+        raise RuntimeError("refused")
+    return {"answer": str(len(prompt)), "more": "again" if len(prompt) > 40 and round_ == 1 else None, "tokens": len(prompt)}
+
+
+@BOOK.add("""WITH f AS (SELECT DISTINCT ON (lower(trim(id))) lower(trim(id)) AS id, decision AS d FROM findings) SELECT id AS key, CASE WHEN starts_with(d, 'v') THEN NULL WHEN length(d) > 40 THEN CAST(length(d) + 6 AS VARCHAR) ELSE CAST(length(d) AS VARCHAR) END AS answer,
+CASE WHEN d = '' OR d IS NULL THEN 0 WHEN starts_with(d, 'v') THEN 1 WHEN length(d) > 40 THEN 2 ELSE 1 END AS rounds, CASE WHEN starts_with(d, 'v') THEN 'error' ELSE 'answered' END AS stopped FROM f WHERE d <> ''""")
+def adaptive_answers(spark, sf_dir):
+    """Conversations with a stub client; errors are values, rounds and retries are counted."""
+    from tessera.operators.adaptive import converse
+
+    f = findings(spark, sf_dir, "decision").where("decision <> ''")
+    return converse(f, "id", "decision", _stub, rounds=4, retries=1).select("key", "answer", "rounds", "stopped")
