@@ -13,6 +13,7 @@ import base64
 import binascii
 import re
 from collections.abc import Iterator
+from itertools import cycle
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -43,7 +44,7 @@ _BEARER = re.compile(r"\b[Bb]earer\s+([A-Za-z0-9._~+/=-]{12,})")
 _BASIC = re.compile(r"\b[Bb]asic\s+([A-Za-z0-9+/_-]{8,}={0,2})")
 _QUERY = re.compile(r"(?i)[?&;]((?:[a-z]+[_-])*(?:secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|password|passwd|pwd|signature|sig|key))=([^&;#\s\"'`<>]+)")
 _SETTING = re.compile(r"(?i)(?:^|[;\"'`\s])((?:password|pwd|accountkey|sharedaccesskey|secret))=([^;\"'`\s]+)(?=;)")
-_COMMAND = re.compile(r"\b(?:curl|wget|http)\b.*?\s(?:-u|--user(?:=|\s))\s*[\"']?[^\s:\"']+:([^\s\"'`]+)")
+_COMMAND = re.compile(r"\b(?:curl|wget|http)\s[^\n]{0,2000}?(?<=\s)(?:-u|--user(?:=|\s))\s*[\"']?[^\s:\"']+:([^\s\"'`]+)")
 _ENV = re.compile(r"(?:^|[\s\"'`;(])(?:export\s+)?([A-Za-z_][A-Za-z0-9_]*)=([^\s\"'`;,()]+)")
 _DEFAULT = re.compile(r"\$\{([A-Za-z_][A-Za-z0-9_]*):?[-=]([^}\s]+)\}")
 _PLAIN = re.compile(r"^(?:\s*\d+ \|)?\s*(?:- )?[\"']?([A-Za-z_][\w.-]*)[\"']?\s*:\s+([^\s\"'`{\[|>&*!,;][^\s]*?)\s*(?:#.*)?$")
@@ -177,7 +178,7 @@ def _line(line: str, at: int) -> Iterator[tuple[int, int]]:
         yield at + m.start(2), at + m.end(2)
     for m in _PROSE.finditer(line):
         value = m[2].rstrip(".")
-        if strong(value, "pass") and re.search(r"\d", value) and re.search(r"[A-Za-z]", value) and not re.search(r"[=\[\]{}<>]", value):
+        if strong(value, "pass") and (irregular(value) and not re.search(r"[.(]\w", value) or re.search(r"\d", value) and re.search(r"[A-Za-z]", value)) and not re.search(r"[=\[\]{}<>]", value):
             yield at + m.start(2), at + m.start(2) + len(value)
     if '"' in line or "'" in line or "`" in line:
         yield from _literals(line, at)
@@ -188,6 +189,13 @@ def _literals(line: str, at: int) -> Iterator[tuple[int, int]]:
     toks = [(m.lastgroup if m.lastgroup != "in" else "text", m) for m in _LEX.finditer(line)]
     kinds = ["text" if m["text"] is not None else "name" if m["name"] else "op" if m["op"] else "other" for _, m in toks]
     vals = [m["in"] if m["text"] is not None else m[0] for _, m in toks]
+    opener, open_ = [], []
+    for kind, value in zip(kinds, vals):
+        if kind == "op" and value in (")", "]", "}") and open_:
+            open_.pop()
+        opener.append(open_[-1] if open_ else -1)
+        if kind == "op" and value in ("(", "[", "{"):
+            open_.append(len(opener) - 1)
     i = 0
     while i < len(toks):
         if kinds[i] != "text":
@@ -198,20 +206,19 @@ def _literals(line: str, at: int) -> Iterator[tuple[int, int]]:
             run.append(j + 1)
             j += 2
         value = "".join(vals[k] for k in run)
-        found = any(strong(value, kind) for kind in _kinds(kinds, vals, i)) or len(run) > 1 and bool(m := _ISSUED.search(value)) and stands(m[0])
+        found = any(strong(value, kind) for kind in _kinds(kinds, vals, opener, i)) or len(run) > 1 and bool(m := _ISSUED.search(value)) and stands(m[0])
         if found:
             yield from ((at + toks[k][1].start("in"), at + toks[k][1].end("in")) for k in run)
         elif '\\"' in value or "\\'" in value:  # code inside a literal
             m = toks[i][1]
-            inner = re.sub(r"\\([\"'])", r" \1", m["in"])  # as long as before, so that places hold
-            for a, b in _literals(inner, 0):
-                cut = inner[a:b].rstrip(" ")
-                yield at + m.start("in") + a, at + m.start("in") + a + len(cut)
+            turn = cycle((" {}", "{} "))  # the blank outside the inner literal; as long as before, so that places hold
+            inner = re.sub(r"\\([\"'])", lambda q: next(turn).format(q[1]), m["in"])
+            yield from ((at + m.start("in") + a, at + m.start("in") + b) for a, b in _literals(inner, 0))
         i = j
 
 
-def _kinds(kinds: list[str], vals: list[str], i: int) -> set[str]:
-    """What the names before a literal call for."""
+def _kinds(kinds: list[str], vals: list[str], opener: list[int], i: int) -> set[str]:
+    """What the names before a literal call for; `opener` has the bracket around each token."""
     out: set[str | None] = set()
     j = i - 1
     while j >= 0 and vals[j] in ("(", "[") and kinds[j] == "op" and j and kinds[j - 1] == "op" and vals[j - 1] in ("=", ":", "("):
@@ -232,11 +239,8 @@ def _kinds(kinds: list[str], vals: list[str], i: int) -> set[str]:
     elif op == ",":
         if kinds[j - 1] == "text":
             out.add(named(vals[j - 1]))
-        k, deep = j - 1, 0
-        while k >= 0 and (deep or vals[k] != "(" or kinds[k] != "op"):
-            deep += (kinds[k] == "op") * ((vals[k] in (")", "]", "}")) - (vals[k] in ("(", "[", "{")))
-            k -= 1
-        if k > 0 and kinds[k - 1] == "name":
+        k = opener[j]
+        if k > 0 and vals[k] == "(" and kinds[k - 1] == "name":
             words = [w.lower() for w in _WORDS.findall(vals[k - 1].rsplit(".", 1)[-1])]
             if words and (words[-1] in LOGINS or "".join(words[-2:]) in LOGINS):
                 out.add("pass")
