@@ -71,7 +71,13 @@ def test_pack(spark, hot):
             for start, s in sorted(parts):
                 assert start == at
                 at += s
-    assert len(fill) <= 1.03 * sum(max(n or 0, 0) for _, n, _ in rows) / 100 + 2
+    rests, full = {}, 0
+    for _, n, _ in rows:
+        if (n or 0) > 0:
+            full += n // 100
+            if n % 100:
+                rests[n % 100] = rests.get(n % 100, 0) + 1
+    assert len(fill) == full + sum(times for times, _ in packing.patterns(rests, 100))
 
 
 def test_pack_nothing(spark):
