@@ -95,7 +95,7 @@ TEXTS = {
     "prose": "The sample is plain. It repeats! Does it end?  " * 120,
     "code": "function a(x) {\n  return x.map((y) => y + 1);\n}\n\n" * 90,
     "headings": "".join(f"# Part {i}\n\nSome words about {w} and {w}.\n\n" * 6 for i, w in enumerate(["apples", "rivers", "engines", "poems", "taxes"])) * 3,
-    "run": "=" * 30000,
+    "run": "=" * 60000,  # 938 tokens
     "letters": "".join(random.Random(1).choice("abcdefghij") for _ in range(9000)),
     "japanese": "記録を却下する人がいない。しきい値は返金を知らせる。" * 120,
     "minified": '{"a":1,"b":[2,3],"c":"d"},' * 400,
