@@ -4,8 +4,10 @@ A suffix is a text from one of its words on. Suffixes are taken where the hash o
 densely in short texts and more sparsely in long ones, so that a shared span has its suffixes at the same
 places wherever it stands. The array is parted by the first words of the suffixes and sorted within each
 part; suffixes with a long common prefix then stand next to each other, and where they belong to different
-splits they reveal a shared span. Spans are merged into what part of a record is covered, and pairs of records
-with shared spans are checked exactly.
+splits they reveal a shared span, and pairs of records with shared spans are checked exactly.
+
+What part of a record is covered is told by all of its words instead: spans of SPAN words or more are shared where
+runs of SPAN words are, so every run is looked up among those of train texts.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ TRAIN, HELD_OUT = 1, 2
 #: Words of a common prefix, at the least and then level by level; suffixes of a text with n runs: all below 32, then a half, a quarter, an eighth.
 LEVELS = (6, 9, 14, 24)
 REGION = 48
+#: Words of the least span that counts as shared.
+SPAN = 6
 #: Share of a record's suffixes, those in the largest regions, by which it needn't be looked for.
 HEAVY = 0.35
 
@@ -193,8 +197,52 @@ def links(found: DataFrame, texts: DataFrame, least: float, k: int = 3) -> DataF
     return neardup.measured(checkpoint(ordered), sets, least)
 
 
+def sequence_of(text: Column) -> Column:
+    """Hash of a text's words in their order; texts of one hash have the same spans at the same places."""
+
+    @F.arrow_udf("bigint")
+    def find(texts: pa.Array) -> pa.Array:
+        import xxhash
+
+        out = np.zeros(len(texts), np.int64)
+        for at, data, ends in grams.chunks(texts):
+            hashed, text = grams.words(data, ends)
+            bounds = np.searchsorted(text, np.arange(len(ends) + 1))
+            for i in range(len(ends)):
+                out[at + i] = np.uint64(xxhash.xxh3_64_intdigest(hashed[bounds[i] : bounds[i + 1]].tobytes())).astype(np.int64)
+        return pa.array(out)
+
+    return find.asNondeterministic()(text)
+
+
+def _train_runs(batches):
+    """Hashes of all runs of SPAN words, once per stretch of texts."""
+    for batch in batches:
+        for _, data, ends in grams.chunks(batch.column("code")):
+            key, _ = grams.runs(*grams.words(data, ends), SPAN)
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(key).astype(np.int64))], names=["key"])
+
+
+def _held_runs(batches):
+    """Rows (key, cls, pos): hash of each run of SPAN words, the text's class, place in words."""
+    for batch in batches:
+        cls = batch.column("cls").to_numpy()
+        for at, data, ends in grams.chunks(batch.column("code")):
+            hashed, text = grams.words(data, ends)
+            key, first = grams.runs(hashed, text, SPAN)
+            begin = np.searchsorted(text, np.arange(len(ends)), side="left")
+            yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(cls[text[first] + at]), pa.array(first - begin[text[first]])], names=["key", "cls", "pos"])
+
+
+def spans(texts: DataFrame) -> DataFrame:
+    """Shared spans as the walk has them (`a` null, `b` held out, `pos`, `len`), but all of them: each run of SPAN words of a held-out text that some train text has too. `texts` as for `array`, of classes by `sequence_of`."""
+    train = texts.where(F.col("side").bitwiseAND(TRAIN) > 0).select("code").mapInArrow(_train_runs, "key long").distinct()
+    held = texts.where(F.col("side").bitwiseAND(HELD_OUT) > 0).select("cls", "code").mapInArrow(_held_runs, "key long, cls long, pos long")
+    return held.join(train.hint("merge"), "key", "left_semi").select(F.lit(None).cast("long").alias("a"), F.col("cls").alias("b"), "pos", F.lit(SPAN).cast("long").alias("len"))
+
+
 def coverage(found: DataFrame) -> DataFrame:
-    """Columns `cls, covered`: how many words of each held-out class of texts lie in spans that train texts have too, overlaps counted once."""
+    """Columns `cls, covered`: how many words of each held-out class of texts lie in the spans found, overlaps counted once. All of them are counted with those of `spans`; those of `array` are a sample. Classes without spans have no row."""
     spans = found.where("b is not null and a is null").groupBy(F.col("b").alias("cls"), "pos").agg(F.max(F.col("pos") + F.col("len")).alias("end"))
     before = F.max("end").over(Window.partitionBy("cls").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))  # a record's own suffixes
     fresh = F.greatest(F.lit(0), F.col("end") - F.greatest("pos", F.coalesce(before, F.lit(0))))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.common import BLANKS, iso_ts, key_or_null, latest, norm_key, stored, table
@@ -92,25 +92,29 @@ def _code_hash(c: str):
     return F.when((h != "") & ~h.rlike("^0+$") & ~h.isin(*_EMPTY), h)
 
 
-def _code_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _set_class(code: Column) -> Column:
+    return neardup.sets_of(code, WORDS)["cls"]
+
+
+def _code_classes(spark: SparkSession, sf_dir: str, class_of: Callable[[Column], Column]) -> DataFrame:
     """Every row of entries, with the class of its code; null without code."""
     rows = table(spark, sf_dir, "entries").select("id", "updatedAt", "status", "project", "codeHash", F.when(~_blank("code"), F.col("code")).alias("code"))
-    return rows.withColumn("cls", F.when(F.col("code").isNotNull(), neardup.sets_of(F.col("code"), WORDS)["cls"]))
+    return rows.withColumn("cls", F.when(F.col("code").isNotNull(), class_of(F.col("code"))))
 
 
-def _sided(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _sided(spark: SparkSession, sf_dir: str, class_of: Callable[[Column], Column] = _set_class) -> DataFrame:
     """id, cls, hash, split, source, side of active entries of projects with a split."""
-    held = latest(_code_classes(spark, sf_dir).drop("code"), key_or_null("id"), iso_ts("updatedAt"), ["status", "project", "codeHash", "cls"])
+    held = latest(_code_classes(spark, sf_dir, class_of).drop("code"), key_or_null("id"), iso_ts("updatedAt"), ["status", "project", "codeHash", "cls"])
     active = held.where(norm_key("status") == "active").select(F.col("key").alias("id"), key_or_null("project").alias("slug"), "cls", _code_hash("codeHash").alias("hash"))
     projects = splits.projects(table(spark, sf_dir, "project_records")).select("slug", "split", F.col("repo").alias("source"), overlap.sides(F.col("split")).alias("side"))
     return active.join(projects.where("side is not null"), "slug")
 
 
-def _code_texts(spark: SparkSession, sf_dir: str, sided: DataFrame) -> DataFrame:
+def _code_texts(spark: SparkSession, sf_dir: str, sided: DataFrame, class_of: Callable[[Column], Column] = _set_class) -> DataFrame:
     """cls, side, code: one text of each class that active entries of split projects have, and whether of train, of held-out ones or both (3)."""
     asked = sided.where("cls is not null").groupBy("cls").agg(F.bit_or("side").alias("side"))
     rows = table(spark, sf_dir, "entries").select("code").where(~_blank("code"))
-    texts = rows.select(neardup.sets_of(F.col("code"), WORDS)["cls"].alias("cls"), "code").hint("merge")  # its size is guessed from the schema, far too low to let it choose a broadcast
+    texts = rows.select(class_of(F.col("code")).alias("cls"), "code").hint("merge")  # its size is guessed from the schema, far too low to let it choose a broadcast
     return stored(texts.join(asked, "cls").dropDuplicates(["cls"]).select("cls", "side", "code"))
 
 
@@ -141,10 +145,10 @@ def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, split, covered: words of each held-out entry's code that lie in spans of six words or more that train code has too."""
-    sided = stored(_sided(spark, sf_dir))
-    covered = overlap.coverage(overlap.array(_code_texts(spark, sf_dir, sided)))
-    return sided.where(F.col("side") == overlap.HELD_OUT).join(covered, "cls").select("id", "split", "covered")
+    """id, split, covered: words of each held-out entry's code that lie in spans of six words or more that train code has too; 0 without such spans or without code."""
+    sided = stored(_sided(spark, sf_dir, overlap.sequence_of))
+    covered = overlap.coverage(overlap.spans(_code_texts(spark, sf_dir, sided, overlap.sequence_of)))
+    return sided.where(F.col("side") == overlap.HELD_OUT).join(covered, "cls", "left").select("id", "split", F.coalesce("covered", F.lit(0)).alias("covered"))
 
 
 #: Where credentials are looked for: table, id, text and time of its rows.

@@ -166,3 +166,37 @@ def test_overlap_of_nothing(spark):
     assert overlap.links(found, none, 0.5).count() == 0 and overlap.coverage(found).count() == 0
     blank = spark.createDataFrame([(1, 1, ""), (2, 2, "a b"), (3, 2, None)], "cls long, side int, code string")
     assert overlap.links(overlap.array(blank), blank, 0.5).count() == 0
+
+
+def words_covered(text, train, k=6):
+    w = re.findall("[a-z0-9_]+", text.lower())
+    return len({j for i in range(len(w) - k + 1) if tuple(w[i : i + k]) in train for j in range(i, i + k)})
+
+
+def test_coverage_against_brute_force(spark):
+    rng = random.Random(12)
+    long = [rng.choice(WORDS) for _ in range(600)]
+    many, side = [" ".join(long)], [1]
+    for n in (5, 6, 8, 12, 40, 600):  # a span of n words in a text of its own
+        many.append(" ".join([f"x{n}y{i}" for i in range(100)] + long[150 : 150 + n] + [f"z{n}y{i}" for i in range(100)]))
+        side.append(2)
+    many += [*texts(rng, 10, 10), "p q r s t u p q r s t u", " ".join(["a b c d e f"] * 40)]
+    side += [rng.choice([1, 2, 3]) for _ in many[len(side) :]]
+    df = spark.createDataFrame([(i, s, t) for i, (s, t) in enumerate(zip(side, many))], "cls long, side int, code string")
+    got = {r.cls: r.covered for r in overlap.coverage(overlap.spans(df)).collect()}
+    train = {tuple(w[i : i + 6]) for s, t in zip(side, many) if s & 1 for w in [t.lower().split()] for i in range(len(w) - 5)}
+    want = {i: words_covered(t, train) for i, (s, t) in enumerate(zip(side, many)) if s & 2}
+    assert got == {i: n for i, n in want.items() if n} and [want[i] for i in range(1, 6)] == [0, 6, 8, 12, 40]
+
+
+def test_sequences_tell_order_and_repeats(spark):
+    many = ["a b c a b c", "A b-c a b c", "a b c a b c a b c", "b c a b c a", "", None]
+    got = [r.s for r in spark.createDataFrame([(t,) for t in many], "t string").select(overlap.sequence_of(F.col("t")).alias("s")).collect()]
+    assert got[0] == got[1] and got[4] == got[5] and len(set(got)) == 4
+
+
+def test_coverage_has_every_held_out_entry(spark, sf):
+    from tessera.llm import queries
+
+    rows = queries.p3_coverage(spark, sf).collect()
+    assert len(rows) == sum(r.entries for r in queries.p3_report(spark, sf).collect())
