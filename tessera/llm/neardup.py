@@ -3,13 +3,12 @@
 Every record is taken to the set of its runs of words; records with one set are one class. A class has a
 min-hash signature, of which each tree of the forest reads the values in an order of its own. Sorted in such an
 order, similar classes stand together: their labels share a long prefix. Two classes become candidates where
-they share a prefix of DEPTH values in some tree. In regions where more than REGION classes share it,
-the prefix grows until the region is small; a large region whose classes are alike on the whole, or that stays
-large to the end of the label, is compared block by block. Candidates whose signatures agree too little are dropped, the rest are checked on the sets
-themselves.
+they share a prefix of DEPTH values in some tree. Regions where more than REGION classes share it are compared block by
+block, all pairs of them: a longer prefix would part pairs that no other tree need bring together. Candidates whose
+signatures agree too little are dropped, the rest are checked on the sets themselves.
 
 With similarity s, a pair shares a prefix in one of the trees with probability 1 - (1 - s**4)**56: 0.9996 at 0.6
-and 0.973 at 0.5.
+and 0.973 at 0.5, however large the regions are.
 """
 
 from __future__ import annotations
@@ -25,9 +24,6 @@ from tessera.common import checkpoint
 from tessera.llm import grams
 
 TREES, DEPTH, REGION, BLOCK = 56, 4, 48, 512
-#: Share of the pairs of a large region that agree on the next value, an estimate of their mean similarity, from which
-#: the region is taken for one family and compared whole instead of by a longer prefix.
-ALIKE = 0.25
 #: Rows of one region that are held at once before its finished parts are let go.
 HOLD = 1 << 18
 #: Agreement of signatures, as a share of the similarity asked for, below which candidates are dropped.
@@ -88,23 +84,20 @@ def _plant(batches):
             yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(rest.astype(np.int64)), pa.array(cls)], names=["key", "rest", "cls"])
 
 
-def _near(rest: np.ndarray, cls: np.ndarray, key: int, level: int, out: list, hot: list, region: int) -> None:
-    """Candidates of a region: all of it if it is small, else of the regions of a longer prefix."""
+def _whole(key: int) -> int:
+    """What a large region is called."""
+    return hash((key,)) & ((1 << 62) - 1)
+
+
+def _near(cls: np.ndarray, key: int, out: list, hot: list, region: int) -> None:
+    """Candidates of a region: all of its pairs if it is small, else it is hot as a whole."""
     if len(cls) < 2:
         return
     if len(cls) <= region:
         i, j = np.triu_indices(len(cls), 1)
         out.append((np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j])))
-        return
-    if level < 4:
-        at = rest.astype(np.uint64) >> np.uint64(48 - 16 * level)
-        cuts = np.flatnonzero(np.diff(at)) + 1
-    shares = np.diff(np.concatenate(([0], cuts, [len(cls)]))) / len(cls) if level < 4 else np.ones(1)
-    if level == 4 or (shares**2).sum() >= ALIKE:
-        hot.append((cls, hash((key, level, int(rest[0]) >> (64 - 16 * level) if level else 0)) & ((1 << 62) - 1)))
     else:
-        for a, b in zip([0, *cuts], [*cuts, len(cls)]):
-            _near(rest[a:b], cls[a:b], key, level + 1, out, hot, region)
+        hot.append((cls, _whole(key)))
 
 
 def _walk(batches, region: int = REGION, hold: int = HOLD):
@@ -118,44 +111,45 @@ def _walk(batches, region: int = REGION, hold: int = HOLD):
         is_hot = np.arange(len(a)) >= n
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b, mask=is_hot), pa.array(b, mask=~is_hot)], names=["a", "b", "hot"])
 
-    def regions(key, rest, cls, ends) -> pa.RecordBatch:
+    def regions(key, cls, ends) -> pa.RecordBatch:
         out, hot, size = [], [], np.diff(np.concatenate(([0], ends)))
         starts = ends - size
+        if key[0] == loose:
+            hot.append((cls[: ends[0]], _whole(loose)))
         two = starts[size == 2]
         if len(two):
             out.append((np.minimum(cls[two], cls[two + 1]), np.maximum(cls[two], cls[two + 1])))
         for a, b in zip(starts[size > 2], ends[size > 2]):
-            _near(rest[a:b], cls[a:b], int(key[a]), 0, out, hot, region)
+            _near(cls[a:b], int(key[a]), out, hot, region)
         return emit(out, hot)
 
-    stuck = None  # a region let go in parts: all of its classes are hot
+    loose = None  # the key of a region let go in parts: each part is hot under the name of the whole, so that no pair is parted
+    stuck = None  # a part of it that is let go in parts itself: all of its classes are hot
     for batch in batches:
         key, rest, cls = (np.concatenate((h, batch.column(c).to_numpy())) for h, c in zip(held, ("key", "rest", "cls")))
         if stuck is not None:
             n = int(((key == stuck[0]) & (rest >> 48 == stuck[1])).sum())  # they come first
             if n:
-                yield emit([], [(cls[:n], hash(stuck) & ((1 << 62) - 1))])
+                yield emit([], [(cls[:n], hash(stuck) & ((1 << 62) - 1)), (cls[:n], _whole(loose))])
                 key, rest, cls = key[n:], rest[n:], cls[n:]
             if len(key):
                 stuck = None
         cuts = np.flatnonzero(np.diff(key)) + 1
         if len(cuts):
-            yield regions(key[: cuts[-1]], rest[: cuts[-1]], cls[: cuts[-1]], cuts)
+            yield regions(key[: cuts[-1]], cls[: cuts[-1]], cuts)
             key, rest, cls = key[cuts[-1] :], rest[cuts[-1] :], cls[cuts[-1] :]
-        if len(key) > hold:  # one region: what shares the whole label with none to come can go
+        if len(key) > hold:  # one region: it goes on in parts
             inner = np.flatnonzero(np.diff(rest.astype(np.uint64) >> np.uint64(48))) + 1
             cut = inner[-1] if len(inner) else 0
-            out, hot = [], []
-            if cut:
-                _near(rest[:cut], cls[:cut], int(key[0]), 0, out, hot, region)
-            else:
-                cut, stuck = len(cls), (int(key[0]), int(rest[0] >> 48))
+            loose, hot = int(key[0]), []
+            if not cut:
+                cut, stuck = len(cls), (loose, int(rest[0] >> 48))
                 hot.append((cls, hash(stuck) & ((1 << 62) - 1)))
-            yield emit(out, hot)
+            yield emit([], [*hot, (cls[:cut], _whole(loose))])
             key, rest, cls = key[cut:], rest[cut:], cls[cut:]
         held = [key, rest, cls]
     if len(held[0]):
-        yield regions(*held, np.array([len(held[0])]))
+        yield regions(held[0], held[2], np.array([len(held[0])]))
 
 
 def _sketch(batches):

@@ -118,6 +118,21 @@ def test_walk_lets_large_regions_go_in_parts():
     assert (60, 61) in pairs and {(a, b) for a in range(50, 60) for b in range(a + 1, 60)} <= pairs
 
 
+@pytest.mark.parametrize("hold", [10, 1 << 18])
+def test_walk_parts_no_pair_of_a_large_region(hold):
+    key = np.array([1] * 60 + [2, 2, 3], np.int64)
+    rest = np.array([i // 3 << 48 for i in range(60)] + [5, 5, 5], np.int64)  # spread evenly over 20 next values
+    cls = np.arange(63, dtype=np.int64)
+    batches = [pa.RecordBatch.from_arrays([pa.array(c[i : i + 7]) for c in (key, rest, cls)], names=["key", "rest", "cls"]) for i in range(0, 63, 7)]
+    rows = [r for b in neardup._walk(iter(batches), hold=hold) for r in b.to_pylist()]
+    hot, pairs = {}, {(r["a"], r["b"]) for r in rows if r["b"] is not None}
+    for r in rows:
+        if r["hot"] is not None:
+            hot.setdefault(r["hot"], set()).add(r["a"])
+    met = pairs | {(a, b) for h in hot.values() for a in h for b in h if a < b}
+    assert met == {(a, b) for a in range(60) for b in range(a + 1, 60)} | {(60, 61)}
+
+
 def test_empty_and_extra_columns(spark):
     none = spark.createDataFrame([], "cls long, grams binary")
     assert neardup.links(none, 0.5).count() == 0
