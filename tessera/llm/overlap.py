@@ -1,7 +1,7 @@
 """Records shared between splits (problem 3): a sparse suffix array over the words of all texts.
 
 A suffix is a text from one of its words on. Suffixes are taken where the hash of the next three words says so,
-densely in short texts and more sparsely in long ones, so that a shared span has its suffixes at the same
+densely in texts of few distinct runs and more sparsely in others, so that a shared span has its suffixes at the same
 places wherever it stands. The array is parted by the first words of the suffixes and sorted within each
 part; suffixes with a long common prefix then stand next to each other, and where they belong to different
 splits they reveal a shared span, and pairs of records with shared spans are checked exactly.
@@ -23,7 +23,7 @@ from tessera.common import checkpoint
 from tessera.llm import grams, neardup
 
 TRAIN, HELD_OUT = 1, 2
-#: Words of a common prefix, at the least and then level by level; suffixes of a text with n runs: all below 32, then a half, a quarter, an eighth.
+#: Words of a common prefix, at the least and then level by level; suffixes of a text with n distinct runs: all below 32, then a half, a quarter, an eighth.
 LEVELS = (6, 9, 14, 24)
 REGION = 48
 #: Words of the least span that counts as shared.
@@ -33,7 +33,7 @@ HEAVY = 0.35
 
 
 def _suffixes(batches):
-    """Rows (key, rest, cls, pos, info): hash of the first 6 words, bits of the hashes of the next ones, place in words; info packs how many suffixes of this level the text has, the level, the words from here to its end (up to 24) and its sides."""
+    """Rows (key, rest, cls, pos, info): hash of the first 6 words, bits of the hashes of the next ones, place in words; info packs how many suffixes of this level the text has, the level, the words from here to its end (up to 24) and its sides. Of suffixes of a text with one key and rest the first stands for all."""
     for whole in batches:
         for batch in (whole.slice(at, 2000) for at in range(0, len(whole), 2000)):
             cls, side = batch.column("cls").to_numpy(), batch.column("side").to_numpy()
@@ -43,13 +43,13 @@ def _suffixes(batches):
                 if not len(three):
                     continue
                 owner = text[first]
-                n = np.bincount(owner, minlength=len(ends))
+                runs = np.unique((owner.astype(np.uint64) << np.uint64(32)) | (three >> np.uint64(32)))  # the choice goes by the run, so repeats don't add to it
+                n = np.bincount((runs >> np.uint64(32)).astype(np.int64), minlength=len(ends))
                 step = np.where(n < 32, 1, np.where(n < 64, 2, np.where(n < 128, 4, 8))).astype(np.uint64)
                 take = (three >> np.uint64(7)) & (step[owner] - np.uint64(1)) == 0
                 low = (three >> np.uint64(7))[take]
                 level = np.where(low & np.uint64(1), 0, np.where(low & np.uint64(2), 1, np.where(low & np.uint64(4), 2, 3)))  # in how sparse a choice it still is
                 pos, owner = first[take], owner[take]
-                count = np.bincount(owner * 4 + level, minlength=4 * len(ends))[owner * 4 + level]
                 stop = np.searchsorted(text, np.arange(len(ends)), side="right")
                 begin = np.searchsorted(text, np.arange(len(ends)), side="left")
                 padded = np.concatenate((hashed, np.zeros(LEVELS[-1], np.uint64)))
@@ -61,9 +61,15 @@ def _suffixes(batches):
                         parts.append(grams.mix(acc))
                         depth += 1
                 rest = ((parts[1] >> np.uint64(42)) << np.uint64(42)) | ((parts[2] >> np.uint64(43)) << np.uint64(21)) | (parts[3] >> np.uint64(43))
+                key = parts[0]
+                order = np.lexsort((rest, key, owner))
+                again = (np.diff(owner[order]) == 0) & (key[order][1:] == key[order][:-1]) & (rest[order][1:] == rest[order][:-1])
+                first = np.sort(order[np.concatenate((np.ones(min(1, len(order)), bool), ~again))])
+                key, rest, pos, owner, level = (x[first] for x in (key, rest, pos, owner, level))
+                count = np.bincount(owner * 4 + level, minlength=4 * len(ends))[owner * 4 + level]
                 rows = owner + at
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(parts[0].astype(np.int64)), pa.array(rest.astype(np.int64)), pa.array(cls[rows]), pa.array((pos - begin[owner]).astype(np.int32)), pa.array((((count * 4 + level) * 32 + np.minimum(stop[owner] - pos, LEVELS[-1])) * 4 + side[rows]).astype(np.int32))],
+                    [pa.array(key.astype(np.int64)), pa.array(rest.astype(np.int64)), pa.array(cls[rows]), pa.array((pos - begin[owner]).astype(np.int32)), pa.array((((count * 4 + level) * 32 + np.minimum(stop[owner] - pos, LEVELS[-1])) * 4 + side[rows]).astype(np.int32))],
                     names=["key", "rest", "cls", "pos", "info"],
                 )
 

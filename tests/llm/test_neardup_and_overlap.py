@@ -183,6 +183,20 @@ def test_overlap_of_nothing(spark):
     assert overlap.links(overlap.array(blank), blank, 0.5).count() == 0
 
 
+def test_overlap_of_repeated_lines():
+    """A text of many words and few distinct runs has suffixes, and not one for each repeat."""
+    many = []
+    for i in range(40):
+        line = [f"w{i}x{j}" for j in range(7)]
+        many += [" ".join(line * 60), " ".join(line * 30 + ["other"] + line * 29)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(80), pa.int64()), pa.array([1, 2] * 40, pa.int32()), pa.array(many)], names=["cls", "side", "code"])
+    rows = pa.Table.from_batches(overlap._suffixes([batch])).sort_by([("key", "ascending"), ("rest", "ascending")])
+    n = np.bincount(rows.column("cls").to_numpy(), minlength=80)
+    assert n.min() >= 7 and n.max() < 100
+    found = [r for b in overlap._walk(iter(rows.to_batches())) for r in b.to_pylist()]
+    assert {(r["a"], r["b"]) for r in found if r["a"] is not None and r["b"] is not None} == {(i, i + 1) for i in range(0, 80, 2)}
+
+
 def words_covered(text, train, k=6):
     w = re.findall("[a-z0-9_]+", text.lower())
     return len({j for i in range(len(w) - k + 1) if tuple(w[i : i + k]) in train for j in range(i, i + k)})
