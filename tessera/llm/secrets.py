@@ -44,16 +44,18 @@ _BEARER = re.compile(r"\b[Bb]earer\s+([A-Za-z0-9._~+/=-]{12,})")
 _BASIC = re.compile(r"\b[Bb]asic\s+([A-Za-z0-9+/_-]{8,}={0,2})")
 _QUERY = re.compile(r"(?i)[?&;]((?:[a-z]+[_-])*(?:secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|password|passwd|pwd|signature|sig|key))=([^&;#\s\"'`<>]+)")
 _SETTING = re.compile(r"(?i)(?:^|[;\"'`\s])((?:password|pwd|accountkey|sharedaccesskey|secret))=([^;\"'`\s]+)(?=;)")
-_COMMAND = re.compile(r"\b(?:curl|wget|http)\s[^\n]{0,2000}?(?<=\s)(?:-u|--user(?:=|\s))\s*[\"']?[^\s:\"']+:([^\s\"'`]+)")
+_COMMAND = re.compile(r"\b(?:curl|wget|http)\s")
+_USER = re.compile(r"(?<=\s)(?:-u|--user(?:=|\s))\s*[\"']?[^\s:\"']+:([^\s\"'`]+)")
 _ENV = re.compile(r"(?:^|[\s\"'`;(])(?:export\s+)?([A-Za-z_][A-Za-z0-9_]*)=([^\s\"'`;,()]+)")
 _DEFAULT = re.compile(r"\$\{([A-Za-z_][A-Za-z0-9_]*):?[-=]([^}\s]+)\}")
 _PLAIN = re.compile(r"^(?:\s*\d+ \|)?\s*(?:- )?[\"']?([A-Za-z_][\w.-]*)[\"']?\s*:\s+([^\s\"'`{\[|>&*!,;][^\s]*?)\s*(?:#.*)?$")
 _PROSE = re.compile(r"(?i)\b(password|passwd|pwd|passphrase|passcode|secret|token|api[ -]?key|access[ -]?key)(?:\s+(?:is|was|to|for \w+ is))?\s*[:=]?\s+[\"'`]?([^\s\"'`,;()]{6,})")
 
 #: Hints of a credential in lower case, and what must stand at the hint; plain search is faster than one pattern over all text.
+#: They let through every line in which a rule can find something: a name may go on with a capital (apiKeyValue), and a literal may be put together from parts.
 _HINTS = [
-    *((w, None) for w in ("passw", "passphrase", "passcode", "pwd", "secret", "token", "credential", "bearer", "private key", "curl ", "wget ", "akia", "asia", "glpat-", "npm_", "xox", "pypi-", "aiza", "github_pat", "whsec_", "xai-", "ya29", "sq0", "_v1_", "setpass", "signin", "jwt", "authorization", "basicauth")),
-    *((w, re.compile(p)) for w, p in (("login", r"(?i)login\b"), ("auth", r"(?i)auth(?:enticate)?(?![a-z])"), ("key", r"(?i)keys?(?![a-z])"), ("pass", r"(?i)pass(?![a-z])"), ("pat", r"(?i)(?<![a-z])pat(?![a-z])"), ("basic ", r"(?i)basic [A-Za-z0-9+/_-]{8,}=*"), ("://", r"://[^\s/]*:[^\s/]*@"), ("eyj", r"eyJ"), ("sk-", r"(?<![A-Za-z0-9])sk-"), ("sk_", r"(?<![A-Za-z0-9])sk_"), ("rk_", r"(?<![A-Za-z0-9])rk_"), ("hf_", r"(?<![A-Za-z0-9])hf_"), ("sg.", r"(?<![A-Za-z0-9])SG\."), *((f"gh{c}_", rf"(?<![A-Za-z0-9])gh{c}_") for c in "pousr"), ("shp", r"(?<![A-Za-z0-9])shp[a-z]+_"))),
+    *((w, None) for w in ("passw", "passphrase", "passcode", "pwd", "secret", "token", "credential", "bearer", "private key", "curl ", "wget ", "http ", "akia", "asia", "glpat-", "npm_", "xox", "pypi-", "aiza", "github_pat", "whsec_", "xai-", "ya29", "sq0", "_v1_", "setpass", "signin", "jwt", "authorization", "basicauth")),
+    *((w, re.compile(p)) for w, p in (("log", r"(?i:log[\W_]*in)(?![A-Za-z0-9])"), ("sign", r"(?i:sign[\W_]+in)(?![a-z])"), ("auth", r"(?i:auth(?:enticate)?)(?![a-z])"), ("key", r"(?i:keys?)(?![a-z])"), ("pass", r"(?i:pass)(?![a-z])"), ("pw", r"(?i:pw)(?![a-z])"), ("pat", r"(?i:pat)(?![a-z])"), ("sig", r"(?i:sig(?:nature)?)="), ("basic", r"(?i:basic)\s+[A-Za-z0-9+/_-]{8,}=*"), ("+", r"\+\s*[\"'`]"), ("://", r"://[^\s/]*:[^\s/]*@"), ("eyj", r"eyJ"), ("sk-", r"(?<![A-Za-z0-9])sk-"), ("sk_", r"(?<![A-Za-z0-9])sk_"), ("rk_", r"(?<![A-Za-z0-9])rk_"), ("hf_", r"(?<![A-Za-z0-9])hf_"), ("sg.", r"(?<![A-Za-z0-9])SG\."), *((f"gh{c}_", rf"(?<![A-Za-z0-9])gh{c}_") for c in "pousr"), ("shp", r"(?<![A-Za-z0-9])shp[a-z]+_"))),
 ]
 
 
@@ -140,6 +142,14 @@ def _basic(value: str) -> bool:
     return bool(colon and secret.strip()) and text.isprintable() and stands(secret)
 
 
+def _users(line: str) -> Iterator[re.Match]:
+    """The first user with password after each command, however far off; each part of the line is read once."""
+    m = _COMMAND.search(line)
+    while m and (user := _USER.search(line, m.end())):
+        yield user
+        m = _COMMAND.search(line, user.end())
+
+
 def _line(line: str, at: int) -> Iterator[tuple[int, int]]:
     """Spans of credentials within one line that begins at `at`."""
     for m in _ISSUED.finditer(line):
@@ -171,7 +181,7 @@ def _line(line: str, at: int) -> Iterator[tuple[int, int]]:
     for m in _DEFAULT.finditer(line) if "${" in line else ():
         if (kind := named(m[1])) and strong(m[2], kind):
             yield at + m.start(2), at + m.end(2)
-    for m in _COMMAND.finditer(line) if "curl " in line or "wget " in line or "http " in line else ():
+    for m in _users(line) if "curl " in line or "wget " in line or "http " in line else ():
         if stands(m[1]):
             yield at + m.start(1), at + m.end(1)
     if (m := _PLAIN.match(line)) and (kind := named(m[1])) and strong(m[2], kind):
@@ -266,7 +276,7 @@ def spans(text: str | None) -> list[tuple[int, int, int]]:
             end = text.find(f"-----END {m[1]}-----", m.end())
             stop = _PEM.search(text, m.end())
             if end < 0 or stop and stop.start() < end:
-                end = min(m.end() + 8000, stop.start() if stop else len(text))
+                end = stop.start() if stop else len(text)
                 body = re.match(r"(?:(?:\\r|\\n|\s|\d+ \||[#*/>\"'+]|[A-Za-z0-9+/=]{16,})+)", text[m.end() : end])
                 end = m.end() + (body.end() if body else 0)
             body = [b for b in _BODY.finditer(text.replace("\\n", "  ").replace("\\r", "  "), m.end(), end) if not b[0].isdigit()]
