@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -79,10 +80,17 @@ def latest(df: DataFrame, key: Column, at: Column, payload: list[str]) -> DataFr
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder for checkpoints, shared by all executors: `spark.checkpoint.dir`, or a temporary one where the session names none."""
+    """The folder for checkpoints, shared by all executors: `spark.checkpoint.dir`.
+
+    Only a session in one process (`local[...]`, as in tests) may leave it unset: its temporary folder is then used. Anywhere
+    else executors couldn't see such a folder, and an error says so.
+    """
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-checkpoint-"))
+        folder = sc.getConf().get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tessera-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 

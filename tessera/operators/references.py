@@ -1,10 +1,10 @@
-"""References to records that don't exist (problem 5): existence as signed changes, references judged at their time.
+"""References to records that don't exist (problem 5): signed counts of existence per key, references judged at their time.
 
-A target's rows and removals are changes of its existence, +1 or -1. A reference made at time t is an orphan
-if the changes of its target up to t sum to nothing. To find that for every reference without bringing a key's
-whole history into one task, time is cut into slices: the state with which a key enters a slice comes from one
-small aggregate per key and slice, and only inside a slice are changes and references laid side by side. A
-slice of a key that holds very many references is spread over several tasks.
+A target's rows and removals become signed changes of its existence, +1 where it begins to stand and -1 where it ends.
+A reference made at time t is an orphan if the changes of its target up to t sum to nothing. To sum them for every
+reference without bringing a key's whole history into one task, time is cut into slices: what a key's changes sum to
+when it enters a slice comes from one small aggregate per key and slice, and only inside a slice are changes and
+references laid side by side. A slice of a key that holds very many references is spread over several tasks.
 """
 
 from __future__ import annotations
@@ -32,9 +32,22 @@ def changes(appearances: DataFrame, removals: DataFrame) -> DataFrame:
 
 
 def deltas(changes: DataFrame) -> DataFrame:
-    """Columns `key, ts, delta`: +1 where a target begins to stand, -1 where it ends; other changes are none."""
-    before = F.coalesce(F.lag("stands").over(Window.partitionBy("key").orderBy("ts")), F.lit(False))
-    return changes.withColumn("delta", F.col("stands").cast("int") - before.cast("int")).where("delta <> 0").select("key", "ts", "delta")
+    """Columns `key, slice, ts, delta`: +1 where a target begins to stand, -1 where it ends; other changes are none. A slice is a day.
+
+    A state is held against the one before it in its slice, and the first of a slice against the last of the slice before.
+    """
+    sliced = changes.select("key", F.to_date("ts").alias("slice"), "ts", F.col("stands").cast("int").alias("stands"))
+    last = sliced.groupBy("key", "slice").agg(F.max_by("stands", "ts").alias("stands"))
+    entering = F.lag("stands").over(Window.partitionBy("key").orderBy("slice"))
+    within = F.lag("stands").over(Window.partitionBy("key", "slice").orderBy("ts"))
+    both = sliced.join(last.select("key", "slice", entering.alias("entering")), ["key", "slice"]).withColumn("before", F.coalesce(within, "entering", F.lit(0)))
+    return both.select("key", "slice", "ts", (F.col("stands") - F.col("before")).alias("delta")).where("delta <> 0")
+
+
+def _spread(references: DataFrame, columns: list[str]) -> Column:
+    """A hash by which rows of one key and slice are spread; the same whenever a task is run again."""
+    plain = [c for c in columns if "map<" not in references.schema[c].dataType.simpleString()]  # maps can't be hashed
+    return F.xxhash64("at", *[F.col("row")[c] for c in plain])
 
 
 def orphans(references: DataFrame, changes: DataFrame) -> DataFrame:
@@ -48,23 +61,23 @@ def orphans(references: DataFrame, changes: DataFrame) -> DataFrame:
     at = F.coalesce("ts", F.lit(_LAST).cast("timestamp"))
     refs = references.where("key is not null").select("key", at.alias("at"), F.to_date(at).alias("slice"), F.struct(*kept).alias("row"))
     asked = refs.groupBy("key", "slice").agg(F.ceil(F.count("*") / SPREAD).cast("int").alias("salts"))
-    daily = changes.groupBy("key", F.to_date("ts").alias("slice")).agg(F.max_by("stands", "ts").alias("stands"))
-    entering = F.last("stands", ignorenulls=True).over(Window.partitionBy("key").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1))
-    known = daily.withColumn("salts", F.lit(None).cast("int")).unionByName(asked.withColumn("stands", F.lit(None).cast("boolean")))
-    merged = known.groupBy("key", "slice").agg(F.max("stands").alias("stands"), F.max("salts").alias("salts"))
-    slices = merged.withColumn("entering", entering).where("salts is not null").select("key", "slice", "salts", "entering")
+    signed = deltas(changes)
+    sums = signed.groupBy("key", "slice").agg(F.sum("delta").alias("delta")).withColumn("salts", F.lit(None).cast("int"))
+    known = sums.unionByName(asked.withColumn("delta", F.lit(None).cast("long"))).groupBy("key", "slice").agg(F.sum("delta").alias("delta"), F.max("salts").alias("salts"))
+    entering = F.sum("delta").over(Window.partitionBy("key").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1))
+    slices = known.withColumn("entering", F.coalesce(entering, F.lit(0))).where("salts is not null").select("key", "slice", "salts", "entering")
     spread = F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")
-    first = slices.select("key", "slice", spread, F.lit(None).cast("timestamp").alias("at"), F.col("entering").alias("stands"))
-    inside = changes.select("key", F.to_date("ts").alias("slice"), F.col("ts").alias("at"), "stands").join(slices, ["key", "slice"]).select("key", "slice", spread, "at", "stands")
-    salted = refs.join(slices.select("key", "slice", "salts"), ["key", "slice"]).withColumn("salt", F.pmod(F.xxhash64("at", F.monotonically_increasing_id()), F.col("salts")).cast("int")).drop("salts")
+    first = slices.select("key", "slice", spread, F.lit(None).cast("timestamp").alias("at"), F.col("entering").alias("delta"))
+    inside = signed.join(slices, ["key", "slice"]).select("key", "slice", spread, F.col("ts").alias("at"), F.col("delta").cast("long").alias("delta"))
+    salted = refs.join(slices.select("key", "slice", "salts"), ["key", "slice"]).withColumn("salt", F.pmod(_spread(references, kept), F.col("salts")).cast("int")).drop("salts")
     lined = salted.withColumn("kind", F.lit(1)).unionByName(first.unionByName(inside).withColumn("kind", F.lit(0)), allowMissingColumns=True)
-    state = F.last("stands", ignorenulls=True).over(Window.partitionBy("key", "slice", "salt").orderBy(F.col("at").asc_nulls_first(), "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    judged = lined.withColumn("missing", ~F.coalesce(state, F.lit(False))).where("kind = 1")
+    existence = F.sum(F.coalesce("delta", F.lit(0))).over(Window.partitionBy("key", "slice", "salt").orderBy(F.col("at").asc_nulls_first(), "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    judged = lined.withColumn("missing", existence <= 0).where("kind = 1")
     return judged.select("row.*", F.col("missing").alias("orphan"))
 
 
 def standing(references: DataFrame, changes: DataFrame) -> DataFrame:
     """Columns `key, refs, existence`: signed counts of each key as of now. Zero existence with positive refs is an orphan key."""
     counts = references.where("key is not null").select("key", F.lit(1).alias("refs"), F.lit(0).alias("existence"))
-    now = changes.groupBy("key").agg(F.max_by("stands", "ts").cast("int").alias("existence")).select("key", F.lit(0).alias("refs"), "existence")
+    now = deltas(changes).select("key", F.lit(0).alias("refs"), F.col("delta").alias("existence"))
     return counts.unionByName(now).groupBy("key").agg(F.sum("refs").alias("refs"), F.sum("existence").alias("existence"))
