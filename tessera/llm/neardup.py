@@ -152,7 +152,7 @@ def _walk(batches, region: int = REGION, hold: int = HOLD):
         yield regions(held[0], held[2], np.array([len(held[0])]))
 
 
-def _sketch(batches):
+def sketch(batches):
     """Four bits of each value of the signature, packed."""
     for batch in _small(batches):
         if len(batch):
@@ -162,7 +162,7 @@ def _sketch(batches):
             yield pa.RecordBatch.from_arrays([pa.array(cls), pa.array([x.tobytes() for x in packed], pa.binary())], names=["cls", "sketch"])
 
 
-def _agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Similarity as the sketches tell it: agreeing halves of bytes, less those that agree by chance."""
     x = a ^ b
     share = ((x & 15) == 0).sum(-1) + ((x >> 4) == 0).sum(-1)
@@ -177,7 +177,7 @@ def alike(a: Column, b: Column, least: float) -> Column:
         if not len(x):
             return pa.array([], pa.bool_())
         rows = [np.frombuffer(b"".join(v.to_pylist()), np.uint8).reshape(len(v), -1) for v in (x, y)]
-        return pa.array(_agreement(*rows) >= least * SLACK)
+        return pa.array(agreement(*rows) >= least * SLACK)
 
     return check(a, b)
 
@@ -209,7 +209,7 @@ def blocks(hot: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
         left, right = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for i in left:
-            near = right[_agreement(rows[i], rows[right]) >= least * SLACK]
+            near = right[agreement(rows[i], rows[right]) >= least * SLACK]
             near = near[cls[near] != cls[i]]
             a.append(np.minimum(cls[i], cls[near]))
             b.append(np.maximum(cls[i], cls[near]))
@@ -227,7 +227,7 @@ def links(classes: DataFrame, least: float) -> DataFrame:
     partitions = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     labels = classes.mapInArrow(_plant, "key long, rest long, cls long")
     found = checkpoint(labels.repartition(partitions, "key").sortWithinPartitions("key", "rest").mapInArrow(partial(_walk, region=REGION, hold=HOLD), "a long, b long, hot long"))
-    sketches = classes.mapInArrow(_sketch, "cls long, sketch binary")
+    sketches = classes.mapInArrow(sketch, "cls long, sketch binary")
     near = found.where("b is not null").select("a", "b").distinct()
     near = near.join(sketches.select(F.col("cls").alias("a"), F.col("sketch").alias("x")), "a").join(sketches.select(F.col("cls").alias("b"), F.col("sketch").alias("y")), "b")
     near = near.where(alike(F.col("x"), F.col("y"), least)).select("a", "b")

@@ -1,13 +1,18 @@
-"""Records shared between splits (problem 3): a sparse suffix array over the words of all texts.
-
-A suffix is a text from one of its words on. Suffixes are taken where the hash of the next three words says so,
-densely in texts of few distinct runs and more sparsely in others, so that a shared span has its suffixes at the same
-places wherever it stands. The array is parted by the first words of the suffixes and sorted within each
-part; suffixes with a long common prefix then stand next to each other, and where they belong to different
-splits they reveal a shared span, and pairs of records with shared spans are checked exactly.
-
-What part of a record is covered is told by all of its words instead: spans of SPAN words or more are shared where
-runs of SPAN words are, so every run is looked up among those of train texts.
+"""Records shared between splits (problem 3): a partitioned suffix array over the words of all texts.
+
+Every place of every text begins a suffix. Suffixes are sorted by their head, the hash of their first SPAN words, and
+the array is parted by range, so that a head many texts have is split over tasks like any other. Where adjacent
+suffixes of different splits have one head, a span of SPAN words or more is shared; longer spans are runs of
+suffixes that follow each other in the text, so no order beyond the head is needed. Regions at the borders of
+partitions, and regions too large to be held, are judged by what all of their parts together hold. Merged per
+record, the shared suffixes are its coverage.
+
+Coverage also bounds what can be similar. Of two texts of which the larger has n distinct runs of three words and which
+share at least half of all, at most a sixth of n were cut by edits, and an edit that cuts two runs of three words cuts at
+most five of SPAN: so both have at least n / 6 - 3 shared suffixes in common. Texts with fewer shared suffixes than that
+have no partner, and of the others only the rarest suffixes are compared, as many as it takes that two partners must
+meet in one of them. In texts of fewer than FEW runs, where this says too little, suffixes with heads of SHORT words
+are in the array too; for them the bound is the measure's own, half of n. Pairs that meet are checked exactly.
 """
 
 from __future__ import annotations
@@ -19,188 +24,182 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.common import checkpoint
+from tessera.common import checkpoint, stored
 from tessera.llm import grams, neardup
 
 TRAIN, HELD_OUT = 1, 2
-#: Words of a common prefix, at the least and then level by level; suffixes of a text with n distinct runs: all below 32, then a half, a quarter, an eighth.
-LEVELS = (6, 9, 14, 24)
+#: Words of the least span that counts as shared, and of the heads that short texts have besides; texts of fewer runs of three words are short.
+SPAN, SHORT, FEW = 6, 3, 48
+#: Texts of a region up to which all of its cross-split pairs are taken as they are; larger ones are compared block by block.
 REGION = 48
-#: Words of the least span that counts as shared.
-SPAN = 6
-#: Share of a record's suffixes, those in the largest regions, by which it needn't be looked for.
-HEAVY = 0.35
+#: Suffixes of one head that are held at once.
+HOLD = 1 << 18
+#: The size of a region that isn't seen whole: such regions count as the least rare.
+UNSEEN = 1 << 40
+
+
+def class_key(cls: Column) -> Column:
+    """A class with room for its sides in the last two bits."""
+    return cls.bitwiseAND(F.lit(-4))
 
 
-def _suffixes(batches):
-    """Rows (key, rest, cls, pos, info): hash of the first 6 words, bits of the hashes of the next ones, place in words; info packs how many suffixes of this level the text has, the level, the words from here to its end (up to 24) and its sides. Of suffixes of a text with one key and rest the first stands for all."""
+def sides(split: Column) -> Column:
+    """1 for train, 2 for dev and test, null otherwise."""
+    return F.when(split == "train", TRAIN).when(split.isin("dev", "test"), HELD_OUT)
+
+
+def _suffixes(batches, places: bool):
+    """Rows (head, who, info) of all suffixes. `who` is the class with its sides. With `places`, info is the place in words; else each head of a text stands once and info is the text's number of distinct runs of SHORT words."""
     for whole in batches:
         for batch in (whole.slice(at, 2000) for at in range(0, len(whole), 2000)):
-            cls, side = batch.column("cls").to_numpy(), batch.column("side").to_numpy()
+            who = batch.column("cls").to_numpy() | batch.column("side").to_numpy().astype(np.int64)
             for at, data, ends in grams.chunks(batch.column("code")):
                 hashed, text = grams.words(data, ends)
-                three, first = grams.runs(hashed, text, 3)
-                if not len(three):
-                    continue
-                owner = text[first]
-                runs = np.unique((owner.astype(np.uint64) << np.uint64(32)) | (three >> np.uint64(32)))  # the choice goes by the run, so repeats don't add to it
-                n = np.bincount((runs >> np.uint64(32)).astype(np.int64), minlength=len(ends))
-                step = np.where(n < 32, 1, np.where(n < 64, 2, np.where(n < 128, 4, 8))).astype(np.uint64)
-                take = (three >> np.uint64(7)) & (step[owner] - np.uint64(1)) == 0
-                low = (three >> np.uint64(7))[take]
-                level = np.where(low & np.uint64(1), 0, np.where(low & np.uint64(2), 1, np.where(low & np.uint64(4), 2, 3)))  # in how sparse a choice it still is
-                pos, owner = first[take], owner[take]
-                stop = np.searchsorted(text, np.arange(len(ends)), side="right")
-                begin = np.searchsorted(text, np.arange(len(ends)), side="left")
-                padded = np.concatenate((hashed, np.zeros(LEVELS[-1], np.uint64)))
-                depth, acc, parts = 0, np.zeros(len(pos), np.uint64), []
-                for j in range(LEVELS[-1]):
-                    there = pos + j < stop[owner]  # words of the next text are none of this one
-                    acc = acc * np.uint64(0xD6E8FEB86659FD93) + np.where(there, padded[pos + j], np.uint64(1))
-                    if j + 1 == LEVELS[depth]:
-                        parts.append(grams.mix(acc))
-                        depth += 1
-                rest = ((parts[1] >> np.uint64(42)) << np.uint64(42)) | ((parts[2] >> np.uint64(43)) << np.uint64(21)) | (parts[3] >> np.uint64(43))
-                key = parts[0]
-                order = np.lexsort((rest, key, owner))
-                again = (np.diff(owner[order]) == 0) & (key[order][1:] == key[order][:-1]) & (rest[order][1:] == rest[order][:-1])
-                first = np.sort(order[np.concatenate((np.ones(min(1, len(order)), bool), ~again))])
-                key, rest, pos, owner, level = (x[first] for x in (key, rest, pos, owner, level))
-                count = np.bincount(owner * 4 + level, minlength=4 * len(ends))[owner * 4 + level]
-                rows = owner + at
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.astype(np.int64)), pa.array(rest.astype(np.int64)), pa.array(cls[rows]), pa.array((pos - begin[owner]).astype(np.int32)), pa.array((((count * 4 + level) * 32 + np.minimum(stop[owner] - pos, LEVELS[-1])) * 4 + side[rows]).astype(np.int32))],
-                    names=["key", "rest", "cls", "pos", "info"],
-                )
-
-
-def _across(cls: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(train, held out) of all pairs of a region that belong to different splits."""
-    train, held = np.unique(cls[side & TRAIN > 0]), np.unique(cls[side & HELD_OUT > 0])
-    return np.repeat(train, len(held)), np.tile(held, len(train))
-
-
-def _walk(batches, region: int = REGION, hold: int = neardup.HOLD):
-    """Reads the sorted array region by region. Emits candidates (a train, b held out), suffixes of regions that stay large (a, hot, n suffixes), and shared spans (b, pos, len)."""
-    held = [np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.int32)] * 2
-    names = ["a", "b", "hot", "pos", "len"]
-
-    def emit(near, hot, spans):
-        cols = [[np.zeros(0, np.int64)] for _ in range(5)]
-        kinds = [np.zeros(0, np.int8)]
-        for kind, rows in ((0, near), (1, hot), (2, spans)):
-            for row in rows:
-                for c in cols:
-                    c.append(np.zeros(len(row[0]), np.int64))
-                for c, v in zip((0, 1) if kind == 0 else (0, 2, 3) if kind == 1 else (1, 3, 4), row):
-                    cols[c][-1] = np.asarray(v, np.int64)
-                kinds.append(np.full(len(row[0]), kind, np.int8))
-        kind = np.concatenate(kinds)
-        a, b, h, p, n = (np.concatenate(c) for c in cols)
-        return pa.RecordBatch.from_arrays([pa.array(a, mask=kind == 2), pa.array(b, mask=kind == 1), pa.array(h, mask=kind != 1), pa.array(p), pa.array(n)], names=names)
-
-    def descend(key, rest, cls, pos, info, level, near, hot):
-        side = info & 3
-        if len(cls) < 2 or not (side & TRAIN).any() or not (side & HELD_OUT).any():
-            return
-        if len(cls) <= region:
-            near.append(_across(cls, side))
-            return
-        if level == 0:
-            hot.append((cls, np.full(len(cls), int(key)), info >> 7))
-        if level == len(LEVELS) - 1:
-            beside = np.flatnonzero(((side[:-1] & TRAIN > 0) & (side[1:] & HELD_OUT > 0)) | ((side[1:] & TRAIN > 0) & (side[:-1] & HELD_OUT > 0)))
-            train = np.where(side[beside] & TRAIN > 0, cls[beside], cls[beside + 1])
-            near.append((train, np.where(train == cls[beside], cls[beside + 1], cls[beside])))
-        else:
-            at = rest.astype(np.uint64) >> np.uint64((42, 21, 0)[level])
-            cuts = np.flatnonzero(np.diff(at)) + 1
-            for x, y in zip([0, *cuts], [*cuts, len(cls)]):
-                descend(key, rest[x:y], cls[x:y], pos[x:y], info[x:y], level + 1, near, hot)
-
-    def reach(key, rest, cls, pos, info):
-        """The longest common prefix of each held-out suffix with the nearest train suffix on either side."""
-        side, bits = info & 3, rest.astype(np.uint64)
-        common = np.zeros(len(key), np.int64)  # with the suffix before
-        if len(key) > 1:
-            same = key[1:] == key[:-1]
-            deep = np.full(len(key) - 1, LEVELS[0])
-            for shift, words in zip((42, 21, 0), LEVELS[1:]):
-                deep = np.where(bits[1:] >> np.uint64(shift) == bits[:-1] >> np.uint64(shift), words, deep)
-            common[1:] = np.where(same, deep, 0)
-        best = np.where(side == TRAIN | HELD_OUT, LEVELS[-1], 0)  # the record itself is on both sides
-        for order in (range(len(key)), range(len(key) - 1, -1, -1)):
-            reachable, down = 0, order.step < 0
-            for i in order:
-                reachable = min(reachable, common[i + 1] if down and i + 1 < len(key) else 0 if down else common[i])
-                best[i] = max(best[i], reachable)
-                if side[i] & TRAIN:
-                    reachable = LEVELS[-1]
-        take = (side & HELD_OUT > 0) & (best > 0)
-        return cls[take], pos[take], np.minimum(best, (info >> 2) & 31)[take]  # a prefix ends with the text
-
-    def regions(cols, ends):
-        key, rest, cls, pos, info = cols
-        near, hot, spans = [], [], []
-        size = np.diff(np.concatenate(([0], ends)))
-        starts = ends - size
-        side = info & 3
-        train, out = (np.add.reduceat((side & x > 0).astype(np.int64), starts) for x in (TRAIN, HELD_OUT))
-        for x, y in zip(starts[(train > 0) & (out > 0)], ends[(train > 0) & (out > 0)]):
-            part = [c[x:y] for c in cols]
-            descend(int(key[x]), *part[1:], 0, near, hot)
-            spans.append(reach(*part))
-        return emit(near, hot, spans)
-
+                key, first = grams.runs(hashed, text, SPAN)
+                if places:
+                    begin = np.searchsorted(text, np.arange(len(ends)), side="left")
+                    head, owner, info = key & ~np.uint64(1), text[first], first - begin[text[first]]
+                else:
+                    three, third = grams.runs(hashed, text, SHORT)
+                    n = np.bincount(_distinct(text[third], three)[0], minlength=len(ends))
+                    few = n[text[third]] < FEW
+                    owner, head = _distinct(np.concatenate((text[first], text[third][few])), np.concatenate((key & ~np.uint64(1), three[few] | np.uint64(1))))
+                    info = n[owner]
+                if len(owner):
+                    yield pa.RecordBatch.from_arrays([pa.array(head.astype(np.int64)), pa.array(who[owner + at]), pa.array(info.astype(np.int32))], names=["head", "who", "info"])
+
+
+def _distinct(owner: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs of the two."""
+    order = np.lexsort((key, owner))
+    owner, key = owner[order], key[order]
+    fresh = np.concatenate((np.ones(min(1, len(owner)), bool), (np.diff(owner) != 0) | (key[1:] != key[:-1])))
+    return owner[fresh], key[fresh]
+
+
+def _regions(batches, columns: list[str], hold: int):
+    """(columns, ends, seen whole) of a sorted partition, region by region of the first column. The first and the last region of a partition, and those above `hold` rows, which come in parts, aren't seen whole."""
+    held, before, loose = None, False, None
     for batch in batches:
-        cols = [np.concatenate((h, batch.column(c).to_numpy())) for h, c in zip(held, ("key", "rest", "cls", "pos", "info"))]
+        cols = [batch.column(c).to_numpy() for c in columns]
+        if held is not None:
+            cols = [np.concatenate(x) for x in zip(held, cols)]
+        if not len(cols[0]):
+            continue
         cuts = np.flatnonzero(np.diff(cols[0])) + 1
         if len(cuts):
-            yield regions([c[: cuts[-1]] for c in cols], cuts)
-            cols = [c[cuts[-1] :] for c in cols]
-        if len(cols[0]) > hold:  # one large region: its finished prefixes can go
-            inner = np.flatnonzero(np.diff(cols[1])) + 1
-            cut = inner[-1] if len(inner) else len(cols[0])
-            yield regions([c[:cut] for c in cols], np.array([cut]))
-            cols = [c[cut:] for c in cols]
+            whole = np.ones(len(cuts), bool)
+            whole[0] = before and cols[0][0] != loose
+            yield [c[: cuts[-1]] for c in cols], cuts, whole
+            cols, before, loose = [c[cuts[-1] :] for c in cols], True, None
+        if len(cols[0]) > hold:
+            loose, before = cols[0][0], True
+            yield cols, np.array([len(cols[0])]), np.zeros(1, bool)
+            cols = [c[:0] for c in cols]
         held = cols
-    if len(held[0]):
-        yield regions(held, np.array([len(held[0])]))
+    if held is not None and len(held[0]):
+        yield held, np.array([len(held[0])]), np.zeros(1, bool)
 
 
-def sides(split: Column) -> Column:
-    """1 for train, 2 for dev and test, null otherwise."""
-    return F.when(split == "train", TRAIN).when(split.isin("dev", "test"), HELD_OUT)
+def _shared(batches, hold: int):
+    """Rows (head, who, info, size, seen) of suffixes in regions of both sides, and of all in regions that aren't seen whole."""
+    for (head, who, info), ends, whole in _regions(batches, ["head", "who", "info"], hold):
+        size = np.diff(np.concatenate(([0], ends)))
+        take = np.repeat(~whole | (np.bitwise_or.reduceat(who & 3, ends - size) == TRAIN | HELD_OUT), size)
+        seen, each = np.repeat(whole, size)[take], np.repeat(size, size)[take]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (head[take], who[take], info[take], np.where(seen, each, UNSEEN), seen)], names=["head", "who", "info", "size", "seen"])
 
 
-def array(texts: DataFrame) -> DataFrame:
-    """What the walk over the suffix array tells, checkpointed. `texts` has `cls` (distinct), `side` (1, 2 or both: 3) and `code`."""
-    partitions = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = texts.select("cls", "side", "code").mapInArrow(_suffixes, "key long, rest long, cls long, pos int, info int")
-    return checkpoint(rows.repartition(partitions, "key").sortWithinPartitions("key", "rest").mapInArrow(partial(_walk, region=REGION, hold=neardup.HOLD), "a long, b long, hot long, pos long, len long"))
+def _both(rows: DataFrame) -> DataFrame:
+    """The rows of heads that both sides have, of rows whose heads are few: at most two for each partition and one for HOLD rows, so they are broadcast."""
+    sided = rows.groupBy("head").agg(F.bit_or(F.col("who").bitwiseAND(3)).alias("s")).where(F.col("s") == TRAIN | HELD_OUT)
+    return rows.join(F.broadcast(sided.select("head")), "head")
 
 
-def links(found: DataFrame, texts: DataFrame, least: float, k: int = 3) -> DataFrame:
-    """Columns `a` (train), `b` (held out), `similarity` of classes of texts at least so similar on runs of k words.
+def shared(texts: DataFrame, places: bool = False, hold: int | None = None) -> DataFrame:
+    """Columns `head, who, info, size` of every suffix whose head stands in texts of both sides, from the sorted array.
 
-    Records of which a large part stands in large regions, such as notices that many share, might share no
-    suffix elsewhere. For them as many of these regions are compared block by block as it takes, rarest first: with
-    suffixes ordered by the size of their region, two records at least half the same share one of the first half of
-    either; 1 - HEAVY of them are used, as suffixes are a sample. That is done level by level, as texts of different
-    length have suffixes of different levels: in one level both have, half are the same too.
+    `texts` has `cls` (distinct, by `class_key`), `side` (1, 2 or both: 3) and `code`; null and short texts have no suffixes.
     """
-    near = found.where("a is not null and b is not null").select("a", "b").distinct()
-    sets = texts.select("cls", neardup.sets_of(F.col("code"), k).alias("s")).select("cls", F.col("s.grams").alias("grams")).where("grams is not null")
-    hot = found.where("hot is not null").select("hot", F.col("a").alias("cls"), F.col("pos").bitwiseAND(3).alias("level"), F.shiftright("pos", 2).alias("n"))
-    heavy = hot.groupBy("cls", "level").agg(F.count("*").alias("h"), F.max("n").alias("all")).withColumn("take", F.ceil(F.col("h") - HEAVY * F.col("all"))).where("take > 0").select("cls", "level", "take")
-    sized = hot.join(heavy, ["cls", "level"]).join(hot.groupBy("hot").agg(F.count("*").alias("size")), "hot")
-    rarest = F.row_number().over(Window.partitionBy("cls", "level").orderBy("size", "hot"))  # a record's own suffixes
-    pairs = neardup.blocks(sized.withColumn("nth", rarest).where("nth <= take").select("hot", "cls").distinct(), sets.mapInArrow(neardup._sketch, "cls long, sketch binary"), least)
-    way = texts.select("cls", "side")
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    crossing = both.join(way.where(F.col("side").bitwiseAND(TRAIN) > 0).select(F.col("cls").alias("a")), "a", "left_semi").join(way.where(F.col("side").bitwiseAND(HELD_OUT) > 0).select(F.col("cls").alias("b")), "b", "left_semi")
-    ordered = near.unionByName(crossing.select("a", "b")).where("a <> b").select("a", "b").distinct()
-    return neardup.measured(checkpoint(ordered), sets, least)
+    partitions = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = texts.select("cls", "side", "code").mapInArrow(partial(_suffixes, places=places), "head long, who long, info int")
+    lined = rows.repartitionByRange(partitions, "head", "who").sortWithinPartitions("head", "who")
+    found = stored(lined.mapInArrow(partial(_shared, hold=hold or HOLD), "head long, who long, info int, size long, seen boolean"))
+    return found.where("seen").drop("seen").unionByName(_both(found.where("not seen").drop("seen")))
+
+
+def _meet(batches, region: int, hold: int):
+    """Candidates (a train, b held out) of small regions, and rows (hot, who) of those that are large or not seen whole."""
+    for (head, who), ends, whole in _regions(batches, ["head", "who"], hold):
+        starts = np.concatenate(([0], ends[:-1]))
+        small = whole & (ends - starts <= region)
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for x, y in zip(starts[small], ends[small]):
+            part = who[x:y]
+            train, held = part[part & TRAIN > 0], part[part & HELD_OUT > 0]
+            a.append(np.repeat(train, len(held)))
+            b.append(np.tile(held, len(train)))
+        a, b = np.concatenate(a) & ~3, np.concatenate(b) & ~3
+        hot = np.repeat(~small, ends - starts)
+        n, none = len(a), np.zeros(hot.sum(), np.int64)
+        other = np.arange(n + len(none)) >= n
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate((a, none)), mask=other), pa.array(np.concatenate((b, none)), mask=other), pa.array(np.concatenate((np.zeros(n, np.int64), head[hot])), mask=~other), pa.array(np.concatenate((np.zeros(n, np.int64), who[hot])), mask=~other)],
+            names=["a", "b", "hot", "who"],
+        )
+
+
+def candidates(found: DataFrame) -> DataFrame:
+    """The rarest suffixes (`head, who`) of each text that has enough shared ones, from `shared` without places."""
+    own = Window.partitionBy("who", "kind")  # a text's own suffixes
+    n, s = F.col("info"), F.count("*").over(own)
+    ranked = found.withColumn("kind", F.col("head").bitwiseAND(1)).withColumn("s", s).withColumn("nth", F.row_number().over(own.orderBy("size", "head")))
+    least = F.when(F.col("kind") == 1, F.ceil(n / 2)).otherwise(F.greatest(F.lit(1), F.floor(n / 6) - 3))
+    return ranked.where(F.col("nth") <= F.col("s") - least + 1).select("head", "who")
+
+
+def _across(hot: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
+    """Candidates (a, b) of large regions: train and held-out texts are cut into blocks, and each pair of a block of either is a task of its own. Sketches are compared inside, so only pairs that may be similar leave it."""
+    way = F.col("who").bitwiseAND(3)
+    train, held = way.bitwiseAND(TRAIN) > 0, way.bitwiseAND(HELD_OUT) > 0
+    sized = hot.groupBy("hot").agg(F.ceil(F.count_if(train) / neardup.BLOCK).cast("int").alias("nt"), F.ceil(F.count_if(held) / neardup.BLOCK).cast("int").alias("nh")).where("nt > 0 and nh > 0")
+    mine = hot.join(sized, "hot").withColumn("cls", class_key(F.col("who"))).join(sketches, "cls")
+
+    def blocks(mask: Column, side: int, n: str, others: str, own: str, other: str) -> DataFrame:
+        placed = mine.where(mask).select("hot", "cls", "sketch", F.lit(side).alias("side"), F.pmod(F.xxhash64("cls"), F.col(n)).cast("int").alias(own), others)
+        return placed.select("hot", "cls", "sketch", "side", own, F.explode(F.sequence(F.lit(0), F.col(others) - 1)).alias(other))
+
+    laid = blocks(train, TRAIN, "nt", "nh", "t", "h").unionByName(blocks(held, HELD_OUT, "nh", "nt", "h", "t"))
+
+    def compare(table: pa.Table) -> pa.Table:
+        cls, side = table.column("cls").to_numpy(), table.column("side").to_numpy()
+        rows = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(cls), -1)
+        right = np.flatnonzero(side == HELD_OUT)
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i in np.flatnonzero(side == TRAIN):
+            near = right[neardup.agreement(rows[i], rows[right]) >= least * neardup.SLACK]
+            a.append(np.full(len(near), cls[i]))
+            b.append(cls[near])
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+    return laid.groupBy("hot", "t", "h").applyInArrow(compare, "a long, b long")
+
+
+def links(texts: DataFrame, least: float, k: int = SHORT, region: int = REGION, hold: int | None = None) -> DataFrame:
+    """Columns `a` (train), `b` (held out), `similarity` of different classes of texts at least so similar, at least 0.5, on runs of k words."""
+    partitions = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rare = candidates(shared(texts, hold=hold)).repartitionByRange(partitions, "head", "who").sortWithinPartitions("head", "who")
+    met = checkpoint(rare.mapInArrow(partial(_meet, region=region, hold=hold or HOLD), "a long, b long, hot long, who long"))
+    hot = met.where("hot is not null").select("hot", "who")
+
+    def sets(of: DataFrame) -> DataFrame:
+        some = texts.select("cls", "code").join(of.distinct(), "cls", "left_semi")
+        return some.select("cls", neardup.sets_of(F.col("code"), k).alias("s")).select("cls", F.col("s.grams").alias("grams")).where("grams is not null")
+
+    sketches = sets(hot.select(class_key(F.col("who")).alias("cls"))).mapInArrow(neardup.sketch, "cls long, sketch binary")
+    pairs = met.where("a is not null").select("a", "b").unionByName(_across(hot, sketches, least))
+    pairs = checkpoint(pairs.where("a <> b").distinct())
+    return neardup.measured(pairs, sets(pairs.select(F.explode(F.array("a", "b")).alias("cls"))), least)
 
 
 def sequence_of(text: Column) -> Column:
@@ -221,35 +220,11 @@ def sequence_of(text: Column) -> Column:
     return find.asNondeterministic()(text)
 
 
-def _train_runs(batches):
-    """Hashes of all runs of SPAN words, once per stretch of texts."""
-    for batch in batches:
-        for _, data, ends in grams.chunks(batch.column("code")):
-            key, _ = grams.runs(*grams.words(data, ends), SPAN)
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(key).astype(np.int64))], names=["key"])
-
-
-def _held_runs(batches):
-    """Rows (key, cls, pos): hash of each run of SPAN words, the text's class, place in words."""
-    for batch in batches:
-        cls = batch.column("cls").to_numpy()
-        for at, data, ends in grams.chunks(batch.column("code")):
-            hashed, text = grams.words(data, ends)
-            key, first = grams.runs(hashed, text, SPAN)
-            begin = np.searchsorted(text, np.arange(len(ends)), side="left")
-            yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(cls[text[first] + at]), pa.array(first - begin[text[first]])], names=["key", "cls", "pos"])
-
+def coverage(texts: DataFrame, hold: int | None = None) -> DataFrame:
+    """Columns `cls, covered`: how many words of each held-out text lie in spans of SPAN words or more that some train text has too.
 
-def spans(texts: DataFrame) -> DataFrame:
-    """Shared spans as the walk has them (`a` null, `b` held out, `pos`, `len`), but all of them: each run of SPAN words of a held-out text that some train text has too. `texts` as for `array`, of classes by `sequence_of`."""
-    train = texts.where(F.col("side").bitwiseAND(TRAIN) > 0).select("code").mapInArrow(_train_runs, "key long").distinct()
-    held = texts.where(F.col("side").bitwiseAND(HELD_OUT) > 0).select("cls", "code").mapInArrow(_held_runs, "key long, cls long, pos long")
-    return held.join(train.hint("merge"), "key", "left_semi").select(F.lit(None).cast("long").alias("a"), F.col("cls").alias("b"), "pos", F.lit(SPAN).cast("long").alias("len"))
-
-
-def coverage(found: DataFrame) -> DataFrame:
-    """Columns `cls, covered`: how many words of each held-out class of texts lie in the spans found, overlaps counted once. All of them are counted with those of `spans`; those of `array` are a sample. Classes without spans have no row."""
-    spans = found.where("b is not null and a is null").groupBy(F.col("b").alias("cls"), "pos").agg(F.max(F.col("pos") + F.col("len")).alias("end"))
-    before = F.max("end").over(Window.partitionBy("cls").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))  # a record's own suffixes
-    fresh = F.greatest(F.lit(0), F.col("end") - F.greatest("pos", F.coalesce(before, F.lit(0))))
-    return spans.withColumn("fresh", fresh).groupBy("cls").agg(F.sum("fresh").alias("covered"))
+    `texts` as for `shared`, of classes by `sequence_of`. Texts without such spans have no row.
+    """
+    held = shared(texts, places=True, hold=hold).where(F.col("who").bitwiseAND(HELD_OUT) > 0).select(class_key(F.col("who")).alias("cls"), F.col("info").alias("pos"))
+    to_next = F.lead("pos").over(Window.partitionBy("cls").orderBy("pos")) - F.col("pos")  # a text's own suffixes
+    return held.withColumn("fresh", F.least(F.lit(SPAN), F.coalesce(to_next, F.lit(SPAN)))).groupBy("cls").agg(F.sum("fresh").alias("covered"))

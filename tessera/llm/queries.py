@@ -93,21 +93,21 @@ def _code_hash(c: str):
 
 
 def _set_class(code: Column) -> Column:
-    return neardup.sets_of(code, WORDS)["cls"]
+    return overlap.class_key(neardup.sets_of(code, WORDS)["cls"])
 
 
-def _code_classes(spark: SparkSession, sf_dir: str, class_of: Callable[[Column], Column]) -> DataFrame:
-    """Every row of entries, with the class of its code; null without code."""
-    rows = table(spark, sf_dir, "entries").select("id", "updatedAt", "status", "project", "codeHash", F.when(~_blank("code"), F.col("code")).alias("code"))
-    return rows.withColumn("cls", F.when(F.col("code").isNotNull(), class_of(F.col("code"))))
+def _sequence_class(code: Column) -> Column:
+    return overlap.class_key(overlap.sequence_of(code))
 
 
 def _sided(spark: SparkSession, sf_dir: str, class_of: Callable[[Column], Column] = _set_class) -> DataFrame:
-    """id, cls, hash, split, source, side of active entries of projects with a split."""
-    held = latest(_code_classes(spark, sf_dir, class_of).drop("code"), key_or_null("id"), iso_ts("updatedAt"), ["status", "project", "codeHash", "cls"])
+    """id, cls, hash, split, source, side of active entries of projects with a split, stored; cls is the class of the code, null without code."""
+    rows = table(spark, sf_dir, "entries").select("id", "updatedAt", "status", "project", "codeHash", F.when(~_blank("code"), F.col("code")).alias("code"))
+    classed = rows.withColumn("cls", F.when(F.col("code").isNotNull(), class_of(F.col("code")))).drop("code")
+    held = latest(classed, key_or_null("id"), iso_ts("updatedAt"), ["status", "project", "codeHash", "cls"])
     active = held.where(norm_key("status") == "active").select(F.col("key").alias("id"), key_or_null("project").alias("slug"), "cls", _code_hash("codeHash").alias("hash"))
     projects = splits.projects(table(spark, sf_dir, "project_records")).select("slug", "split", F.col("repo").alias("source"), overlap.sides(F.col("split")).alias("side"))
-    return active.join(projects.where("side is not null"), "slug")
+    return stored(active.join(projects.where("side is not null"), "slug"))
 
 
 def _code_texts(spark: SparkSession, sf_dir: str, sided: DataFrame, class_of: Callable[[Column], Column] = _set_class) -> DataFrame:
@@ -119,16 +119,14 @@ def _code_texts(spark: SparkSession, sf_dir: str, sided: DataFrame, class_of: Ca
 
 
 def _overlaps(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Pairs of entries (train, held out) that are the same or almost the same, and the walk over the suffix array."""
-    sided = stored(_sided(spark, sf_dir))
-    texts = _code_texts(spark, sf_dir, sided)
-    found = overlap.array(texts)
+    """Pairs of entries (train, held out) that are the same or almost the same, and the entries of `_sided`."""
+    sided = _sided(spark, sf_dir)
     train, held = (sided.where(F.col("side") == n).select(F.col("id").alias(f"{x}_id"), F.col("cls").alias(f"{x}_cls"), "hash") for n, x in ((overlap.TRAIN, "train"), (overlap.HELD_OUT, "held")))
     t, h = train.where("train_cls is not null").drop("hash"), held.where("held_cls is not null").drop("hash")
-    near = overlap.links(found, texts, ALIKE).join(t, F.col("a") == F.col("train_cls")).join(h, F.col("b") == F.col("held_cls")).select("train_id", "held_id")
+    near = overlap.links(_code_texts(spark, sf_dir, sided), ALIKE).join(t, F.col("a") == F.col("train_cls")).join(h, F.col("b") == F.col("held_cls")).select("train_id", "held_id")
     same = t.join(h, F.col("train_cls") == F.col("held_cls")).select("train_id", "held_id")
     hashed = train.where("hash is not null").join(held, "hash").where("train_cls is null or held_cls is null").select("train_id", "held_id")
-    return near.unionByName(same).unionByName(hashed), found
+    return near.unionByName(same).unionByName(hashed), sided
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,16 +136,16 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """split, source, entries, overlapping: active held-out entries and those found in train, per split and repository."""
-    pairs, _ = _overlaps(spark, sf_dir)
-    held = _sided(spark, sf_dir).where(F.col("side") == overlap.HELD_OUT).select("id", "split", F.coalesce("source", F.lit("unknown")).alias("source"))
+    pairs, sided = _overlaps(spark, sf_dir)
+    held = sided.where(F.col("side") == overlap.HELD_OUT).select("id", "split", F.coalesce("source", F.lit("unknown")).alias("source"))
     hit = pairs.select(F.col("held_id").alias("id")).distinct().withColumn("hit", F.lit(1))
     return held.join(hit, "id", "left").groupBy("split", "source").agg(F.count("*").alias("entries"), F.count("hit").alias("overlapping"))
 
 
 def p3_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, split, covered: words of each held-out entry's code that lie in spans of six words or more that train code has too; 0 without such spans or without code."""
-    sided = stored(_sided(spark, sf_dir, overlap.sequence_of))
-    covered = overlap.coverage(overlap.spans(_code_texts(spark, sf_dir, sided, overlap.sequence_of)))
+    sided = _sided(spark, sf_dir, _sequence_class)
+    covered = overlap.coverage(_code_texts(spark, sf_dir, sided, _sequence_class))
     return sided.where(F.col("side") == overlap.HELD_OUT).join(covered, "cls", "left").select("id", "split", F.coalesce("covered", F.lit(0)).alias("covered"))
 
 
@@ -201,6 +199,55 @@ def p8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_split, p1_shares, p2_found, p2_groups, p3_found, p3_report, p3_coverage, p4_found, p4_redacted, p6_ids, p6_round_trip, p7_containers, p7_fill, p8_pieces)}
 
+# The SQL below is written on its own, without values of this package, so that a wrong pattern shows.
+_CURRENT = r"""
+p AS (
+  SELECT lower(trim(slug)) AS slug, arg_max(struct_pack(f := lower(trim(fingerprint)), s := lower(trim(source)), split := lower(trim(split))), CAST(updated AS TIMESTAMPTZ)) AS r
+  FROM project_records WHERE trim(slug) <> '' GROUP BY 1),
+e AS (
+  SELECT lower(trim(id)) AS id, arg_max(struct_pack(code := code, decision := decision, project := lower(trim(project)), status := lower(trim(status)), hash := lower(trim("codeHash"))), CAST("updatedAt" AS TIMESTAMPTZ)) AS r
+  FROM entries WHERE trim(id) <> '' GROUP BY 1)"""
+_REPOSITORY = r"""
+CASE WHEN r.s NOT IN ('', 'unknown', 'n/a', 'na', 'none', 'null', 'nil', '-', '--', '?', 'tbd', 'todo', 'undefined', 'missing', 'not available', 'unspecified', 'placeholder') THEN
+  nullif(regexp_replace(concat_ws('/', regexp_extract(r.s, '^(?:git\+)?(?:[a-z][a-z0-9+.-]*:/+)?(?:[^/@]*@)?(?:www\.)?([^/:?#\s]+\.[^/:?#\s]+)', 1),
+    regexp_extract(r.s, '^(?:git\+)?(?:[a-z][a-z0-9+.-]*:/+)?(?:[^/@]*@)?[^/:?#\s]+(?::\d+)?[:/]+([^/?#\s]+/+[^/?#\s]+)', 1)), '(\.git)+$', ''), '/') END"""
+_MEASURED = r"""
+w AS (SELECT id, kind, c, list_transform(regexp_extract_all(c, '[A-Za-z0-9_]+'), lambda x: lower(x)) AS w FROM c),
+n AS (SELECT id, kind, unnest(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS g FROM w WHERE len(w) > 2),
+sizes AS (SELECT id, count(*) AS n FROM n GROUP BY 1)"""
+
 SQL: dict[str, str] = {
-    "p6_round_trip": "SELECT true AS same, count(*) AS n FROM documents",
+    "p1_found": f"""
+WITH RECURSIVE {_CURRENT}, q AS (SELECT slug, {_REPOSITORY} AS repo, r.f AS f FROM p),
+k AS (
+  SELECT slug, 'f' || f AS k FROM q WHERE NOT regexp_full_match(f, '0*') AND f NOT IN ('unknown', 'n/a', 'na', 'none', 'null', 'nil', '-', '--', '?', 'tbd', 'todo', 'undefined', 'missing', 'not available', 'unspecified', 'placeholder')
+  UNION SELECT slug, 'r' || repo FROM q WHERE repo IS NOT NULL),
+reach(a, b) AS (SELECT slug, slug FROM k UNION SELECT reach.a, y.slug FROM reach JOIN k x ON x.slug = reach.b JOIN k y ON y.k = x.k)
+SELECT a AS slug_a, b AS slug_b FROM reach WHERE a < b""",
+    "p2_found": rf"""
+WITH {_CURRENT}, c AS (
+  SELECT id, regexp_matches(r.code, '[^\s\x{{a0}}\x{{200b}}\x{{feff}}]') IS TRUE AS kind, CASE WHEN regexp_matches(r.code, '[^\s\x{{a0}}\x{{200b}}\x{{feff}}]') THEN r.code WHEN regexp_matches(r.decision, '[^\s\x{{a0}}\x{{200b}}\x{{feff}}]') THEN r.decision END AS c FROM e),
+{_MEASURED}
+SELECT a.id AS id_a, b.id AS id_b FROM n a JOIN n b ON a.g = b.g AND a.kind = b.kind AND a.id < b.id JOIN sizes x ON x.id = a.id JOIN sizes y ON y.id = b.id
+GROUP BY a.id, b.id, x.n, y.n HAVING 2 * count(*) >= x.n + y.n - count(*)
+UNION SELECT a.id, b.id FROM c a JOIN c b ON a.c = b.c AND a.kind = b.kind AND a.id < b.id""",
+    "p3_found": rf"""
+WITH {_CURRENT}, c AS (
+  SELECT id, p.r.split = 'train' AS kind, CASE WHEN regexp_matches(e.r.code, '[^\s\x{{a0}}\x{{200b}}\x{{feff}}]') THEN e.r.code END AS c, regexp_replace(e.r.hash, '^(sha-?\d*|md5|blake\w*|xxh\w*)\s*[:=$-]\s*', '') AS h
+  FROM e JOIN p ON p.slug = e.r.project WHERE e.r.status = 'active' AND p.r.split IN ('train', 'dev', 'test')),
+{_MEASURED}
+SELECT least(t.id, d.id) AS id_a, greatest(t.id, d.id) AS id_b FROM n t JOIN n d ON t.g = d.g AND t.kind AND NOT d.kind JOIN sizes x ON x.id = t.id JOIN sizes y ON y.id = d.id
+GROUP BY t.id, d.id, x.n, y.n HAVING 2 * count(*) >= x.n + y.n - count(*)
+UNION SELECT least(t.id, d.id), greatest(t.id, d.id) FROM c t JOIN c d ON t.kind AND NOT d.kind AND (t.c = d.c OR (t.c IS NULL OR d.c IS NULL) AND t.h = d.h AND NOT regexp_full_match(t.h, '0*') AND t.h NOT IN (
+  'e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855', 'da39a3ee5e6b4b0d3255bfef95601890afd80709', 'd41d8cd98f00b204e9800998ecf8427e',
+  'cf83e1357eefb8bdf1542850d66d8007d620e4050b5715dc83f4a921d36ce9ce47d0d13c5d85f2b0ff8318d2877eec2f63b931bd47417a81a538327af927da3e'))""",
+    "p3_coverage": rf"""
+WITH {_CURRENT}, c AS (
+  SELECT id, p.r.split AS split, list_transform(regexp_extract_all(e.r.code, '[A-Za-z0-9_]+'), lambda x: lower(x)) AS w
+  FROM e JOIN p ON p.slug = e.r.project WHERE e.r.status = 'active' AND p.r.split IN ('train', 'dev', 'test')),
+s AS (SELECT id, split, unnest(range(1, len(w) - 4)) AS i, w FROM c WHERE len(w) > 5),
+g AS (SELECT id, split, i, array_to_string(w[i:i + 5], ' ') AS g FROM s),
+hit AS (SELECT id, i FROM g WHERE split <> 'train' AND g IN (SELECT g FROM g WHERE split = 'train')),
+span AS (SELECT id, least(6, coalesce(lead(i) OVER (PARTITION BY id ORDER BY i) - i, 6)) AS n FROM hit)
+SELECT id, split, CAST(coalesce((SELECT sum(n) FROM span WHERE span.id = c.id), 0) AS BIGINT) AS covered FROM c WHERE split <> 'train'""",
 }

@@ -142,26 +142,57 @@ def test_empty_and_extra_columns(spark):
     assert neardup.expand(neardup.links(odd, 0.5), members).count() == 1
 
 
-@pytest.mark.parametrize("region", [48, 2])
-def test_overlap_against_brute_force(spark, monkeypatch, region):
-    monkeypatch.setattr(overlap, "REGION", region)
+def sided(spark, many, side):
+    return spark.createDataFrame([(4 * i, s, t, 0) for i, (s, t) in enumerate(zip(side, many))], "cls long, side int, code string, head int")
+
+
+def linked(df, **kw):
+    return {(r.a // 4, r.b // 4) for r in overlap.links(df, 0.5, **kw).collect()}
+
+
+def across(many, side):
+    return {(i, j) for i in range(len(many)) for j in range(len(many)) if i != j and side[i] & 1 and side[j] & 2 and similar(many[i], many[j]) >= 0.5}
+
+
+@pytest.mark.parametrize("region,hold", [(48, None), (2, None), (2, 5)])
+def test_overlap_against_brute_force(spark, region, hold):
     rng = random.Random(6)
     notice = " ".join(rng.choice(WORDS) for _ in range(30)) + "\n"
     many = [notice + t if rng.random() < 0.4 else t for t in texts(rng)]
-    side = [rng.choice([1, 2]) for _ in many]
-    df = spark.createDataFrame([(i, s, t, 0) for i, (s, t) in enumerate(zip(side, many))], "cls long, side int, code string, key int")
-    found = overlap.array(df)
-    got = {(r.a, r.b) for r in overlap.links(found, df, 0.5).collect()}
-    want = {(i, j) for i in range(len(many)) for j in range(len(many)) if side[i] == 1 and side[j] == 2 and similar(many[i], many[j]) >= 0.5}
-    sure = {p for p in want if similar(many[p[0]], many[p[1]]) > 0.58}
-    assert sure <= got <= want
-    covered = {r.cls: r.covered for r in overlap.coverage(found).collect()}
-    for _, j in sure:
-        assert 0 < covered[j] <= len(many[j].split())
+    side = [rng.choice([1, 2, 3]) for _ in many]
+    assert linked(sided(spark, many, side), region=region, hold=hold) == across(many, side)
+
+
+def edited(rng, words):
+    """Near copies by each kind of edit, down to a similarity of a half: words replaced, put in and left out, blocks moved."""
+    out = list(words)
+    for _ in range(rng.randrange(1, max(2, len(words) // 7))):
+        kind, at = rng.randrange(4), rng.randrange(len(out))
+        if kind == 0:
+            out[at] = "r" + str(rng.randrange(10**6))
+        elif kind == 1:
+            out.insert(at, "i" + str(rng.randrange(10**6)))
+        elif kind == 2 and len(out) > 4:
+            del out[at]
+        elif kind == 3:
+            block, rest = out[at : at + len(out) // 5], out[:at] + out[at + len(out) // 5 :]
+            to = rng.randrange(len(rest) + 1)
+            out = rest[:to] + block + rest[to:]
+    return out
+
+
+def test_no_pair_is_lost_to_the_bound_on_coverage(spark):
+    rng = random.Random(21)
+    many, side = [], []
+    for n in (5, 8, 12, 18, 25, 30, 45, 60, 90, 140, 200) * 12:
+        base = [rng.choice(WORDS) for _ in range(n)]
+        many += [" ".join(base), " ".join(edited(rng, base))]
+        side += rng.sample([1, 2], 2)
+    want = across(many, side)
+    assert len(want) > 60 and linked(sided(spark, many, side)) == want
 
 
 def test_overlap_hot_family(spark, monkeypatch):
-    monkeypatch.setattr(overlap, "REGION", 4)
     monkeypatch.setattr(neardup, "BLOCK", 16)
     rng = random.Random(2)
     base = [rng.choice(WORDS) for _ in range(120)]
@@ -170,31 +201,30 @@ def test_overlap_hot_family(spark, monkeypatch):
         v = list(base)
         v[2 * i] = f"own{i}"
         many.append(" ".join(v))
-    df = spark.createDataFrame([(i, 1 + i % 2, t) for i, t in enumerate(many)], "cls long, side int, code string")
-    got = {(r.a, r.b) for r in overlap.links(overlap.array(df), df, 0.5).collect()}
-    assert got == {(i, j) for i in range(0, 60, 2) for j in range(1, 60, 2)}
+    assert linked(sided(spark, many, [1 + i % 2 for i in range(60)]), region=4, hold=16) == {(i, j) for i in range(0, 60, 2) for j in range(1, 60, 2)}
+
+
+@pytest.mark.parametrize("hold", [24, 1 << 18])
+def test_a_head_of_all_texts_loses_none(spark, hold):
+    """One head in 400 texts, let go in parts: all of its suffixes come out, though parts have one side only."""
+    many = [f"a b c d e f own{i}" for i in range(400)]
+    found = overlap.shared(sided(spark, many, [1 if i < 390 else 2 for i in range(400)]), places=True, hold=hold).collect()
+    assert sorted(r.who >> 2 for r in found) == list(range(400)) and {r.info for r in found} == {0}
 
 
 def test_overlap_of_nothing(spark):
     none = spark.createDataFrame([], "cls long, side int, code string")
-    found = overlap.array(none)
-    assert overlap.links(found, none, 0.5).count() == 0 and overlap.coverage(found).count() == 0
-    blank = spark.createDataFrame([(1, 1, ""), (2, 2, "a b"), (3, 2, None)], "cls long, side int, code string")
-    assert overlap.links(overlap.array(blank), blank, 0.5).count() == 0
+    assert overlap.links(none, 0.5).count() == 0 and overlap.coverage(none).count() == 0
+    assert linked(sided(spark, ["", "a b", None], [1, 2, 2])) == set()
 
 
-def test_overlap_of_repeated_lines():
-    """A text of many words and few distinct runs has suffixes, and not one for each repeat."""
+def test_overlap_of_repeated_lines(spark):
+    """Texts of many words and few distinct runs."""
     many = []
     for i in range(40):
         line = [f"w{i}x{j}" for j in range(7)]
         many += [" ".join(line * 60), " ".join(line * 30 + ["other"] + line * 29)]
-    batch = pa.RecordBatch.from_arrays([pa.array(range(80), pa.int64()), pa.array([1, 2] * 40, pa.int32()), pa.array(many)], names=["cls", "side", "code"])
-    rows = pa.Table.from_batches(overlap._suffixes([batch])).sort_by([("key", "ascending"), ("rest", "ascending")])
-    n = np.bincount(rows.column("cls").to_numpy(), minlength=80)
-    assert n.min() >= 7 and n.max() < 100
-    found = [r for b in overlap._walk(iter(rows.to_batches())) for r in b.to_pylist()]
-    assert {(r["a"], r["b"]) for r in found if r["a"] is not None and r["b"] is not None} == {(i, i + 1) for i in range(0, 80, 2)}
+    assert linked(sided(spark, many, [1, 2] * 40)) == {(i, i + 1) for i in range(0, 80, 2)}
 
 
 def words_covered(text, train, k=6):
@@ -211,8 +241,7 @@ def test_coverage_against_brute_force(spark):
         side.append(2)
     many += [*texts(rng, 10, 10), "p q r s t u p q r s t u", " ".join(["a b c d e f"] * 40)]
     side += [rng.choice([1, 2, 3]) for _ in many[len(side) :]]
-    df = spark.createDataFrame([(i, s, t) for i, (s, t) in enumerate(zip(side, many))], "cls long, side int, code string")
-    got = {r.cls: r.covered for r in overlap.coverage(overlap.spans(df)).collect()}
+    got = {r.cls // 4: r.covered for r in overlap.coverage(sided(spark, many, side)).collect()}
     train = {tuple(w[i : i + 6]) for s, t in zip(side, many) if s & 1 for w in [t.lower().split()] for i in range(len(w) - 5)}
     want = {i: words_covered(t, train) for i, (s, t) in enumerate(zip(side, many)) if s & 2}
     assert got == {i: n for i, n in want.items() if n} and [want[i] for i in range(1, 6)] == [0, 6, 8, 12, 40]
