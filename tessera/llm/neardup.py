@@ -2,13 +2,17 @@
 
 Every record is taken to the set of its runs of words; records with one set are one class. A class has a
 min-hash signature, of which each tree of the forest reads the values in an order of its own. Sorted in such an
-order, similar classes stand together: their labels share a long prefix. Two classes become candidates where
-they share a prefix of DEPTH values in some tree. Regions where more than REGION classes share it are compared block by
-block, all pairs of them: a longer prefix would part pairs that no other tree need bring together. Candidates whose
-signatures agree too little are dropped, the rest are checked on the sets themselves.
+order, similar classes stand together: their labels share a long prefix. Two classes become candidates where they share
+a prefix of DEPTH values in some tree. The forest is parted by range, so a prefix that many classes have is split.
 
-With similarity s, a pair shares a prefix in one of the trees with probability 1 - (1 - s**4)**56: 0.9996 at 0.6
-and 0.973 at 0.5, however large the regions are.
+Where more than REGION classes share a prefix, a longer one would part pairs that no other tree need bring together. Such
+a region goes deeper by the runs themselves instead: its classes are sorted by their rarest runs, as many of each as it
+takes that two classes similar enough must share one. Nothing is lost by that, and classes that only have a notice in
+common part at once. What is still large then holds classes that share even rare runs, and is compared block by block.
+
+Candidates whose signatures agree too little are dropped, the rest are checked on the sets themselves. With similarity s,
+a pair shares a prefix in one of the trees with probability 1 - (1 - s**4)**56: 0.9996 at 0.6 and 0.973 at 0.5, however
+large the regions are.
 """
 
 from __future__ import annotations
@@ -21,11 +25,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.common import checkpoint
-from tessera.llm import grams
+from tessera.llm import grams, regions
 
 TREES, DEPTH, REGION, BLOCK = 56, 4, 48, 512
-#: Rows of one region that are held at once before its finished parts are let go.
-HOLD = 1 << 18
+#: Bits of the table in which runs of large regions are counted; it is broadcast, 4 bytes for each of its 2 ** SLOTS counts.
+SLOTS = 18
 #: Agreement of signatures, as a share of the similarity asked for, below which candidates are dropped.
 SLACK = 0.7
 
@@ -66,7 +70,7 @@ def _small(batches):
 
 
 def _plant(batches):
-    """A row per class and tree: the first DEPTH values of its label as one key, 16 bits of each of the next four, the class."""
+    """A row per class and tree: the first DEPTH values of its label as one key, the class."""
     weights = (np.random.default_rng(7).integers(1, 1 << 62, DEPTH, dtype=np.uint64) * np.uint64(2)) + np.uint64(1)
     for batch in _small(batches):
         if not len(batch):
@@ -74,82 +78,50 @@ def _plant(batches):
         cls, sig = _signed(batch)
         wide = sig.astype(np.uint64)
         for tree in range(TREES):
-            at = tree * DEPTH
             key = np.full(len(cls), tree, np.uint64)
             for j in range(DEPTH):
-                key = grams.mix(key * weights[j] + wide[:, at + j])
-            rest = np.zeros(len(cls), np.uint64)
-            for j in range(4):
-                rest = (rest << np.uint64(16)) | (wide[:, (at + DEPTH * (1 + 3 * j) + j) % wide.shape[1]] & np.uint64(0xFFFF))
-            yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(rest.astype(np.int64)), pa.array(cls)], names=["key", "rest", "cls"])
-
-
-def _whole(key: int) -> int:
-    """What a large region is called."""
-    return hash((key,)) & ((1 << 62) - 1)
-
-
-def _near(cls: np.ndarray, key: int, out: list, hot: list, region: int) -> None:
-    """Candidates of a region: all of its pairs if it is small, else it is hot as a whole."""
-    if len(cls) < 2:
-        return
-    if len(cls) <= region:
-        i, j = np.triu_indices(len(cls), 1)
-        out.append((np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j])))
-    else:
-        hot.append((cls, _whole(key)))
-
-
-def _walk(batches, region: int = REGION, hold: int = HOLD):
-    """Reads sorted labels region by region; emits candidates (a, b), and classes of regions that stay large (a, hot)."""
-    held: list[np.ndarray] = [np.zeros(0, np.int64)] * 3
-
-    def emit(out: list, hot: list) -> pa.RecordBatch:
-        a = np.concatenate([np.zeros(0, np.int64), *(x for x, _ in out), *(x for x, _ in hot)])
-        n = sum(len(x) for x, _ in out)
-        b = np.concatenate([np.zeros(0, np.int64), *(x for _, x in out), *(np.full(len(x), h, np.int64) for x, h in hot)])
-        is_hot = np.arange(len(a)) >= n
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b, mask=is_hot), pa.array(b, mask=~is_hot)], names=["a", "b", "hot"])
-
-    def regions(key, cls, ends) -> pa.RecordBatch:
-        out, hot, size = [], [], np.diff(np.concatenate(([0], ends)))
-        starts = ends - size
-        if key[0] == loose:
-            hot.append((cls[: ends[0]], _whole(loose)))
-        two = starts[size == 2]
-        if len(two):
-            out.append((np.minimum(cls[two], cls[two + 1]), np.maximum(cls[two], cls[two + 1])))
-        for a, b in zip(starts[size > 2], ends[size > 2]):
-            _near(cls[a:b], int(key[a]), out, hot, region)
-        return emit(out, hot)
-
-    loose = None  # the key of a region let go in parts: each part is hot under the name of the whole, so that no pair is parted
-    stuck = None  # a part of it that is let go in parts itself: all of its classes are hot
-    for batch in batches:
-        key, rest, cls = (np.concatenate((h, batch.column(c).to_numpy())) for h, c in zip(held, ("key", "rest", "cls")))
-        if stuck is not None:
-            n = int(((key == stuck[0]) & (rest >> 48 == stuck[1])).sum())  # they come first
-            if n:
-                yield emit([], [(cls[:n], hash(stuck) & ((1 << 62) - 1)), (cls[:n], _whole(loose))])
-                key, rest, cls = key[n:], rest[n:], cls[n:]
-            if len(key):
-                stuck = None
-        cuts = np.flatnonzero(np.diff(key)) + 1
-        if len(cuts):
-            yield regions(key[: cuts[-1]], cls[: cuts[-1]], cuts)
-            key, rest, cls = key[cuts[-1] :], rest[cuts[-1] :], cls[cuts[-1] :]
-        if len(key) > hold:  # one region: it goes on in parts
-            inner = np.flatnonzero(np.diff(rest.astype(np.uint64) >> np.uint64(48))) + 1
-            cut = inner[-1] if len(inner) else 0
-            loose, hot = int(key[0]), []
-            if not cut:
-                cut, stuck = len(cls), (loose, int(rest[0] >> 48))
-                hot.append((cls, hash(stuck) & ((1 << 62) - 1)))
-            yield emit([], [*hot, (cls[:cut], _whole(loose))])
-            key, rest, cls = key[cut:], rest[cut:], cls[cut:]
-        held = [key, rest, cls]
-    if len(held[0]):
-        yield regions(held[0], held[2], np.array([len(held[0])]))
+                key = grams.mix(key * weights[j] + wide[:, tree * DEPTH + j])
+            yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(cls)], names=["key", "who"])
+
+
+def _pairs(who: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of a region."""
+    i, j = np.triu_indices(len(who), 1)
+    return np.minimum(who[i], who[j]), np.maximum(who[i], who[j])
+
+
+def _slot(values: np.ndarray) -> np.ndarray:
+    return (grams.mix(values.astype(np.uint64)) >> np.uint64(64 - SLOTS)).astype(np.int64)
+
+
+def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The values of all sets, and how many each has."""
+    raw = batch.column("grams").to_pylist()
+    return np.frombuffer(b"".join(raw), np.uint32), np.array([len(x) // 4 for x in raw], np.int64)
+
+
+def _counted(batches):
+    """How often runs fall into each slot, once per task."""
+    total = np.zeros(1 << SLOTS, np.int64)
+    for batch in _small(batches):
+        values, _ = _flat(batch)
+        total += np.bincount(_slot(values), minlength=1 << SLOTS)
+    some = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["slot", "n"])
+
+
+def _rarest(batches, sent, least: float):
+    """Rows (key, who): of each class its rarest runs, so many that two classes of a similarity of `least` share one of them.
+
+    Such classes have at least `least` of the larger's runs in common, so any order of runs that is the same for all will do.
+    """
+    for batch in _small(batches):
+        values, n = _flat(batch)
+        owner = np.repeat(np.arange(len(n)), n)
+        order = np.lexsort((values, sent.value[_slot(values)], owner))
+        nth = np.arange(len(values)) - np.repeat(np.cumsum(n) - n, n)
+        take = order[nth < np.repeat(n - np.ceil(least * n - 1e-9).astype(np.int64) + 1, n)]
+        yield pa.RecordBatch.from_arrays([pa.array(values[take].astype(np.int64)), pa.array(batch.column("cls").to_numpy()[owner[take]])], names=["key", "who"])
 
 
 def sketch(batches):
@@ -223,15 +195,18 @@ def links(classes: DataFrame, least: float) -> DataFrame:
 
     `classes` has `cls` (distinct) and `grams`, not null; classes without words have no links.
     """
-    classes = classes.select("cls", "grams")
-    partitions = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    labels = classes.mapInArrow(_plant, "key long, rest long, cls long")
-    found = checkpoint(labels.repartition(partitions, "key").sortWithinPartitions("key", "rest").mapInArrow(partial(_walk, region=REGION, hold=HOLD), "a long, b long, hot long"))
+    classes, sc = classes.select("cls", "grams"), classes.sparkSession.sparkContext
+    forest = checkpoint(regions.meet(classes.mapInArrow(_plant, "key long, who long"), _pairs, REGION))
+    large = classes.join(forest.where("hot is not null").select(F.col("who").alias("cls")).distinct(), "cls", "left_semi")
+    table = np.zeros(1 << SLOTS, np.int64)
+    counts = large.mapInArrow(_counted, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()  # at most 2 ** SLOTS rows
+    table[counts["slot"].to_numpy(np.int64)] = counts["n"]
+    deeper = checkpoint(regions.meet(large.mapInArrow(partial(_rarest, sent=sc.broadcast(table), least=least), "key long, who long"), _pairs, REGION))
     sketches = classes.mapInArrow(sketch, "cls long, sketch binary")
-    near = found.where("b is not null").select("a", "b").distinct()
+    near = forest.unionByName(deeper).where("a is not null").select("a", "b").distinct()
     near = near.join(sketches.select(F.col("cls").alias("a"), F.col("sketch").alias("x")), "a").join(sketches.select(F.col("cls").alias("b"), F.col("sketch").alias("y")), "b")
     near = near.where(alike(F.col("x"), F.col("y"), least)).select("a", "b")
-    hot = found.where("hot is not null").select(F.col("hot"), F.col("a").alias("cls")).distinct()
+    hot = deeper.where("hot is not null").select("hot", F.col("who").alias("cls"))
     near = checkpoint(near.unionByName(blocks(hot, sketches, least)).distinct())
     return measured(near, classes, least)
 

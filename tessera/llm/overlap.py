@@ -25,15 +25,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.common import checkpoint, stored
-from tessera.llm import grams, neardup
+from tessera.llm import grams, neardup, regions
 
 TRAIN, HELD_OUT = 1, 2
 #: Words of the least span that counts as shared, and of the heads that short texts have besides; texts of fewer runs of three words are short.
 SPAN, SHORT, FEW = 6, 3, 48
 #: Texts of a region up to which all of its cross-split pairs are taken as they are; larger ones are compared block by block.
 REGION = 48
-#: Suffixes of one head that are held at once.
-HOLD = 1 << 18
 #: The size of a region that isn't seen whole: such regions count as the least rare.
 UNSEEN = 1 << 40
 
@@ -77,33 +75,9 @@ def _distinct(owner: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return owner[fresh], key[fresh]
 
 
-def _regions(batches, columns: list[str], hold: int):
-    """(columns, ends, seen whole) of a sorted partition, region by region of the first column. The first and the last region of a partition, and those above `hold` rows, which come in parts, aren't seen whole."""
-    held, before, loose = None, False, None
-    for batch in batches:
-        cols = [batch.column(c).to_numpy() for c in columns]
-        if held is not None:
-            cols = [np.concatenate(x) for x in zip(held, cols)]
-        if not len(cols[0]):
-            continue
-        cuts = np.flatnonzero(np.diff(cols[0])) + 1
-        if len(cuts):
-            whole = np.ones(len(cuts), bool)
-            whole[0] = before and cols[0][0] != loose
-            yield [c[: cuts[-1]] for c in cols], cuts, whole
-            cols, before, loose = [c[cuts[-1] :] for c in cols], True, None
-        if len(cols[0]) > hold:
-            loose, before = cols[0][0], True
-            yield cols, np.array([len(cols[0])]), np.zeros(1, bool)
-            cols = [c[:0] for c in cols]
-        held = cols
-    if held is not None and len(held[0]):
-        yield held, np.array([len(held[0])]), np.zeros(1, bool)
-
-
 def _shared(batches, hold: int):
     """Rows (head, who, info, size, seen) of suffixes in regions of both sides, and of all in regions that aren't seen whole."""
-    for (head, who, info), ends, whole in _regions(batches, ["head", "who", "info"], hold):
+    for (head, who, info), ends, whole in regions.walk(batches, ["head", "who", "info"], hold):
         size = np.diff(np.concatenate(([0], ends)))
         take = np.repeat(~whole | (np.bitwise_or.reduceat(who & 3, ends - size) == TRAIN | HELD_OUT), size)
         seen, each = np.repeat(whole, size)[take], np.repeat(size, size)[take]
@@ -121,32 +95,15 @@ def shared(texts: DataFrame, places: bool = False, hold: int | None = None) -> D
 
     `texts` has `cls` (distinct, by `class_key`), `side` (1, 2 or both: 3) and `code`; null and short texts have no suffixes.
     """
-    partitions = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = texts.select("cls", "side", "code").mapInArrow(partial(_suffixes, places=places), "head long, who long, info int")
-    lined = rows.repartitionByRange(partitions, "head", "who").sortWithinPartitions("head", "who")
-    found = stored(lined.mapInArrow(partial(_shared, hold=hold or HOLD), "head long, who long, info int, size long, seen boolean"))
+    found = stored(regions.parted(rows, "head", "who").mapInArrow(partial(_shared, hold=hold or regions.HOLD), "head long, who long, info int, size long, seen boolean"))
     return found.where("seen").drop("seen").unionByName(_both(found.where("not seen").drop("seen")))
 
 
-def _meet(batches, region: int, hold: int):
-    """Candidates (a train, b held out) of small regions, and rows (hot, who) of those that are large or not seen whole."""
-    for (head, who), ends, whole in _regions(batches, ["head", "who"], hold):
-        starts = np.concatenate(([0], ends[:-1]))
-        small = whole & (ends - starts <= region)
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for x, y in zip(starts[small], ends[small]):
-            part = who[x:y]
-            train, held = part[part & TRAIN > 0], part[part & HELD_OUT > 0]
-            a.append(np.repeat(train, len(held)))
-            b.append(np.tile(held, len(train)))
-        a, b = np.concatenate(a) & ~3, np.concatenate(b) & ~3
-        hot = np.repeat(~small, ends - starts)
-        n, none = len(a), np.zeros(hot.sum(), np.int64)
-        other = np.arange(n + len(none)) >= n
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate((a, none)), mask=other), pa.array(np.concatenate((b, none)), mask=other), pa.array(np.concatenate((np.zeros(n, np.int64), head[hot])), mask=~other), pa.array(np.concatenate((np.zeros(n, np.int64), who[hot])), mask=~other)],
-            names=["a", "b", "hot", "who"],
-        )
+def _crossing(who: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(train, held out) of all pairs of a region that belong to different splits."""
+    train, held = who[who & TRAIN > 0] & ~3, who[who & HELD_OUT > 0] & ~3
+    return np.repeat(train, len(held)), np.tile(held, len(train))
 
 
 def candidates(found: DataFrame) -> DataFrame:
@@ -187,9 +144,7 @@ def _across(hot: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
 
 def links(texts: DataFrame, least: float, k: int = SHORT, region: int = REGION, hold: int | None = None) -> DataFrame:
     """Columns `a` (train), `b` (held out), `similarity` of different classes of texts at least so similar, at least 0.5, on runs of k words."""
-    partitions = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rare = candidates(shared(texts, hold=hold)).repartitionByRange(partitions, "head", "who").sortWithinPartitions("head", "who")
-    met = checkpoint(rare.mapInArrow(partial(_meet, region=region, hold=hold or HOLD), "a long, b long, hot long, who long"))
+    met = checkpoint(regions.meet(candidates(shared(texts, hold=hold)).withColumnRenamed("head", "key"), _crossing, region, hold))
     hot = met.where("hot is not null").select("hot", "who")
 
     def sets(of: DataFrame) -> DataFrame:

@@ -46,32 +46,33 @@ def _blank(c: str):
 
 
 def _contents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every row of entries with its content's class and set; the last bit of a class tells code from decision."""
+    """Every row of entries with its content's class and set, stored; the last bit of a class tells code from decision, and without content both are null."""
     text = F.when(~_blank("code"), F.col("code")).when(~_blank("decision"), F.col("decision"))
-    rows = table(spark, sf_dir, "entries").select("id", "updatedAt", (~_blank("code")).cast("long").alias("kind"), text.alias("content")).where("content is not null")
-    found = rows.select("id", "updatedAt", "kind", neardup.sets_of(F.col("content"), WORDS).alias("s"))
-    return found.select("id", "updatedAt", F.col("s.cls").bitwiseAND(F.lit(-2)).bitwiseOR(F.col("kind")).alias("cls"), F.col("s.grams").alias("grams"))
+    rows = table(spark, sf_dir, "entries").select("id", "updatedAt", (~_blank("code")).cast("long").alias("kind"), text.alias("content"))
+    found = rows.select("id", "updatedAt", "kind", F.when(F.col("content").isNotNull(), neardup.sets_of(F.col("content"), WORDS)).alias("s"))
+    return stored(found.select("id", "updatedAt", F.col("s.cls").bitwiseAND(F.lit(-2)).bitwiseOR(F.col("kind")).alias("cls"), F.col("s.grams").alias("grams")))
 
 
-def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, cls of the current row of each entry; entries without content have no class."""
-    blank = table(spark, sf_dir, "entries").where(_blank("code") & _blank("decision")).select("id", "updatedAt", F.lit(None).cast("long").alias("cls"))
-    held = latest(_contents(spark, sf_dir).drop("grams").unionByName(blank), key_or_null("id"), iso_ts("updatedAt"), ["cls"])
+def _members(contents: DataFrame) -> DataFrame:
+    """id, cls of the current row of each entry with content."""
+    held = latest(contents, key_or_null("id"), iso_ts("updatedAt"), ["cls"])
     return held.where("cls is not null").select(F.col("key").alias("id"), "cls")
 
 
-def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    classes = stored(_contents(spark, sf_dir).where("grams is not null").select("cls", "grams").dropDuplicates(["cls"]))
+def _links(contents: DataFrame) -> DataFrame:
+    classes = stored(contents.where("grams is not null").select("cls", "grams").dropDuplicates(["cls"]))
     return neardup.links(classes, ALIKE).where((F.col("a").bitwiseAND(1)) == (F.col("b").bitwiseAND(1)))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.expand(_links(spark, sf_dir), _members(spark, sf_dir))
+    contents = _contents(spark, sf_dir)
+    return neardup.expand(_links(contents), _members(contents))
 
 
 def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, grp (the least id of the group), copies (entries of equal content), links (entries at least half the same) of every entry with content."""
-    members, links = stored(_members(spark, sf_dir)), stored(_links(spark, sf_dir))
+    contents = _contents(spark, sf_dir)
+    members, links = _members(contents), stored(_links(contents))
     classes = members.groupBy("cls").agg(F.min("id").alias("first"), F.count("*").alias("copies"))
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     linked = both.join(classes.select(F.col("cls").alias("b"), "copies"), "b").groupBy(F.col("a").alias("cls")).agg(F.sum("copies").alias("others"))

@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import grams, neardup, overlap
+from tessera.llm import grams, neardup, overlap, regions
 
 WORDS = [f"w{i}" for i in range(400)]
 
@@ -103,34 +103,31 @@ def test_hot_family_that_differs_much(spark):
     assert got <= want and len(got) >= 0.985 * len(want)  # as the docstring of the module has it
 
 
-def test_walk_lets_large_regions_go_in_parts():
-    key = np.array([1] * 60 + [2, 2], np.int64)
-    rest = np.array([0] * 50 + [1 << 50] * 10 + [5, 5], np.int64)
-    cls = np.arange(62, dtype=np.int64)
-    batches = [pa.RecordBatch.from_arrays([pa.array(c[i : i + 7]) for c in (key, rest, cls)], names=["key", "rest", "cls"]) for i in range(0, 62, 7)]
-    rows = [r for b in neardup._walk(iter(batches), hold=10) for r in b.to_pylist()]
-    hot = {}
-    for r in rows:
-        if r["hot"] is not None:
-            hot.setdefault(r["hot"], set()).add(r["a"])
-    assert set(range(50)) in hot.values()
-    pairs = {(r["a"], r["b"]) for r in rows if r["b"] is not None}
-    assert (60, 61) in pairs and {(a, b) for a in range(50, 60) for b in range(a + 1, 60)} <= pairs
-
-
 @pytest.mark.parametrize("hold", [10, 1 << 18])
-def test_walk_parts_no_pair_of_a_large_region(hold):
-    key = np.array([1] * 60 + [2, 2, 3], np.int64)
-    rest = np.array([i // 3 << 48 for i in range(60)] + [5, 5, 5], np.int64)  # spread evenly over 20 next values
-    cls = np.arange(63, dtype=np.int64)
-    batches = [pa.RecordBatch.from_arrays([pa.array(c[i : i + 7]) for c in (key, rest, cls)], names=["key", "rest", "cls"]) for i in range(0, 63, 7)]
-    rows = [r for b in neardup._walk(iter(batches), hold=hold) for r in b.to_pylist()]
-    hot, pairs = {}, {(r["a"], r["b"]) for r in rows if r["b"] is not None}
+def test_walk_parts_no_region(hold):
+    key, who = np.array([0] + [1] * 60 + [2, 2, 3, 4], np.int64), np.arange(65, dtype=np.int64)
+    batches = [pa.RecordBatch.from_arrays([pa.array(c[i : i + 7]) for c in (key, who)], names=["key", "who"]) for i in range(0, 65, 7)]
+    rows = [r for b in regions._meet(iter(batches), neardup._pairs, 48, hold) for r in b.to_pylist()]
+    hot = {}
     for r in rows:
         if r["hot"] is not None:
-            hot.setdefault(r["hot"], set()).add(r["a"])
-    met = pairs | {(a, b) for h in hot.values() for a in h for b in h if a < b}
-    assert met == {(a, b) for a in range(60) for b in range(a + 1, 60)} | {(60, 61)}
+            hot.setdefault(r["hot"], set()).add(r["who"])
+    assert hot == {0: {0}, 1: set(range(1, 61)), 4: {64}}
+    assert [(r["a"], r["b"]) for r in rows if r["a"] is not None] == [(61, 62)]
+
+
+def test_families_behind_one_notice(spark, monkeypatch):
+    """Many small families whose texts begin with one notice: their regions are large, and no link is lost."""
+    monkeypatch.setattr(neardup, "REGION", 4)
+    rng = random.Random(17)
+    notice, many = [rng.choice(WORDS) for _ in range(40)], []
+    for _ in range(40):
+        base = [rng.choice(WORDS) for _ in range(60)]
+        for k in range(3):
+            v = list(base)
+            v[10 + k] = f"own{rng.randrange(10**6)}"
+            many.append(" ".join(notice + v))
+    assert found(spark, many) == brute(many)
 
 
 def test_empty_and_extra_columns(spark):
