@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from tessera.common import checkpoint
 
-#: Buckets within a size, for ranks: so many tasks may share one size.
-BUCKETS = 64
+#: Items of one size that are ranked together; a size with more has more buckets, and each is a task's.
+BUCKET_ROWS = 1 << 18
 
 
 def best_fill(counts: dict[int, int], room: int) -> dict[int, int]:
@@ -74,14 +74,16 @@ def pack(items: DataFrame, id_col: str, size_col: str, capacity: int) -> DataFra
     An item larger than `capacity` is cut into pieces of `capacity`, each a container by itself, and a rest
     that is packed like any item; `start` is where a piece begins in its item. Null, zero and negative sizes
     take no place and don't come out. Repeated rows are items of their own. Ties are broken by id.
-    `container` numbers are unique, without gaps among shared containers; an item's place in its
-    container counts from 0.
+    `container` numbers count from 0 without gaps; an item's place in its container counts from 0.
     """
     spark = items.sparkSession
     sized = checkpoint(items.select(F.col(id_col).alias("id"), F.col(size_col).cast("long").alias("total"))).where("total > 0")  # sizes may be dear, and are read three times
-    rest = sized.select("id", "total", (F.col("total") % capacity).cast("int").alias("size")).where("size > 0")
-    bucket = F.pmod(F.xxhash64("id"), F.lit(BUCKETS)).cast("int")
-    cells = rest.groupBy("size", bucket.alias("bucket")).agg(F.count("*").alias("n")).toPandas()  # <= capacity * BUCKETS rows
+    cut = F.sequence(F.lit(0).cast("long"), F.floor((F.col("total") - 1) / capacity))
+    pieces = sized.select("id", "total", F.explode(cut).alias("piece")).withColumn("size", F.least(F.lit(capacity), F.col("total") - F.col("piece") * capacity).cast("int"))
+    often = pieces.groupBy("size").agg(F.count("*").alias("n"))  # <= capacity rows
+    spread = F.broadcast(often.select("size", F.ceil(F.col("n") / BUCKET_ROWS).alias("buckets")))
+    placed = pieces.join(spread, "size").withColumn("bucket", F.pmod(F.xxhash64("id", "total", "piece"), F.col("buckets"))).drop("buckets")
+    cells = placed.groupBy("size", "bucket").agg(F.count("*").alias("n")).toPandas()  # <= capacity + pieces / BUCKET_ROWS rows
     cells = cells.sort_values(["size", "bucket"])
     counts = {int(k): int(v) for k, v in cells.groupby("size")["n"].sum().items()}
     plan, used, at, runs = patterns(counts, capacity), dict.fromkeys(counts, 0), 0, {size: [] for size in counts}
@@ -94,7 +96,7 @@ def pack(items: DataFrame, id_col: str, size_col: str, capacity: int) -> DataFra
         at += times
     before = {(int(s), int(b)): int(x) for s, b, x in zip(cells["size"], cells["bucket"], cells.groupby("size")["n"].cumsum() - cells["n"])}
     starts = {size: [r[0] for r in rows] for size, rows in runs.items()}
-    sent = spark.sparkContext.broadcast((before, starts, runs))  # bounded by capacity * BUCKETS and by the patterns
+    sent = spark.sparkContext.broadcast((before, starts, runs))  # bounded as the cells are, and by the patterns
 
     def find(batches):
         before, starts, runs = sent.value
@@ -105,15 +107,9 @@ def pack(items: DataFrame, id_col: str, size_col: str, capacity: int) -> DataFra
                 rank = before[s, bucket[i]] + nth[i] - 1
                 first, base, each, shift = runs[s][bisect.bisect_right(starts[s], rank) - 1]
                 container[i], place[i] = base + (rank - first) // each, shift + (rank - first) % each
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(batch.column("total")), batch.column("size"), pa.array(container), pa.array(place)], names=["id", "total", "size", "container", "place"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("piece"), batch.column("size"), pa.array(container), pa.array(place)], names=["id", "piece", "size", "container", "place"])
 
-    ranked = rest.withColumn("bucket", bucket).withColumn("nth", F.row_number().over(Window.partitionBy("size", "bucket").orderBy("id", "total")))
+    ranked = placed.withColumn("nth", F.row_number().over(Window.partitionBy("size", "bucket").orderBy("id", "total", "piece")))
     kind = items.schema[id_col].dataType.simpleString()
-    shared = ranked.mapInArrow(find, f"id {kind}, total long, size int, container long, place int").select(
-        "id", F.floor(F.col("total") / capacity).cast("int").alias("piece_no"), (F.col("total") - F.col("size")).alias("start"), "size", F.format_string("s%d", "container").alias("container"), "place"
-    )
-    full = sized.where(F.col("total") >= capacity).select("id", "total", F.explode(F.sequence(F.lit(0), (F.floor(F.col("total") / capacity) - 1).cast("int"))).alias("piece_no"))
-    own = full.select(
-        "id", "piece_no", (F.col("piece_no").cast("long") * capacity).alias("start"), F.lit(capacity).alias("size"), F.concat(F.lit("w"), F.hex(F.xxhash64("id", "total")), F.lit("-"), F.col("id").cast("string"), F.lit("-"), F.col("piece_no")).alias("container"), F.lit(0).alias("place")
-    )
-    return shared.unionByName(own)
+    shared = ranked.mapInArrow(find, f"id {kind}, piece long, size int, container long, place int")
+    return shared.select("id", F.col("piece").cast("int").alias("piece_no"), (F.col("piece") * capacity).alias("start"), "size", "container", "place")

@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import hashlib
 import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.common import BLANKS, is_filler, iso_ts, key_or_null, latest, norm_key
+from tessera.common import BLANKS, checkpoint, is_filler, iso_ts, key_or_null, latest, norm_key
 from tessera.llm.components import components, stars
 
-#: A component with at least this share of all entries is placed by what room the splits have left. There are at most 1 / HEAVY of them.
-HEAVY = 0.001
+#: Steps of a split's weight that are tried, as powers of two, and how often every split is gone through.
+STEPS, ROUNDS = [k / 8 for k in range(-12, 13)], 2
 
 
 def repository(source: Column) -> Column:
@@ -52,41 +51,53 @@ def pairs(groups: DataFrame) -> DataFrame:
     return a.join(b, "component").where("slug_a < slug_b").select("slug_a", "slug_b")
 
 
-def _draw(seed: str, component: str, split: str) -> float:
-    return (int.from_bytes(hashlib.sha256(f"{seed}\0{component}\0{split}".encode()).digest()[:7], "big") + 0.5) / float(1 << 56)
+def draws(component: Column, names: list[str], seed: str) -> dict[str, Column]:
+    """-ln of what each split draws for a component: a number by the hash of seed, component and split's name, above 0 and below 1."""
+    out = {}
+    for name in names:
+        digest = F.sha2(F.concat(F.lit(seed), F.lit("\0"), component, F.lit("\0"), F.lit(name)), 256)
+        out[name] = -F.log((F.conv(F.substring(digest, 1, 14), 16, 10).cast("decimal(20,0)").cast("double") + 0.5) / float(1 << 56))
+    return out
 
 
-def assign(groups: DataFrame, sizes: DataFrame, ratios: dict[str, float], seed: str) -> DataFrame:
+def weights_for(by_component: DataFrame, ratios: dict[str, float]) -> dict[str, float]:
+    """Weights under which the shares of entries come near the ratios.
+
+    `by_component` has `weight` and the draw of each split, `draw_<name>`. Shares drawn by the ratios themselves stray from
+    them by chance, far if a component is large; so the weights are varied, one split at a time, and those kept under
+    which the shares are nearest. A pass over the components gives the shares under all weights that are tried for a split.
+    """
+    names, best, error = sorted(ratios), dict(ratios), None
+    for _ in range(ROUNDS):
+        for name in names[1:]:
+            tried = [best | {name: best[name] * 2**step} for step in STEPS]
+            shares = F.array(*[F.array(*[F.lit(math.log(w[n])) for n in names]) for w in tried])
+            score = lambda w: F.array_min(F.array(*[F.struct(F.log(f"draw_{n}") - w[i], F.lit(i).alias("split")) for i, n in enumerate(names)]))["split"]
+            rows = by_component.select("weight", F.posexplode(F.transform(shares, score)).alias("trial", "split"))
+            sums = rows.groupBy("trial", "split").agg(F.sum("weight").alias("n")).collect()  # trials x splits
+            total = sum(r["n"] for r in sums if r["trial"] == 0)
+            if not total:
+                return best
+            got = {(r["trial"], names[r["split"]]): r["n"] / total for r in sums}
+            off = [sum(abs(got.get((t, n), 0.0) - ratios[n]) for n in names) for t in range(len(tried))]
+            t = min(range(len(tried)), key=lambda k: (round(off[k], 9), abs(STEPS[k]), k))
+            if error is None or off[t] < error - 1e-9:
+                best, error = tried[t], off[t]
+    return best
+
+
+def assign(groups: DataFrame, sizes: DataFrame, ratios: dict[str, float], seed: str, weights: dict[str, float] | None = None) -> DataFrame:
     """Columns `slug, component, entries, split`: components go whole into splits, shares of entries come near the ratios.
 
-    Weighted rendezvous hashing: each split draws a number from the hash of seed, component and its name, and
-    the one with the least -ln(draw) / weight wins. The weight is the room a split has left: heavy components, at
-    most 1 / HEAVY, are placed one by one from the largest, where there is room for them; all others
-    are placed at once by the room that then is left. So the draw of a light component depends on no other.
-    `sizes` has `slug, entries`; projects without entries count as 0. Ties can't be: draws differ.
+    Weighted rendezvous hashing: each split draws a number for a component, and the one with the least -ln(draw) / weight
+    wins; the draws of a component depend on no other. With fixed `weights` neither does its split, and who gives those
+    of an earlier run keeps its splits; without, `weights_for` finds weights, and a component moves only where they change
+    between two runs, from splits that grew to those that shrank. `sizes` has `slug, entries`; projects without entries
+    count as 0. Ties of draws can't be; a split with ratio 0 gets nothing.
     """
+    ratios = {name: share for name, share in sorted(ratios.items()) if share > 0}
     sized = groups.select("slug", "component").join(sizes.select("slug", "entries"), "slug", "left").withColumn("entries", F.coalesce("entries", F.lit(0)).cast("long"))
-    by_component = sized.groupBy("component").agg(F.sum("entries").alias("weight"))
-    total = by_component.agg(F.coalesce(F.sum("weight"), F.lit(0))).first()[0]
-    heavy = by_component.where((F.col("weight") >= HEAVY * total) & (F.col("weight") > 0)).orderBy(F.desc("weight"), "component").collect()
-    room = {name: share * total for name, share in sorted(ratios.items()) if share > 0}
-    placed: dict[str, list[str]] = {name: [] for name in room}
-    for row in heavy:
-        fits = [n for n in room if room[n] >= row["weight"]] or [max(room, key=lambda n: (room[n], n))]
-        best = min(fits, key=lambda n: -math.log(_draw(seed, row["component"], n)) / max(room[n], 1e-9))
-        placed[best].append(row["component"])
-        room[best] -= row["weight"]
-    left = {n: max(room[n], 1e-3 * ratios[n] * max(total, 1)) for n in room}
-
-    def draw(name: str) -> Column:
-        part = F.conv(F.substring(F.sha2(F.concat(F.lit(seed), F.lit("\0"), F.col("component"), F.lit("\0"), F.lit(name)), 256), 1, 14), 16, 10).cast("decimal(20,0)").cast("double")
-        return -F.log((part + 0.5) / float(1 << 56)) / F.lit(left[name])
-
-    scores = {name: draw(name) for name in left}
-    split = F.lit(None).cast("string")
-    for name, score in scores.items():
-        split = F.when((score <= F.least(*scores.values())) if len(scores) > 1 else F.lit(True), name).otherwise(split)
-    known = [(c, n) for n, cs in placed.items() for c in cs]
-    spark = groups.sparkSession
-    fixed = F.broadcast(spark.createDataFrame(known, "component string, fixed string"))  # at most 1 / HEAVY rows
-    return sized.join(fixed, "component", "left").select("slug", "component", "entries", F.coalesce("fixed", split).alias("split"))
+    drawn = checkpoint(sized.groupBy("component").agg(F.sum("entries").alias("weight")).select("component", "weight", *[d.alias(f"draw_{n}") for n, d in draws(F.col("component"), list(ratios), seed).items()]))
+    weights = weights or weights_for(drawn, ratios)
+    score = F.array_min(F.array(*[F.struct((F.col(f"draw_{n}") / F.lit(weights[n])).alias("score"), F.lit(n).alias("split")) for n in ratios]))
+    return sized.join(drawn.select("component", score["split"].alias("split")), "component").select("slug", "component", "entries", "split")

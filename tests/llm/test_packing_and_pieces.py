@@ -7,6 +7,17 @@ import pytest
 from tessera.llm import bpe, packing, pieces
 
 
+def test_repeated_rows_have_containers_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BUCKET_ROWS", 3)
+    rows = [("x", 250)] * 4 + [("y", 100)] * 3 + [(f"i{i}", 30) for i in range(20)]
+    got = packing.pack(spark.createDataFrame(rows, "id string, n int"), "id", "n", 100).collect()
+    fill = {}
+    for r in got:
+        fill[r.container] = fill.get(r.container, 0) + r.size
+    assert max(fill.values()) <= 100 and sum(fill.values()) == sum(n for _, n in rows)
+    assert len(fill) == 8 + 3 + 2 + 7 and sorted(fill) == list(range(len(fill)))  # 50s by twos, 30s by threes
+
+
 def test_best_fill_is_best():
     rng = random.Random(2)
     for _ in range(200):

@@ -79,3 +79,15 @@ def test_assign(spark):
         assert abs(sum(r.entries for r in rows if r.split == name) / total - share) < 0.04
     again = splits.assign(g.orderBy(F.desc("slug")), spark.createDataFrame(sizes, "slug string, entries long"), ratios, "seed").collect()
     assert {r.slug: r.split for r in again} == {r.slug: r.split for r in rows}
+    # fixed weights: who is there besides moves nobody
+    fixed = {"train": 0.5, "dev": 0.3, "test": 0.2}
+    one = {r.slug: r.split for r in splits.assign(g, spark.createDataFrame(sizes, "slug string, entries long"), ratios, "seed", fixed).collect()}
+    less = {r.slug: r.split for r in splits.assign(g.where("slug <> 'p0'"), spark.createDataFrame(sizes, "slug string, entries long"), ratios, "seed", fixed).collect()}
+    assert all(one[s] == split for s, split in less.items())
+
+
+def test_hot_keys_are_joined_apart(spark, monkeypatch):
+    monkeypatch.setattr("tessera.llm.components.SPREAD", 10)
+    edges = [(0, i) for i in range(1, 60)] + [(100, 101), (101, 102), (None, 5)] + [(i, 59) for i in range(200, 230)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a int, b int")).collect()}
+    assert got == {**dict.fromkeys([*range(60), *range(200, 230)], 0), 100: 100, 101: 100, 102: 100}
