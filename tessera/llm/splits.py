@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from tessera.common import BLANKS, checkpoint, is_filler, iso_ts, key_or_null, latest, norm_key
 from tessera.llm.components import components, stars
 
-#: Steps of a split's weight that are tried, as powers of two, and how often every split is gone through.
-STEPS, ROUNDS = [k / 8 for k in range(-12, 13)], 2
+#: Steps of a split's weight that are tried, as powers of two, and how often at most the best of them is taken.
+STEPS, ROUNDS = [k / 12 for k in range(-18, 19)], 6
 
 
 def repository(source: Column) -> Column:
@@ -64,25 +64,24 @@ def weights_for(by_component: DataFrame, ratios: dict[str, float]) -> dict[str,
     """Weights under which the shares of entries come near the ratios.
 
     `by_component` has `weight` and the draw of each split, `draw_<name>`. Shares drawn by the ratios themselves stray from
-    them by chance, far if a component is large; so the weights are varied, one split at a time, and those kept under
-    which the shares are nearest. A pass over the components gives the shares under all weights that are tried for a split.
+    them by chance, far if a component is large; so the weights are varied, and those kept under which
+    the shares are nearest. A pass over the components gives the shares under all weights that are tried.
     """
-    names, best, error = sorted(ratios), dict(ratios), None
+    names, best = sorted(ratios), dict(ratios)
     for _ in range(ROUNDS):
-        for name in names[1:]:
-            tried = [best | {name: best[name] * 2**step} for step in STEPS]
-            shares = F.array(*[F.array(*[F.lit(math.log(w[n])) for n in names]) for w in tried])
-            score = lambda w: F.array_min(F.array(*[F.struct(F.log(f"draw_{n}") - w[i], F.lit(i).alias("split")) for i, n in enumerate(names)]))["split"]
-            rows = by_component.select("weight", F.posexplode(F.transform(shares, score)).alias("trial", "split"))
-            sums = rows.groupBy("trial", "split").agg(F.sum("weight").alias("n")).collect()  # trials x splits
-            total = sum(r["n"] for r in sums if r["trial"] == 0)
-            if not total:
-                return best
-            got = {(r["trial"], names[r["split"]]): r["n"] / total for r in sums}
-            off = [sum(abs(got.get((t, n), 0.0) - ratios[n]) for n in names) for t in range(len(tried))]
-            t = min(range(len(tried)), key=lambda k: (round(off[k], 9), abs(STEPS[k]), k))
-            if error is None or off[t] < error - 1e-9:
-                best, error = tried[t], off[t]
+        tried = [best, *(best | {name: best[name] * 2**step} for name in names for step in STEPS if step)]
+        shares = F.array(*[F.array(*[F.lit(math.log(w[n])) for n in names]) for w in tried])
+        score = lambda w: F.array_min(F.array(*[F.struct(F.log(f"draw_{n}") - w[i], F.lit(i).alias("split")) for i, n in enumerate(names)]))["split"]
+        sums = by_component.select("weight", F.posexplode(F.transform(shares, score)).alias("trial", "split")).groupBy("trial", "split").agg(F.sum("weight").alias("n")).collect()  # trials x splits
+        total = sum(r["n"] for r in sums if r["trial"] == 0)
+        if not total:
+            return best
+        got = {(r["trial"], names[r["split"]]): r["n"] / total for r in sums}
+        off = [sum((got.get((t, n), 0.0) - ratios[n]) ** 2 for n in names) for t in range(len(tried))]
+        t = min(range(len(tried)), key=lambda k: (round(off[k], 9), k))
+        if t == 0:
+            return best
+        best = tried[t]
     return best
 
 
