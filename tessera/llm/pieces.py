@@ -1,4 +1,9 @@
-"""Splitting texts that are too large at natural boundaries (problem 8), by lexical cohesion."""
+"""Splitting texts that are too large at natural boundaries (problem 8), by lexical cohesion.
+
+A block of words slides over the text on either side of each place; how alike the two are, as the cosine of their
+counts, is the cohesion there. Where it has a valley at a natural boundary, the topic changes; the depth of a valley is
+how far cohesion falls from the peaks to its left and right. Each piece ends at the deepest valley of its window.
+"""
 
 from __future__ import annotations
 
@@ -6,20 +11,22 @@ import re
 from bisect import bisect_left, bisect_right
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe
 
-#: Words on either side of a boundary that are compared, and how much a level of boundary weighs against depth.
+#: Words of a block, and how much a level of boundary weighs against depth, which is 0 to 2.
 BLOCK, LEVEL = 48, 0.12
 #: Tokens above which a piece of text without boundary inside is itself parted.
 RUN = 16
 #: A piece holds at least this share of the limit where a boundary allows it.
 LEAST = 0.5
 
-_WORD = re.compile(r"\w{3,}")
+#: Words of three letters or more; where words aren't parted by blanks, runs of katakana and single ideographs.
+_WORD = re.compile(r"([^\W\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]{3,}|[\u30a1-\u30ff]{2,}|[\u3400-\u9fff\uf900-\ufaff])")
 _NATURAL = re.compile(r"[ \t]*(?:\r\n?|\n)\s*|(?<=[.!?;…])[\"')\]»”’]*[ \t]+(?=\S)|[。！？][」』）]*")
 
 
@@ -73,11 +80,50 @@ def boundaries(text: str, chars: list[int]) -> dict[int, int]:
     return out
 
 
+def cohesion(words: np.ndarray, block: int = BLOCK) -> np.ndarray:
+    """For each place between words, 0 to n: the cosine of the counts of the `block` words before and after it; 0 at the ends.
+
+    Counts aren't taken anew for every place: two equal words add to the places that lie between them and have both within
+    reach, and to the blocks that hold both, so it is enough to go through the pairs of equal words less than two blocks apart.
+    """
+    n = len(words)
+    order = np.argsort(words, kind="stable")
+    ranked, across, within = words[order], np.zeros(n + 2, np.int64), np.zeros(n + 2 * block + 2, np.int64)  # within: blocks by their first word, from -block on
+    for k in range(1, 2 * block):
+        p, q = order[:-k], order[k:]
+        near = (ranked[:-k] == ranked[k:]) & (q - p < 2 * block)
+        if not near.any():
+            break
+        p, q = p[near], q[near]
+        across += np.bincount(np.maximum(p + 1, q - block + 1), minlength=n + 2) - np.bincount(np.minimum(q, p + block) + 1, minlength=n + 2)
+        p, q = p[q - p < block], q[q - p < block]
+        within += np.bincount(q + 1, minlength=len(within)) - np.bincount(p + 1 + block, minlength=len(within))
+    first = np.arange(-block, n + 1)
+    norm = np.minimum(first + block, n) - np.maximum(first, 0) + 2 * np.cumsum(within)[: len(first)]
+    return np.cumsum(across)[: n + 1] / np.sqrt(np.maximum(norm[: n + 1] * norm[block : block + n + 1], 1))
+
+
+def depths(likeness: list[float]) -> list[float]:
+    """How deep the valley at each boundary is: how far cohesion rises from there to the next peak on either side. On a slope there is none: a boundary beside which cohesion is less has depth 0."""
+
+    def peaks(values: list[float]) -> list[float]:
+        out, before, peak = [], None, 0.0
+        for v in values:
+            peak = peak if before is not None and before >= v else v
+            out.append(peak)
+            before = v
+        return out
+
+    before, after = [*likeness[:1], *likeness[:-1]], [*likeness[1:], *likeness[-1:]]
+    return [a + b - 2 * v if x >= v <= y else 0.0 for a, b, v, x, y in zip(peaks(likeness), reversed(peaks(likeness[::-1])), likeness, before, after)]
+
+
 def cut(machine: bpe.Transducer, text: str, limit: int, overlap: int) -> list[tuple[int, int, int, int]]:
     """(start, end, tokens, tokens of overlap) of each piece, in characters of the text; together they cover all of it.
 
     Within the parts that can end a piece, boundaries of any kind are compared if there are some, else blanks,
-    else all. Of these the one with the deepest valley of cohesion is taken, a higher kind counting as depth.
+    else all. Of these the one with the deepest valley of cohesion is taken, a higher kind counting as depth; of
+    equal ones the last.
     """
     parts, sizes = units(machine, text)
     tokens, chars = [0, *accumulate(sizes)], [0, *accumulate(map(len, parts))]
@@ -85,19 +131,11 @@ def cut(machine: bpe.Transducer, text: str, limit: int, overlap: int) -> list[tu
         return [(0, len(text), tokens[-1], 0)]
     level = boundaries(text, chars)
     natural = sorted(i for i in level if 0 < i < len(parts))
-    words, places = [], []
-    for m in _WORD.finditer(text.lower()):
-        words.append(m[0])
-        places.append(m.start())
-    known: dict[int, float] = {}
-
-    def likeness(i: int) -> float:
-        """How alike the words before and after a boundary are, 0 to 1."""
-        if i not in known:
-            at = bisect_left(places, chars[i])
-            left, right = set(words[max(0, at - BLOCK) : at]), set(words[at : at + BLOCK])
-            known[i] = len(left & right) / min(len(left), len(right)) if left and right else 0.0
-        return known[i]
+    low = text.lower()
+    apart = _WORD.split(low if len(low) == len(text) else text)  # what is between words, a word, and so on
+    words, places = np.fromiter(map(hash, apart[1::2]), np.int64, len(apart) // 2), np.cumsum(np.fromiter(map(len, apart), np.int64, len(apart)))[:-1:2]
+    at = np.searchsorted(places, np.array([chars[i] for i in natural], np.int64))
+    score = [d + LEVEL * level[i] for i, d in zip(natural, depths(cohesion(words)[at].tolist()))]
 
     def size(a: int, b: int) -> int:
         """The tokens of parts a to b as a text of their own: blanks at its end, parted before a word, join."""
@@ -112,13 +150,10 @@ def cut(machine: bpe.Transducer, text: str, limit: int, overlap: int) -> list[tu
             out.append((chars[start], len(text), size(start, len(parts)), size(start, fresh)))
             return out
         least = max(fresh + 1, bisect_left(tokens, tokens[start] + int(limit * LEAST)))
-        near = natural[bisect_left(natural, least) : bisect_right(natural, last)] or natural[bisect_left(natural, fresh + 1) : bisect_right(natural, last)]
+        to = bisect_right(natural, last)
+        near = range(bisect_left(natural, least), to) or range(bisect_left(natural, fresh + 1), to)
         if near:
-            near = near[-64:]
-            s = [likeness(i) for i in near]
-            high = max(s)
-            end = max(range(len(near)), key=lambda k: (2 * (high - s[k]) + LEVEL * level[near[k]], near[k]))
-            end = near[end]
+            end = natural[max(near, key=lambda k: (score[k], k))]
         else:
             end = next((i for i in range(last, least, -1) if parts[i][0].isspace()), last)
         out.append((chars[start], chars[end], size(start, end), size(start, fresh)))
@@ -135,19 +170,21 @@ def split(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Piece numbers count from 0; characters count from 0 and the end is exclusive. Every piece but the first
     begins with the last `overlap` tokens or so of the one before; without them the pieces joined are the text.
     Null, empty and smaller texts have no pieces. Repeated rows come out as often as they come in. One narrow
-    map; nothing is shuffled.
+    map; nothing is shuffled, and only places leave the Python worker: texts are cut where they are.
     """
     ranks = bpe.vocabulary(name, folder)
-    shape = "array<struct<piece_no:int,n_pieces:int,start_char:int,end_char:int,n_tokens:int,overlap_tokens:int,text:string>>"
 
-    @F.arrow_udf(shape)
+    @F.arrow_udf("array<struct<start:int,end:int,n:int,o:int>>")
     def pieces(texts: pa.Array) -> pa.Array:
         machine, out = bpe.load(ranks), []
         for scalar in texts:
             text = scalar.as_py()
             found = cut(machine, text, limit, overlap) if text and len(text.encode("utf-8", "surrogatepass")) > limit else []
-            out.append([dict(piece_no=k, n_pieces=len(found), start_char=a, end_char=b, n_tokens=n, overlap_tokens=o, text=text[a:b]) for k, (a, b, n, o) in enumerate(found)] if len(found) > 1 else [])
-        field = pa.struct([("piece_no", pa.int32()), ("n_pieces", pa.int32()), ("start_char", pa.int32()), ("end_char", pa.int32()), ("n_tokens", pa.int32()), ("overlap_tokens", pa.int32()), ("text", pa.string())])
-        return pa.array(out, pa.list_(field))
-
-    return documents.select(F.col(id_col).alias("doc_id"), F.inline(pieces(F.col(text_col))))
+            out.append([dict(zip(("start", "end", "n", "o"), p)) for p in found] if len(found) > 1 else [])
+        return pa.array(out, pa.list_(pa.struct([(c, pa.int32()) for c in ("start", "end", "n", "o")])))
+
+    cuts = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("whole"), pieces(F.col(text_col)).alias("pieces"))
+    each = cuts.select("doc_id", "whole", F.size("pieces").alias("n_pieces"), F.posexplode("pieces").alias("piece_no", "p"))
+    return each.select(
+        "doc_id", "piece_no", "n_pieces", F.col("p.start").alias("start_char"), F.col("p.end").alias("end_char"), F.col("p.n").alias("n_tokens"), F.col("p.o").alias("overlap_tokens"), F.substring("whole", F.col("p.start") + 1, F.col("p.end") - F.col("p.start")).alias("text")
+    )

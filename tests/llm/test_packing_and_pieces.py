@@ -2,6 +2,7 @@ import itertools
 import os
 import random
 
+import numpy as np
 import pytest
 
 from tessera.llm import bpe, packing, pieces
@@ -150,3 +151,22 @@ def test_split_table(spark, machine):
     one = sorted((r.piece_no, r.start_char, r.end_char, r.text) for r in got if r.doc_id == 1)
     assert one[::2] == one[1::2] and all(t == TEXTS["prose"][a:b] for _, a, b, t in one)
     assert pieces.split(df.where("false")).count() == 0
+
+
+def test_cohesion_as_by_counts():
+    from collections import Counter
+
+    rng = random.Random(3)
+    for n, kinds, block in ((0, 1, 4), (1, 1, 4), (7, 2, 4), (60, 5, 8), (200, 30, 48), (150, 1, 8)):
+        words = np.array([rng.randrange(kinds) for _ in range(n)], np.int64)
+        got = pieces.cohesion(words, block)
+        for i in range(n + 1):
+            left, right = Counter(words[max(0, i - block) : i].tolist()), Counter(words[i : i + block].tolist())
+            norm = (sum(v * v for v in left.values()) * sum(v * v for v in right.values())) ** 0.5
+            assert got[i] == pytest.approx(sum(left[w] * right[w] for w in left) / norm if norm else 0)
+
+
+def test_depth_needs_a_rise_on_a_side():
+    assert pieces.depths([0.9, 0.5, 0.2, 0.6, 0.8, 0.7]) == pytest.approx([0, 0, 1.3, 0, 0, 0.1])
+    assert pieces.depths([]) == [] and pieces.depths([0.3]) == [0]
+    assert pieces.depths([0.9, 0.7, 0.5, 0.3])[:3] == [0, 0, 0]  # a slope isn't a valley
