@@ -183,7 +183,7 @@ def split(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             out.append([dict(zip(("start", "end", "n", "o"), p)) for p in found] if len(found) > 1 else [])
         return pa.array(out, pa.list_(pa.struct([(c, pa.int32()) for c in ("start", "end", "n", "o")])))
 
-    cuts = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("whole"), pieces(F.col(text_col)).alias("pieces"))
+    cuts = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("whole"), pieces.asNondeterministic()(F.col(text_col)).alias("pieces"))  # else it would run for the size and for the rows
     each = cuts.select("doc_id", "whole", F.size("pieces").alias("n_pieces"), F.posexplode("pieces").alias("piece_no", "p"))
     return each.select(
         "doc_id", "piece_no", "n_pieces", F.col("p.start").alias("start_char"), F.col("p.end").alias("end_char"), F.col("p.n").alias("n_tokens"), F.col("p.o").alias("overlap_tokens"), F.substring("whole", F.col("p.start") + 1, F.col("p.end") - F.col("p.start")).alias("text")
