@@ -197,7 +197,7 @@ def links(classes: DataFrame, least: float) -> DataFrame:
     """
     classes, sc = classes.select("cls", "grams"), classes.sparkSession.sparkContext
     forest = checkpoint(regions.meet(classes.mapInArrow(_plant, "key long, who long"), _pairs, REGION))
-    large = classes.join(forest.where("hot is not null").select(F.col("who").alias("cls")).distinct(), "cls", "left_semi")
+    large = regions.some(classes, checkpoint(forest.where("hot is not null").select(F.col("who").alias("cls")).distinct()), "cls")
     table = np.zeros(1 << SLOTS, np.int64)
     counts = large.mapInArrow(_counted, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()  # at most 2 ** SLOTS rows
     table[counts["slot"].to_numpy(np.int64)] = counts["n"]
@@ -213,8 +213,8 @@ def links(classes: DataFrame, least: float) -> DataFrame:
 
 def measured(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
     """Pairs `a, b` with their exact similarity, if it is at least `least`. Sets of classes in no pair aren't moved twice."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    sets = classes.join(needed, "cls", "left_semi").select("cls", "grams")
+    needed = checkpoint(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct())
+    sets = regions.some(classes, needed, "cls").select("cls", "grams")
     both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("cls").alias("b"), F.col("grams").alias("y")), "b")
     return both.select("a", "b", similarity(F.col("x"), F.col("y")).alias("similarity")).where(F.col("similarity") >= least)
 

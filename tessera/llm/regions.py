@@ -12,9 +12,17 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Rows of one region that are held at once.
 HOLD = 1 << 18
+#: Rows of one number each, 8 bytes, up to which a table is broadcast; beyond that it is joined by a shuffle.
+FEW = 1 << 20
+
+
+def some(rows: DataFrame, of: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is in `of`, a checkpointed table of distinct keys: what is broad needn't be moved if these are few."""
+    return rows.join(F.broadcast(of) if of.count() <= FEW else of, key, "left_semi")
 
 
 def parted(rows: DataFrame, *columns: str) -> DataFrame:
