@@ -53,7 +53,7 @@ class _Pieces(dict):
         self.machine = machine
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
-        ids = tuple(self.machine.stream(piece.encode("utf-8", "surrogatepass")))
+        ids = self.machine.ids(piece.encode("utf-8", "surrogatepass"))
         if len(piece) <= 48:
             if len(self) >= PIECES:
                 self.clear()
@@ -61,11 +61,22 @@ class _Pieces(dict):
         return ids
 
 
-class _State:
-    __slots__ = ("kept", "last", "moves", "rest")
+class _State(dict):
+    """The bytes not yet certain, how long the token is that ends at each of them, and where tokens begin that may go on. As a dict: from the next byte to the next state and the ids that became certain; moves not seen yet are worked out."""
 
-    def __init__(self, kept: bytes, last: tuple[int, ...]):
-        self.kept, self.last, self.moves, self.rest = kept, last, {}, None
+    __slots__ = ("kept", "last", "machine", "open", "rest")
+
+    def __init__(self, machine: Transducer, kept: bytes, last: tuple[int, ...], open: tuple[int, ...]):
+        super().__init__()
+        self.machine, self.kept, self.last, self.open, self.rest = machine, kept, last, open, None
+
+    def __missing__(self, byte: int) -> tuple[_State, tuple[int, ...]]:
+        machine = self.machine
+        machine.known += 1
+        if machine.known >= MOVES:
+            machine._forget()
+        move = self[byte] = machine.move(self, byte)
+        return move
 
 
 class Transducer:
@@ -84,17 +95,22 @@ class Transducer:
         self.pieces = _Pieces(self)
 
     def _forget(self) -> None:
-        self.states: dict[bytes, _State] = {b"": _State(b"", ())}
+        self.states: dict[bytes, _State] = {b"": _State(self, b"", (), ())}
         self.start, self.known, self.agreed = self.states[b""], 0, {}
 
     def merged(self, text: bytes) -> list[bytes]:
         """The encoding of a few bytes by the merge list itself: the earliest merge first, then from the left."""
+        rank, none = self.ranks.get, 1 << 60
         parts = [text[i : i + 1] for i in range(len(text))]
-        while len(parts) > 1:
-            rank, at = min((self.ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
-            if rank == 1 << 60:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        merges = [rank(x + y, none) for x, y in zip(parts, parts[1:])]
+        while merges and (first := min(merges)) < none:
+            i = merges.index(first)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del merges[i]
+            if i:
+                merges[i - 1] = rank(parts[i - 1] + parts[i], none)
+            if i < len(merges):
+                merges[i] = rank(parts[i] + parts[i + 1], none)
         return parts
 
     def agree(self, left: bytes, right: bytes) -> bool:
@@ -114,13 +130,15 @@ class Transducer:
     def move(self, state: _State, byte: int) -> tuple[_State, tuple[int, ...]]:
         """The state after one more byte, and the ids that became certain."""
         text = state.kept + bytes((byte,))
-        n, last = len(text), state.last
-        for size in range(min(self.lookahead, n), 0, -1):
-            token, at = text[n - size :], n - size
-            if token in self.ranks and (at == 0 or self.agree(text[at - last[at - 1] : at], token)):
+        n, last, size = len(text), state.last, 1
+        began = (*state.open, n - 1)  # what ends or goes on here was open before, or begins here
+        for at in began:
+            if text[at:] in self.ranks and (at == 0 or self.agree(text[at - last[at - 1] : at], text[at:])):
+                size = n - at
                 break
         last = (*last, size)
-        ends = {n, *(i for i in range(max(0, n - self.lookahead + 1), n) if self.opens(text[i:]))}
+        goes_on = [at for at in began if self.opens(text[at:])]
+        ends = {n, *goes_on}
         while len(ends) > 1:  # back to where the paths of all of them meet
             far = max(ends)
             ends.remove(far)
@@ -133,30 +151,36 @@ class Transducer:
         kept = text[cut:]
         to = self.states.get(kept)
         if to is None:
-            to = self.states[kept] = _State(kept, last[cut:])
+            to = self.states[kept] = _State(self, kept, last[cut:], tuple(at - cut for at in goes_on))
         return to, tuple(reversed(out))
 
     def stream(self, data: Iterable[int]) -> Iterator[int]:
         """The ids of bytes that belong together, each as soon as it is certain."""
         state = self.start
         for byte in data:
-            move = state.moves.get(byte)
-            if move is None:
-                self.known += 1
-                if self.known >= MOVES:
-                    self._forget()
-                    state = self.states.setdefault(state.kept, _State(state.kept, state.last))
-                move = state.moves[byte] = self.move(state, byte)
-            state, out = move
+            state, out = state[byte]
             if out:
                 yield from out
+        yield from self.end(state)
+
+    def ids(self, data: bytes) -> tuple[int, ...]:
+        """The same at once."""
+        state, ids = self.start, []
+        for byte in data:
+            state, out = state[byte]
+            if out:
+                ids += out
+        return (*ids, *self.end(state))
+
+    def end(self, state: _State) -> tuple[int, ...]:
+        """The ids of the bytes a state keeps, if nothing follows."""
         if state.rest is None:
             out, i = [], len(state.kept)
             while i > 0:
                 out.append(self.ranks[state.kept[i - state.last[i - 1] : i]])
                 i -= state.last[i - 1]
             state.rest = tuple(reversed(out))
-        yield from state.rest
+        return state.rest
 
     def parts(self, text: str) -> list[str]:
         """The pieces within which merging stays."""

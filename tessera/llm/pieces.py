@@ -62,22 +62,22 @@ def units(machine: bpe.Transducer, text: str) -> tuple[list[str], list[int]]:
     return parts, sizes
 
 
-def boundaries(text: str, chars: list[int]) -> dict[int, int]:
-    """Natural boundaries, by the part they stand before: 5 before a heading, 4 a paragraph, 3 a statement at a line's end, 2 a line, 1 a sentence."""
-    out = {}
+def boundaries(text: str) -> tuple[list[int], list[int]]:
+    """Natural boundaries in characters, and their kinds: 5 before a heading, 4 a paragraph, 3 a statement at a line's end, 2 a line, 1 a sentence."""
+    at, level, follows = [], [], text + " "
     for m in _NATURAL.finditer(text):
-        end = m.end()
+        start, end = m.span()
         gap = m[0]
-        lines = gap.count("\n") or gap.count("\r")
-        if not lines:
-            level = 1
-        elif text.startswith("#", end):
-            level = 5
+        at.append(end)
+        if "\n" not in gap and "\r" not in gap:
+            level.append(1)
+        elif follows[end] == "#":
+            level.append(5)
+        elif (gap.count("\n") or gap.count("\r")) > 1:
+            level.append(4)
         else:
-            level = 4 if lines > 1 else 3 if text[m.start() - 1 : m.start()] in (";", "{", "}", ")") else 2
-        i = bisect_left(chars, end)
-        out[i if chars[i] == end else i - 1] = level
-    return out
+            level.append(3 if start and text[start - 1] in ";{})" else 2)
+    return at, level
 
 
 def cohesion(words: np.ndarray, block: int = BLOCK) -> np.ndarray:
@@ -88,16 +88,17 @@ def cohesion(words: np.ndarray, block: int = BLOCK) -> np.ndarray:
     """
     n = len(words)
     order = np.argsort(words, kind="stable")
-    ranked, across, within = words[order], np.zeros(n + 2, np.int64), np.zeros(n + 2 * block + 2, np.int64)  # within: blocks by their first word, from -block on
+    ranked, left, right = words[order], [order[:0]], [order[:0]]
     for k in range(1, 2 * block):
-        p, q = order[:-k], order[k:]
-        near = (ranked[:-k] == ranked[k:]) & (q - p < 2 * block)
+        near = (ranked[:-k] == ranked[k:]) & (order[k:] - order[:-k] < 2 * block)
         if not near.any():
             break
-        p, q = p[near], q[near]
-        across += np.bincount(np.maximum(p + 1, q - block + 1), minlength=n + 2) - np.bincount(np.minimum(q, p + block) + 1, minlength=n + 2)
-        p, q = p[q - p < block], q[q - p < block]
-        within += np.bincount(q + 1, minlength=len(within)) - np.bincount(p + 1 + block, minlength=len(within))
+        left.append(order[:-k][near])
+        right.append(order[k:][near])
+    p, q = np.concatenate(left), np.concatenate(right)
+    across = np.bincount(np.maximum(p + 1, q - block + 1), minlength=n + 2) - np.bincount(np.minimum(q, p + block) + 1, minlength=n + 2)
+    p, q = p[q - p < block], q[q - p < block]
+    within = np.bincount(q + 1, minlength=n + block + 2) - np.bincount(p + 1 + block, minlength=n + block + 2)  # blocks by their first word, from -block on
     first = np.arange(-block, n + 1)
     norm = np.minimum(first + block, n) - np.maximum(first, 0) + 2 * np.cumsum(within)[: len(first)]
     return np.cumsum(across)[: n + 1] / np.sqrt(np.maximum(norm[: n + 1] * norm[block : block + n + 1], 1))
@@ -129,13 +130,16 @@ def cut(machine: bpe.Transducer, text: str, limit: int, overlap: int) -> list[tu
     tokens, chars = [0, *accumulate(sizes)], [0, *accumulate(map(len, parts))]
     if tokens[-1] <= limit:
         return [(0, len(text), tokens[-1], 0)]
-    level = boundaries(text, chars)
-    natural = sorted(i for i in level if 0 < i < len(parts))
+    ends, kinds = boundaries(text)
+    starts = np.array(chars)
+    ends = np.searchsorted(starts, np.array(ends, np.int64), side="right") - 1  # the part a boundary stands before, or in
+    level = {i: kind for i, kind in zip(ends.tolist(), kinds) if 0 < i < len(parts)}
+    natural = list(level)
     low = text.lower()
     apart = _WORD.split(low if len(low) == len(text) else text)  # what is between words, a word, and so on
     words, places = np.fromiter(map(hash, apart[1::2]), np.int64, len(apart) // 2), np.cumsum(np.fromiter(map(len, apart), np.int64, len(apart)))[:-1:2]
-    at = np.searchsorted(places, np.array([chars[i] for i in natural], np.int64))
-    score = [d + LEVEL * level[i] for i, d in zip(natural, depths(cohesion(words)[at].tolist()))]
+    at = np.searchsorted(places, starts[np.array(natural, np.int64)])
+    score = [d + LEVEL * kind for kind, d in zip(level.values(), depths(cohesion(words)[at].tolist()))]
 
     def size(a: int, b: int) -> int:
         """The tokens of parts a to b as a text of their own: blanks at its end, parted before a word, join."""
@@ -179,7 +183,7 @@ def split(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         machine, out = bpe.load(ranks), []
         for scalar in texts:
             text = scalar.as_py()
-            found = cut(machine, text, limit, overlap) if text and len(text.encode("utf-8", "surrogatepass")) > limit else []
+            found = cut(machine, text, limit, overlap) if text and (len(text) > limit or len(text.encode("utf-8", "surrogatepass")) > limit) else []  # a token has a byte at least
             out.append([dict(zip(("start", "end", "n", "o"), p)) for p in found] if len(found) > 1 else [])
         return pa.array(out, pa.list_(pa.struct([(c, pa.int32()) for c in ("start", "end", "n", "o")])))
 
