@@ -1,10 +1,11 @@
 """Credentials written out in code, settings and text: where they stand, and the text without them (problem 4).
 
-Lines with a hint of a credential are taken apart into literals, names and operators. A literal counts if it
-is assigned, compared or passed to a name that calls for a credential, unless it is a stand-in, a template, a
-message or a name itself. Beside names there are credentials that show themselves: private key blocks, issued
-tokens, passwords in addresses, headers, queries, connection strings and commands. Only the contents of a
-literal are replaced; quotes, escapes, line ends and everything else stay.
+A text is taken apart lexically, as a whole, into literals, names and operators; strings and calls may go on over lines. A
+literal counts if it is assigned, compared or passed to a name that calls for a credential, or is what such a name falls
+back to, unless it is a stand-in, a template, a message or a name itself. Beside literals there are values without quotes
+(settings, environments, prose) and credentials that show themselves: private key blocks, issued tokens, passwords in
+addresses, headers, queries, connection strings and commands. Only the contents of a literal are replaced; quotes,
+escapes, line ends and everything else stay.
 """
 
 from __future__ import annotations
@@ -39,46 +40,31 @@ READS = {"get", "read", "fetch", "load", "lookup", "resolve", "find", "hash", "h
 _PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?)-----")
 _BODY = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{8,}={0,3}")
 _ISSUED = re.compile(r"(?<![A-Za-z0-9_])(?:" + "|".join(ISSUED) + r")(?![A-Za-z0-9])")
-_ADDRESS = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://[^\s/:@\"'`<>]*:([^\s/@\"'`<>]+|[^\s\"'`@]*\$\{[^}]*\}[^\s@\"'`]*)@")
-_BEARER = re.compile(r"\b[Bb]earer\s+([A-Za-z0-9._~+/=-]{12,})")
-_BASIC = re.compile(r"\b[Bb]asic\s+([A-Za-z0-9+/_-]{8,}={0,2})")
+_ADDRESS = re.compile(r"(?<=[A-Za-z0-9+.-])://[^\s/:@\"'`<>]*:([^\s/@\"'`<>]+|[^\s\"'`@]*\$\{[^}]*\}[^\s@\"'`]*)@")
+_BEARER = re.compile(r"\b[Bb]earer[^\S\n]+([A-Za-z0-9._~+/=-]{12,})")
+_BASIC = re.compile(r"\b[Bb]asic[^\S\n]+([A-Za-z0-9+/_-]{8,}={0,2})")
 _QUERY = re.compile(r"(?i)[?&;]((?:[a-z]+[_-])*(?:secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|password|passwd|pwd|signature|sig|key))=([^&;#\s\"'`<>]+)")
 _SETTING = re.compile(r"(?i)(?:^|[;\"'`\s])((?:password|pwd|accountkey|sharedaccesskey|secret))=([^;\"'`\s]+)(?=;)")
-_COMMAND = re.compile(r"\b(?:curl|wget|http)\s")
+_COMMAND = re.compile(r"\b(?:curl|wget|http)[^\S\n]")
 _USER = re.compile(r"(?<=\s)(?:-u|--user(?:=|\s))\s*[\"']?[^\s:\"']+:([^\s\"'`]+)")
 _ENV = re.compile(r"(?:^|[\s\"'`;(])(?:export\s+)?([A-Za-z_][A-Za-z0-9_]*)=([^\s\"'`;,()]+)")
 _DEFAULT = re.compile(r"\$\{([A-Za-z_][A-Za-z0-9_]*):?[-=]([^}\s]+)\}")
-_PLAIN = re.compile(r"^(?:\s*\d+ \|)?\s*(?:- )?[\"']?([A-Za-z_][\w.-]*)[\"']?\s*:\s+([^\s\"'`{\[|>&*!,;][^\s]*?)\s*(?:#.*)?$")
-_PROSE = re.compile(r"(?i)\b(password|passwd|pwd|passphrase|passcode|secret|token|api[ -]?key|access[ -]?key)(?:\s+(?:is|was|to|for \w+ is))?\s*[:=]?\s+[\"'`]?([^\s\"'`,;()]{6,})")
-
-#: Hints of a credential in lower case, and what must stand at the hint; plain search is faster than one pattern over all text.
-#: They let through every line in which a rule can find something: a name may go on with a capital (apiKeyValue), and a literal may be put together from parts.
-_HINTS = [
-    *((w, None) for w in ("passw", "passphrase", "passcode", "pwd", "secret", "token", "credential", "bearer", "private key", "curl ", "wget ", "http ", "akia", "asia", "glpat-", "npm_", "xox", "pypi-", "aiza", "github_pat", "whsec_", "xai-", "ya29", "sq0", "_v1_", "setpass", "signin", "jwt", "authorization", "basicauth")),
-    *((w, re.compile(p)) for w, p in (("log", r"(?i:log[\W_]*in)(?![A-Za-z0-9])"), ("sign", r"(?i:sign[\W_]+in)(?![a-z])"), ("auth", r"(?i:auth(?:enticate)?)(?![a-z])"), ("key", r"(?i:keys?)(?![a-z])"), ("pass", r"(?i:pass)(?![a-z])"), ("pw", r"(?i:pw)(?![a-z])"), ("pat", r"(?i:pat)(?![a-z])"), ("sig", r"(?i:sig(?:nature)?)="), ("basic", r"(?i:basic)\s+[A-Za-z0-9+/_-]{8,}=*"), ("+", r"\+\s*[\"'`]"), ("://", r"://[^\s/]*:[^\s/]*@"), ("eyj", r"eyJ"), ("sk-", r"(?<![A-Za-z0-9])sk-"), ("sk_", r"(?<![A-Za-z0-9])sk_"), ("rk_", r"(?<![A-Za-z0-9])rk_"), ("hf_", r"(?<![A-Za-z0-9])hf_"), ("sg.", r"(?<![A-Za-z0-9])SG\."), *((f"gh{c}_", rf"(?<![A-Za-z0-9])gh{c}_") for c in "pousr"), ("shp", r"(?<![A-Za-z0-9])shp[a-z]+_"))),
-]
-
-
-def _hinted(text: str) -> list[int]:
-    """Where lines with a hint begin, in order."""
-    low, out = text.lower(), set()
-    if len(low) != len(text):  # a letter whose small form is longer
-        low = "".join(c.lower() if c.isascii() else c for c in text)
-    for hint, at_hint in _HINTS:
-        at = low.find(hint)
-        while at >= 0:
-            if at_hint is None or at_hint.match(text, at):
-                out.add(text.rfind("\n", 0, at) + 1)
-                at = text.find("\n", at)
-                if at < 0:
-                    break
-            else:
-                at += 1
-            at = low.find(hint, at)
-    return sorted(out)
-
-
-_LEX = re.compile(r"""(?P<text>(?<![A-Za-z0-9])(?P<q>["'`])(?P<in>(?:\\.|(?!(?P=q))[^\\])*)(?P=q))|(?P<name>[A-Za-z_$][\w$]*(?:[.-][A-Za-z_$][\w$]*)*)|(?P<op>=>|===?|!==?|\|\||\?\?|:=|[=:,()\[\]{}+?])|(?P<other>[^\s\w])""", re.S)
+_PLAIN = re.compile(r"(?m)^(?:[^\S\n]*\d+ \|)?[^\S\n]*(?:- )?[\"']?([A-Za-z_][\w.-]*)[\"']?[^\S\n]*:[^\S\n]+([^\s\"'`{\[|>&*!,;][^\s]*?)[^\S\n]*(?:#.*)?$")
+_PROSE = re.compile(r"(?i)\b(password|passwd|pwd|passphrase|passcode|secret|token|api[ -]?key|access[ -]?key)(?:[^\S\n]+(?:is|was|to|for \w+ is))?[^\S\n]*[:=]?[^\S\n]+[\"'`]?([^\s\"'`,;()]{6,})")
+
+#: What an issued token begins with: without one of them ISSUED can't match.
+_BEGINNINGS = ("sk-", "sk_", "rk_", "whsec_", "glpat-", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "npm_", "pypi-", "hf_", "xox", "xai-", "AIza", "ya29.", "AKIA", "ASIA", "SG.", "shpat_", "shpss_", "shpca_", "shppa_", "dop_v1_", "doo_v1_", "sq0", "key-", "eyJ")
+#: What the patterns for prose and for connection strings begin with.
+_SAID, _SET = ("password", "passwd", "pwd", "passphrase", "passcode", "secret", "token", "api", "access"), ("password", "pwd", "accountkey", "sharedaccesskey", "secret")
+#: What every name that calls for a credential has in it, in lower case: without one of them no name can.
+_NAMING = ("pass", "pw", "secret", "token", "key", "credential", "bearer", "auth", "jwt", "pat", "login", "sign")
+
+_GUTTER = re.compile(r"(?m)^[^\S\n]*\d+ \|")
+#: A literal goes to the end of its line at most, or over lines if it has one word only.
+_LITERAL = r"""(?P<text>(?P<q3>\"{3}|'{3}|`)\s*(?P<in3>[^\s"'`]+)\s*(?P=q3)|(?<![A-Za-z0-9])(?P<q>["'`])(?P<in>(?:\\.|(?!(?P=q))[^\\\n])*)(?P=q))"""
+_LEX = re.compile(_LITERAL + r"""|(?P<name>[A-Za-z_$][\w$]*(?:[.-][A-Za-z_$][\w$]*)*)|(?P<op>=>|===?|!==?|\|\||\?\?|&&|\?\.|:=|[=:,;()\[\]{}+?])|(?P<other>[^\s\w])""")
+_LITERALS = re.compile(_LITERAL)
+_JOINED = re.compile(r"""["'`]\s*\+\s*["'`]""")
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 _STAND_IN = re.compile(
     r"(?i)^(?:(.)\1*|[x*.•#_-]+|<.*>|\[.*\]|\{.*\}|\(.*\)|none|null|nil|undefined|true|false|todo|tbd|changeme|example|dummy|sample|fake|masked|hidden|password\d{0,3}|passwd|secret\d{0,3}|token\d{0,3}|string|str|xxx.*|.*(?:redact|placeholder|example|\byour[-_ ]?|change[-_ ]?me|replace[-_ ]?me|insert[-_ ]|enter[-_ ]|[-_ ]here\b|xxxx|\*\*\*|\.\.\.|dummy|goes[-_]here).*)$"
@@ -133,6 +119,14 @@ def strong(value: str, kind: str) -> bool:
     return any(len(p) >= 8 and re.search(r"\d", p) and re.search(r"[A-Za-z]", p) for p in parts) or irregular(value) or bool(re.search(r"[0-9a-fA-F]{16}", value))
 
 
+_TELLING = re.compile(r"[0-9A-Z!#$%^&*?~=+]|[a-f]{16}")
+
+
+def possible(value: str) -> bool:
+    """Whether a value may be `strong` at all, said in short."""
+    return len(value) >= 5 and " " not in value and "\n" not in value and bool(_TELLING.search(value))
+
+
 def _basic(value: str) -> bool:
     try:
         text = base64.b64decode(value + "=" * (-len(value) % 4), validate=True).decode("utf-8")
@@ -142,124 +136,205 @@ def _basic(value: str) -> bool:
     return bool(colon and secret.strip()) and text.isprintable() and stands(secret)
 
 
-def _users(line: str) -> Iterator[re.Match]:
-    """The first user with password after each command, however far off; each part of the line is read once."""
-    m = _COMMAND.search(line)
-    while m and (user := _USER.search(line, m.end())):
-        yield user
-        m = _COMMAND.search(line, user.end())
+def _users(text: str) -> Iterator[re.Match]:
+    """The first user with password after each command on its line; each part of a line is read once."""
+    at = 0
+    while m := _COMMAND.search(text, at):
+        end = text.find("\n", m.end())
+        user = _USER.search(text, m.end(), len(text) if end < 0 else end)
+        at = user.end() if user else m.end()
+        if user:
+            yield user
+
+
+def _places(text: str, words: tuple[str, ...]) -> Iterator[int]:
+    """Where any of the words stands; plain search is much faster than a pattern over all text."""
+    for w in words:
+        at = text.find(w)
+        while at >= 0:
+            yield at
+            at = text.find(w, at + 1)
+
+
+_TAIL = re.compile(r"[\w$.-]*")
 
 
-def _line(line: str, at: int) -> Iterator[tuple[int, int]]:
-    """Spans of credentials within one line that begins at `at`."""
-    for m in _ISSUED.finditer(line):
-        if stands(m[0]) and not (m.start() and line[m.start() - 1] == "/" and line[m.end() : m.end() + 1] == "/"):
-            yield at + m.start(), at + m.end()
-    if "://" in line:
-        for m in _ADDRESS.finditer(line):
+def _names(text: str, low: str) -> tuple[bool, set[str]]:
+    """Whether a name in the text calls for a credential, or a call for a login; and what follows such a name, blanks and quotes left out."""
+    calls, after, seen = False, set(), set()
+    for at in _places(low, _NAMING):
+        start = at
+        while start and (text[start - 1].isalnum() or text[start - 1] in "_$.-"):
+            start -= 1
+        end = _TAIL.match(text, at).end()
+        if (start, end) in seen:
+            continue
+        seen.add((start, end))
+        name = text[start:end]
+        for part in re.split(r"(?<=[\w$])[.-]+(?=\W|$)|^[.-]+", name):  # a name as the lexer or a pattern may take it
+            if part and (named(part) or (words := _words(part)) and (words[-1] in LOGINS or "".join(words[-2:]) in LOGINS)):
+                calls = True
+                after.add(text[end : end + 3].strip(" \t\"'")[:1])
+    return calls, after
+
+
+def _shown(text: str, low: str, names: tuple[bool, set[str]]) -> Iterator[tuple[int, int]]:
+    """Spans of credentials that show themselves, and of values without quotes. `low` is the text in lower case, `names` what `_names` says. What a pattern can't do without is looked for first."""
+    for at in _places(text, _BEGINNINGS):
+        if (m := _ISSUED.match(text, at)) and stands(m[0]) and not (at and text[at - 1] == "/" and text[m.end() : m.end() + 1] == "/"):
+            yield m.span()
+    if "://" in text and "@" in text:
+        for m in _ADDRESS.finditer(text):
             if stands(m[1]):
-                yield at + m.start(1), at + m.end(1)
-    low = line.lower()
-    if "bearer" in low:
-        for m in _BEARER.finditer(line):
+                yield m.span(1)
+    if "earer" in text:
+        for m in _BEARER.finditer(text):
             if strong(m[1], "token"):
-                yield at + m.start(1), at + m.end(1)
-    if "basic " in low:
-        for m in _BASIC.finditer(line):
+                yield m.span(1)
+    if "asic" in text:
+        for m in _BASIC.finditer(text):
             if _basic(m[1]):
-                yield at + m.start(1), at + m.end(1)
-    if "=" in line:
-        for m in _QUERY.finditer(line):
+                yield m.span(1)
+    if "curl" in text or "wget" in text or "http" in text and (" -u" in text or "--user" in text):
+        for m in _users(text):
+            if stands(m[1]):
+                yield m.span(1)
+    if "=" in text and ("?" in text or "&" in text or ";" in text):
+        for m in _QUERY.finditer(text):
             if strong(m[2], "pass" if m[1].lower() in PASSWORDS else "token"):
-                yield at + m.start(2), at + m.end(2)
-        for m in _SETTING.finditer(line):
-            if stands(m[2]) and len(m[2]) > 3:
-                yield at + m.start(2), at + m.end(2)
-        for m in _ENV.finditer(line):
+                yield m.span(2)
+        for at in _places(low, _SET):
+            if (m := _SETTING.match(text, at and at - 1) or _SETTING.match(text, at)) and stands(m[2]) and len(m[2]) > 3:
+                yield m.span(2)
+    calls, after = names
+    if calls and "=" in after:
+        for m in _ENV.finditer(text):
             if (kind := named(m[1])) and (strong(m[2], kind) or m[1].isupper() and strong(m[2], "pass")) and not re.fullmatch(r"[A-Za-z_$][\w$]*(?:\.[\w$]+)+", m[2]):
-                yield at + m.start(2), at + m.end(2)
-    for m in _DEFAULT.finditer(line) if "${" in line else ():
-        if (kind := named(m[1])) and strong(m[2], kind):
-            yield at + m.start(2), at + m.end(2)
-    for m in _users(line) if "curl " in line or "wget " in line or "http " in line else ():
-        if stands(m[1]):
-            yield at + m.start(1), at + m.end(1)
-    if (m := _PLAIN.match(line)) and (kind := named(m[1])) and strong(m[2], kind):
-        yield at + m.start(2), at + m.end(2)
-    for m in _PROSE.finditer(line):
-        value = m[2].rstrip(".")
+                yield m.span(2)
+    if calls and "${" in text:
+        for m in _DEFAULT.finditer(text):
+            if (kind := named(m[1])) and strong(m[2], kind):
+                yield m.span(2)
+    if calls and ":" in text:
+        for m in _PLAIN.finditer(text):
+            if (kind := named(m[1])) and strong(m[2], kind):
+                yield m.span(2)
+    for at in _places(low, _SAID):
+        m = _PROSE.match(text, at)
+        value = m[2].rstrip(".") if m else ""
         if strong(value, "pass") and (irregular(value) and not re.search(r"[.(]\w", value) or re.search(r"\d", value) and re.search(r"[A-Za-z]", value)) and not re.search(r"[=\[\]{}<>]", value):
-            yield at + m.start(2), at + m.start(2) + len(value)
-    if '"' in line or "'" in line or "`" in line:
-        yield from _literals(line, at)
-
-
-def _literals(line: str, at: int) -> Iterator[tuple[int, int]]:
-    """Spans of literals that are assigned or passed to a name that calls for a credential."""
-    toks = [(m.lastgroup if m.lastgroup != "in" else "text", m) for m in _LEX.finditer(line)]
-    kinds = ["text" if m["text"] is not None else "name" if m["name"] else "op" if m["op"] else "other" for _, m in toks]
-    vals = [m["in"] if m["text"] is not None else m[0] for _, m in toks]
-    opener, open_ = [], []
-    for kind, value in zip(kinds, vals):
-        if kind == "op" and value in (")", "]", "}") and open_:
-            open_.pop()
-        opener.append(open_[-1] if open_ else -1)
-        if kind == "op" and value in ("(", "[", "{"):
-            open_.append(len(opener) - 1)
+            yield m.start(2), m.start(2) + len(value)
+
+
+class _Tokens:
+    """A text taken apart: kind and value of each token, the bracket around each, and where brackets match."""
+
+    def __init__(self, text: str):
+        self.found = list(_LEX.finditer(text))
+        self.kinds = [m.lastgroup if m.lastgroup in ("name", "op", "other") else "text" for m in self.found]
+        self.values = [inside(m) if k == "text" else m[0] for k, m in zip(self.kinds, self.found)]
+        self.around, self.partner, open_ = [], {}, []
+        for i, (kind, value) in enumerate(zip(self.kinds, self.values)):
+            if kind == "op" and value in ")]}" and open_:
+                self.partner[i] = open_.pop()
+            self.around.append(open_[-1] if open_ else -1)
+            if kind == "op" and value in "([{":
+                open_.append(i)
+
+    def is_op(self, i: int, *values: str) -> bool:
+        return i >= 0 and self.kinds[i] == "op" and self.values[i] in values
+
+    def before(self, i: int) -> int:
+        """The token before one, a pair of brackets counting as one."""
+        return self.partner.get(i, i) - 1
+
+
+def inside(m: re.Match) -> str:
+    """The contents of a literal."""
+    return m["in"] if m["q"] else m["in3"]
+
+
+def _span(m: re.Match) -> tuple[int, int]:
+    return m.span("in") if m["q"] else m.span("in3")
+
+
+def _literals(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of literals that are assigned or passed to a name that calls for a credential, or that it falls back to."""
+    values = [inside(m) for m in _LITERALS.finditer(text)]
+    if not any(possible(v) and (strong(v, "pass") or strong(v, "token")) or '\\"' in v or "\\'" in v for v in values) and not _JOINED.search(text):
+        return
+    toks = _Tokens(text)
     i = 0
-    while i < len(toks):
-        if kinds[i] != "text":
+    while i < len(toks.kinds):
+        if toks.kinds[i] != "text":
             i += 1
             continue
         run, j = [i], i + 1
-        while j + 1 < len(toks) and kinds[j] == "op" and vals[j] == "+" and kinds[j + 1] == "text":
+        while j + 1 < len(toks.kinds) and toks.is_op(j, "+") and toks.kinds[j + 1] == "text":
             run.append(j + 1)
             j += 2
-        value = "".join(vals[k] for k in run)
-        found = any(strong(value, kind) for kind in _kinds(kinds, vals, opener, i)) or len(run) > 1 and bool(m := _ISSUED.search(value)) and stands(m[0])
+        value = "".join(toks.values[k] for k in run)
+        kinds = [kind for kind in ("pass", "token") if strong(value, kind)] if possible(value) else ()
+        found = bool(kinds) and any(kind in kinds for kind in _kinds(text, toks, i)) or len(run) > 1 and bool(m := _ISSUED.search(value)) and stands(m[0])
         if found:
-            yield from ((at + toks[k][1].start("in"), at + toks[k][1].end("in")) for k in run)
+            yield from (_span(toks.found[k]) for k in run)
         elif '\\"' in value or "\\'" in value:  # code inside a literal
-            m = toks[i][1]
+            a, b = _span(toks.found[i])
             turn = cycle((" {}", "{} "))  # the blank outside the inner literal; as long as before, so that places hold
-            inner = re.sub(r"\\([\"'])", lambda q: next(turn).format(q[1]), m["in"])
-            yield from ((at + m.start("in") + a, at + m.start("in") + b) for a, b in _literals(inner, 0))
+            inner = re.sub(r"\\([\"'])", lambda q: next(turn).format(q[1]), text[a:b])
+            yield from ((a + x, a + y) for x, y in _literals(inner))
         i = j
 
 
-def _kinds(kinds: list[str], vals: list[str], opener: list[int], i: int) -> set[str]:
-    """What the names before a literal call for; `opener` has the bracket around each token."""
-    out: set[str | None] = set()
+def _words(name: str) -> list[str]:
+    return [w.lower() for w in _WORDS.findall(name.rsplit(".", 1)[-1])]
+
+
+def _kinds(text: str, toks: _Tokens, i: int) -> set[str]:
+    """What the names before a literal call for."""
+    kinds, values, out = toks.kinds, toks.values, set()
     j = i - 1
-    while j >= 0 and vals[j] in ("(", "[") and kinds[j] == "op" and j and kinds[j - 1] == "op" and vals[j - 1] in ("=", ":", "("):
+    while toks.is_op(j, "(", "[") and toks.is_op(j - 1, "=", ":", "(", "||", "??", "?"):  # brackets around a value
         j -= 1
-    if j < 0 or kinds[j] != "op":
-        return set()
-    op = vals[j]
-    if op in ("||", "??", "?"):
-        out |= {named(vals[k]) for k in range(max(0, j - 6), j) if kinds[k] in ("name", "text")}
-    elif op in ("=", ":", "=>", ":=", "==", "===", "!=", "!=="):
+    while True:
+        if j >= 0 and (toks.is_op(j, "||", "??", "?", "&&") or kinds[j] == "name" and values[j] in ("or", "and", "if", "else")):
+            k = toks.before(j)  # what it stands in for, or the condition: with all that is inside its brackets
+            while k >= 0 and not toks.is_op(k, "=", ":=", "=>", ",", ";", "(", "[", "{", ":", "||", "??", "?", "&&") and not (kinds[k] == "name" and values[k] in ("or", "and", "return", "else")):
+                out |= {named(values[x]) for x in range(toks.partner.get(k, k), k + 1) if kinds[x] in ("name", "text")} if not toks.is_op(j, "?", "&&") else set()
+                k = toks.before(k)
+                if k >= 0 and kinds[k] != "op" and "\n" in text[toks.found[k].end() : toks.found[k + 1].start()]:
+                    break
+            j = k
+            continue
+        if toks.is_op(j, ":"):
+            k = toks.before(j)
+            while k >= 0 and not toks.is_op(k, "?", "=", ",", ";", "(", "[", "{", ":"):
+                k = toks.before(k)
+            if toks.is_op(k, "?") and k < j - 1:  # the other branch of a condition
+                j = k
+                continue
+        break
+    if toks.is_op(j, "=", ":", "=>", ":=", "==", "===", "!=", "!=="):
         k = j - 1
-        while k >= 0 and (vals[k] in ("]", "?", ")") and kinds[k] == "op"):
+        while toks.is_op(k, "]", "?", ")"):
             k -= 1
         if k >= 0 and kinds[k] in ("name", "text"):
-            out.add(named(vals[k]))
-            if op == "=" and k >= 2 and vals[k - 1] == ":" and kinds[k - 2] == "name":
-                out.add(named(vals[k - 2]))
-    elif op == ",":
-        if kinds[j - 1] == "text":
-            out.add(named(vals[j - 1]))
-        k = opener[j]
-        if k > 0 and vals[k] == "(" and kinds[k - 1] == "name":
-            words = [w.lower() for w in _WORDS.findall(vals[k - 1].rsplit(".", 1)[-1])]
-            if words and (words[-1] in LOGINS or "".join(words[-2:]) in LOGINS):
-                out.add("pass")
-    elif op == "(" and j and kinds[j - 1] == "name":
-        words = [w.lower() for w in _WORDS.findall(vals[j - 1].rsplit(".", 1)[-1])]
+            out.add(named(values[k]))
+            if values[j] == "=" and k >= 2 and values[k - 1] == ":" and kinds[k - 2] == "name":
+                out.add(named(values[k - 2]))
+    elif toks.is_op(j, ",") and j == i - 1:
+        caller = toks.around[j]
+        called = toks.is_op(caller, "(") and caller > 0 and kinds[caller - 1] == "name"
+        if j and kinds[j - 1] == "text" and (called or "\n" not in text[toks.found[j].end() : toks.found[i].start()]):
+            out.add(named(values[j - 1]))
+        if called and (words := _words(values[caller - 1])) and (words[-1] in LOGINS or "".join(words[-2:]) in LOGINS):
+            out.add("pass")
+    elif toks.is_op(j, "(") and j and kinds[j - 1] == "name":
+        words = _words(values[j - 1])
         if not words or words[0] not in READS:
-            out.add(named(vals[j - 1]))
-            if j >= 3 and vals[j - 2] in ("=", ":"):
-                out.add(named(vals[j - 3]))
+            out.add(named(values[j - 1]))
+            if j >= 3 and values[j - 2] in ("=", ":"):
+                out.add(named(values[j - 3]))
     return {kind for kind in out if kind}
 
 
@@ -283,16 +358,14 @@ def spans(text: str | None) -> list[tuple[int, int, int]]:
             if sum(len(b[0]) for b in body) >= 24:
                 blocks.append((m.start(), end))
                 found += [(m.start(), b.start(), b.end()) for b in body]
-    for a in _hinted(text):
-        b = text.find("\n", a)
-        b = len(text) if b < 0 else b
-        line, before = text[a:b], a
-        if re.search(r"(?:=|:|\(|,|\|\|)\s*$", line):  # the value stands on the next line
-            b2 = text.find("\n", b + 1)
-            nxt = text[b + 1 : len(text) if b2 < 0 else b2]
-            if re.match(r"\s*(?:\d+ \|)?\s*[\"'`]", nxt):
-                line = line + " " + nxt
-        found += [(x, x, y) for x, y in _line(line, before)]
+    low = text.lower()
+    if len(low) != len(text):  # a letter whose small form is longer
+        low = "".join(c.lower() if c.isascii() else c for c in text)
+    names = _names(text, low)
+    found += [(x, x, y) for x, y in _shown(text, low, names)]
+    if ('"' in text or "'" in text or "`" in text) and (names[0] or '\\"' in text or "\\'" in text) or "+" in text and _JOINED.search(text):
+        plain = _GUTTER.sub(lambda m: " " * len(m[0]), text) if " |" in text else text  # numbers of lines are no tokens
+        found += [(x, x, y) for x, y in _literals(plain)]
     out: list[tuple[int, int, int]] = []
     for s, x, y in sorted(set(found), key=lambda f: (f[1], -f[2])):
         if out and x < out[-1][2]:
@@ -309,8 +382,8 @@ def lines(text: str | None) -> list[int]:
     return sorted({text.count("\n", 0, s) + 1 for s, _, _ in found})
 
 
-def redacted(text: str | None) -> str | None:
-    """The text with each credential's contents replaced; null if there is none to replace."""
+def cleared(text: str | None) -> tuple[int, str] | None:
+    """How many places were replaced, and the text with each credential's contents replaced; null if there is none to replace."""
     found = spans(text)
     if not found:
         return None
@@ -318,7 +391,12 @@ def redacted(text: str | None) -> str | None:
     for _, x, y in found:
         out += [text[at:x], MARK]
         at = y
-    return "".join([*out, text[at:]])
+    return len(found), "".join([*out, text[at:]])
+
+
+def redacted(text: str | None) -> str | None:
+    """The text of `cleared`."""
+    return (cleared(text) or (0, None))[1]
 
 
 def lines_of(text: Column) -> Column:
@@ -336,11 +414,7 @@ def redaction_of(text: Column) -> Column:
 
     @F.arrow_udf("struct<redactions:int,text:string>")
     def redact(texts: pa.Array) -> pa.Array:
-        rows = []
-        for t in texts:
-            text = t.as_py()
-            new = redacted(text)
-            rows.append(None if new is None else {"redactions": len(spans(text)), "text": new})
+        rows = [dict(zip(("redactions", "text"), new)) if (new := cleared(t.as_py())) else None for t in texts]
         return pa.array(rows, pa.struct([("redactions", pa.int32()), ("text", pa.string())]))
 
     return redact(text)

@@ -1,3 +1,4 @@
+import re
 import pytest
 
 from tessera.llm import secrets as s
@@ -65,7 +66,7 @@ def test_long_text_is_read_whole():
     assert s.lines("plain words\n" * 200000 + 'apiKey = "fR7kQ2mZ9xW4tB6v"') == [200001]
 
 
-def test_hints_let_through_what_a_scan_of_all_lines_finds(monkeypatch):
+def test_what_is_looked_for_first_loses_nothing(monkeypatch):
     value = "fR7kQ2mZ9xW4tB6v"
     words = [*s.PASSWORDS, *s.TOKENS, *(f"{k}_key" for k in s.KEYS)]
     names = [f(f"{a}{w}{b}") for w in words for a in ("", "db_") for b in ("", "_value", "_default", "_raw", "2") for f in (str, str.upper, lambda n: n[0] + n.title().replace("_", "")[1:])]
@@ -73,8 +74,33 @@ def test_hints_let_through_what_a_scan_of_all_lines_finds(monkeypatch):
     text += [f'get("https://a.example/x?{k}={value}")' for k in ("sig", "signature", "api-key", "secret")] + [f"http -u me:{value} a.example", "x = 'Basic  bWl4ZWQ6REd6ZXhFdXhYMTVu'", 'x = "gl" + "pat-y_1qNzsdWyKVHWUv9t7v";', *YES, *NO]
     text = "\n".join(text)
     got = s.lines(text)
-    monkeypatch.setattr(s, "_hinted", lambda t: [0, *(i + 1 for i, c in enumerate(t) if c == "\n")])
-    assert got == s.lines(text)
+    monkeypatch.setattr(s, "_NAMING", ("",))  # no text is passed over
+    monkeypatch.setattr(s, "_BEGINNINGS", ("",))
+    assert s.lines(text) == got and len(got) > 500
+
+
+OVER_LINES = [
+    ('password = """\nhunter2Xy!9\n"""', [2]),
+    ("const password =\n\n  'hunter2Xy!9';", [3]),
+    ('const apiKey = cond ? getA(x, y, z, w) : "q8Zt7LmK2pWx9RvB";', [1]),
+    ('const apiKey = process.env["API_KEY"]\n  ?? "q8Zt7LmK2pWx9RvB";', [2]),
+    ('apiKey = os.getenv("A", "B") or fallback(1, [2, 3], {"a": 4}) or "q8Zt7LmK2pWx9RvB"', [1]),
+    ('signIn(\n  "me@a.example",\n  "hunter2Xy!9",\n)', [3]),
+    ("12 | const token =\n13 |   `q8Zt7LmK2pWx9RvB`;", [2]),
+    ("const password = `\n  hunter2Xy!9\n`;", [2]),
+    ('clientSecret: (\n  "q8Zt7LmK"\n  + "2pWx9RvB"\n)', [2, 3]),
+    ('const a = token\n"q8Zt7LmK2pWx9RvB"', []),
+    ('const label = cond ? "password" : "q8Zt7LmK2pWx9RvB";', []),
+    ('keys = ["token",\n  "q8Zt7LmK2pWx9RvB"]', []),
+]
+
+
+@pytest.mark.parametrize("text,want", OVER_LINES)
+def test_literals_over_lines(text, want):
+    assert s.lines(text) == want
+    if want:
+        new = s.redacted(text)
+        assert new.count("\n") == text.count("\n") and "hunter2" not in new and "q8Zt" not in new and len(re.findall("[\"'`]", new)) == len(re.findall("[\"'`]", text))
 
 
 @pytest.mark.parametrize("line", ['const db_pw = "fR7kQ2mZ9xW4tB6v";', 'get("https://a.example/x?sig=fR7kQ2mZ9xW4tB6v")', 'apiKeyValue = "fR7kQ2mZ9xW4tB6v"', 'const passRaw = "fR7kQ2mZ9xW4tB6v"', "curl " + "-H x " * 1000 + "-u me:fR7kQ2mZ9xW4tB6v https://a.example"])
