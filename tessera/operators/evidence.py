@@ -57,3 +57,18 @@ def ordered_batches(groups: DataFrame, size: int) -> DataFrame:
     at = F.array_position(F.array(*map(F.lit, ("separates", "contested", "one_side_only", "no_separation"))), F.col("direction"))
     n = F.row_number().over(Window.orderBy(at, F.desc("projects"), "feature"))
     return groups.withColumn("position", n).withColumn("batch", F.floor((n - 1) / size))
+
+
+def supposed_groups(rows: DataFrame) -> DataFrame:
+    """One row for each thing that was `supposed` of records (`id, project, supposed, found`): how many records, how many support and contradict it, and how far the support reaches.
+
+    It was looked for on one side only, so it can't separate two sides and `confidence` is low.
+    """
+    is_, projects = lambda found: F.col("found") == found, F.countDistinct(F.when(F.col("found") == "supported", F.col("project")))
+    g = rows.groupBy("supposed").agg(F.count("*").alias("records"), F.count_if(is_("supported")).alias("supported"), F.count_if(is_("contradicted")).alias("contradicted"), projects.alias("projects"))
+    said = F.concat(F.lit("contradicted at "), "contradicted", F.lit(" of "), "records", F.when(F.col("supported") > 0, F.concat(F.lit(", supported at "), "supported")).otherwise(", supported at none"))
+    contested = F.col("contradicted") > 0
+    return g.select(
+        "*", F.lit("one_side_only").alias("direction"), strength(F.col("supported"), F.col("projects")).alias("strength"), confidence(F.col("projects"), contested, F.lit(False)).alias("confidence"), contested.alias("contested"),
+        ((F.col("supported") == F.col("records")) & (F.col("records") >= 5)).alias("uniform"), said.alias("why"),
+    )

@@ -167,11 +167,18 @@ def error_redaction(spark, sf_dir):
     return table(spark, sf_dir, "runs").select(F.col("runId").alias("run_id"), F.explode("errors").alias("error")).select("run_id", text.scrub(F.col("error")).alias("error")).distinct()
 
 
-_COUNTS = {name: " + ".join(f"len(regexp_extract_all(text, '{_q(p)}'))" for p in ps) for name, (ps, _) in text.SIGNALS.items()}
-_SCORE = " + ".join(f"{w} * ({_COUNTS[name]})" for name, (_, w) in text.SIGNALS.items())
-
-
-@BOOK.add("SELECT doc_id, " + ", ".join(f"{sql} AS {name}" for name, sql in _COUNTS.items()) + f", CAST({_SCORE} AS DOUBLE) AS score FROM documents WHERE text IS NOT NULL")
+@BOOK.add(
+    r"""WITH c AS (SELECT doc_id,
+len(regexp_extract_all(text, '/[^/\n]{3,}/[gimsuy]*\.test\(')) + len(regexp_extract_all(text, '\.match\(\s*/')) + len(regexp_extract_all(text, 're\.(search|match)\(')) AS regex_test,
+len(regexp_extract_all(text, '\[\s*(["''`][\w\s-]{2,}["''`]\s*,\s*){3,}')) AS keyword_list,
+len(regexp_extract_all(text, '\.(includes|startsWith|endsWith)\(\s*["''`]')) + len(regexp_extract_all(text, '\bin\s+\w+\.lower\(\)')) AS includes_chain,
+len(regexp_extract_all(text, '\.slice\(\s*0\s*,\s*\d+\s*\)')) + len(regexp_extract_all(text, '\[\s*:\s*\d+\s*\]')) AS slice_top,
+len(regexp_extract_all(text, '[<>]=?\s*0\.\d+')) AS threshold,
+len(regexp_extract_all(text, 'chat\.completions\.create|messages\.create\(|generateContent\(|\.invoke\(|ChatOpenAI|ChatAnthropic|generateText\(|generateObject\(|streamText\(|/chat/completions|/v1/messages|ollama\.|litellm|completion\(\s*model|\bresponse_format\b|structured_output')) AS model_call,
+len(regexp_extract_all(text, 'case\s+["''`][\w\s-]+["''`]\s*:')) AS string_switch
+FROM documents WHERE text IS NOT NULL)
+SELECT *, CAST(2 * regex_test + 2 * keyword_list + includes_chain + slice_top + threshold + 3 * model_call + 0.5 * string_switch AS DOUBLE) AS score FROM c"""
+)
 def text_signals(spark, sf_dir):
     """P18"""
     t = F.col("text")

@@ -14,7 +14,10 @@ IGNORED = ("node_modules", "dist", "build", "out", "coverage", ".git", ".next",
 SOURCE = r"\.([cm]?[jt]sx?|py)$"
 
 # Dependencies and the framework they stand for.
-FRAMEWORKS = {"next": "next", "react": "react", "vue": "vue", "nuxt": "nuxt", "svelte": "svelte", "@sveltejs/kit": "sveltekit", "express": "express", "fastify": "fastify", "hono": "hono", "koa": "koa", "@nestjs/core": "nest", "@angular/core": "angular", "electron": "electron", "astro": "astro"}
+FRAMEWORKS = {
+    "next": "next", "react": "react", "react-native": "react-native", "vue": "vue", "nuxt": "nuxt", "svelte": "svelte", "@sveltejs/kit": "sveltekit", "@angular/core": "angular", "express": "express", "fastify": "fastify", "koa": "koa", "hono": "hono",
+    "@nestjs/core": "nestjs", "electron": "electron", "expo": "expo", "discord.js": "discord.js", "telegraf": "telegraf", "langchain": "langchain", "ai": "vercel-ai", "openai": "openai", "@anthropic-ai/sdk": "anthropic",
+}
 
 
 def as_pattern(glob: str) -> str:
