@@ -1,4 +1,4 @@
-"""Ordered folds: decisions that depend on what was decided before, streamed in order with constant memory."""
+"""Ordered folds: decisions that depend on what was decided before, streamed in order. A fold keeps its state, one number for a budget, all kept intervals for `no_overlap`, and never the rows."""
 
 from __future__ import annotations
 
@@ -58,15 +58,28 @@ def next_fit(rows: DataFrame, keys: list[str], order: list[Column], item: str, s
     return fold(rows, keys, order, lambda: (0, 0), step, schema)
 
 
-def smallest_first(rows: DataFrame, keys: list[str], order: list[Column], item: str, size: str, parts: int, schema: str) -> DataFrame:
-    """`part`: each row goes into the part that is smallest so far; with rows from the largest on, parts come out alike."""
+def choose(rows: DataFrame, keys: list[str], order: list[Column], item: str, size: str, score: str, budget: int, extra: int, few: int, schema: str) -> DataFrame:
+    """`chosen`: a row is chosen if it, and `extra` besides, still fits; one without score only while fewer than `few` are chosen."""
 
-    def step(heap: list, row: dict):
+    def step(state: tuple[int, int], row: dict):
+        used, n = state
+        need = row[size] + extra
+        chosen = used + need <= budget and not (not row[score] and n >= few)
+        return (used + need, n + 1) if chosen else state, {**{k: row[k] for k in keys}, item: row[item], "chosen": chosen}
+
+    return fold(rows, keys, order, lambda: (0, 0), step, schema)
+
+
+def smallest_first(rows: DataFrame, keys: list[str], order: list[Column], item: str, size: str, parts: str, schema: str) -> DataFrame:
+    """`part`: each row goes into the part that is smallest so far, of as many as column `parts` says; with rows from the largest on, parts come out alike."""
+
+    def step(heap: list | None, row: dict):
+        heap = heap or [(0, p) for p in range(row[parts])]
         used, part = heapq.heappop(heap)
         heapq.heappush(heap, (used + row[size], part))
         return heap, {**{k: row[k] for k in keys}, item: row[item], "part": part}
 
-    return fold(rows, keys, order, lambda: [(0, p) for p in range(parts)], step, schema)
+    return fold(rows, keys, order, list, step, schema)
 
 
 def no_overlap(rows: DataFrame, keys: list[str], order: list[Column], item: str, schema: str) -> DataFrame:

@@ -166,10 +166,20 @@ def interval_overlap(spark, sf_dir):
     return intervals.overlapping(_contrast_units(spark, sf_dir), u, ["project", "file"], "id", "site_id")
 
 
-@BOOK.add()
+_BY_CONFIDENCE = """WITH RECURSIVE c AS (SELECT DISTINCT lower(trim(contrast.id)) AS id, lower(trim(project)) AS project, contrast.file AS file, contrast.unit.start AS a, contrast.unit.end AS b, list_position(['high', 'medium', 'low'], facts.confidence) AS sure FROM contrasts WHERE trim(contrast.id) <> '' AND contrast.file IS NOT NULL),
+o AS (SELECT *, row_number() OVER (PARTITION BY project, file ORDER BY sure NULLS LAST, a, id) AS n FROM c),
+r AS (SELECT project, file, n, id, true AS kept, [{'a': a, 'b': b}] AS held FROM o WHERE n = 1
+UNION ALL SELECT project, file, n, id, free, CASE WHEN free THEN list_concat(held, [{'a': a, 'b': b}]) ELSE held END FROM (SELECT o.project, o.file, o.n, o.id, o.a, o.b, r.held, len(list_filter(r.held, lambda x: x.a <= o.b AND o.a <= x.b)) = 0 AS free FROM r JOIN o ON o.project = r.project AND o.file = r.file AND o.n = r.n + 1))
+SELECT project, file, id, kept FROM r"""
+
+
+@BOOK.add(_BY_CONFIDENCE)
 def kept_intervals(spark, sf_dir):
-    """Contrasts of a file in the order of their ids, each kept if it overlaps none kept before."""
-    return folds.no_overlap(_contrast_units(spark, sf_dir).where("file is not null"), ["project", "file"], [F.col("id")], "id", "project string, file string, id string, kept boolean")
+    """Contrasts of a file in the order of their confidence, each kept if it overlaps none kept before."""
+    sure = F.array_position(F.array(*map(F.lit, ("high", "medium", "low"))), F.col("facts.confidence"))
+    c = table(spark, sf_dir, "contrasts").select(key_or_null("contrast.id").alias("id"), norm_key("project").alias("project"), F.col("contrast.file").alias("file"), "contrast.unit.start", "contrast.unit.end", F.nullif(sure, F.lit(0)).alias("sure"))
+    rows = c.where("id is not null and file is not null").distinct()
+    return folds.no_overlap(rows, ["project", "file"], [F.col("sure").asc_nulls_last(), F.col("start"), F.col("id")], "id", "project string, file string, id string, kept boolean")
 
 
 @BOOK.add(_U + f""", k AS ({_CI}), j AS (SELECT u.project, u.site AS site_id, k.id, CASE WHEN k.file = u.s.file AND k.start >= u.s.unit.start AND k."end" <= u.s.unit.end THEN 0 WHEN k.file = u.s.file THEN 1 ELSE 2 END AS tier, CASE WHEN k.file = u.s.file THEN abs(k.start - u.s.unit.start) ELSE 100000 END AS distance FROM u JOIN k ON k.project = u.project JOIN contrasts x ON lower(trim(x.contrast.id)) = k.id AND lower(trim(x."siteId")) = u.site)
@@ -186,30 +196,81 @@ def nearest_contrasts(spark, sf_dir):
 
 
 def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where("source is not null and text is not null")
-    return d.select("source", "doc_id", F.length("text").cast("long").alias("size"), text.signal_score(F.col("text")).alias("score"))
+    """Source, id, size and score of every document; those without source are one group, null texts have no size."""
+    body = F.coalesce("text", F.lit(""))
+    return table(spark, sf_dir, "documents").select(F.coalesce("source", F.lit("")).alias("source"), "doc_id", F.length(body).cast("long").alias("size"), text.signal_score(body).alias("score"))
+
+
+_D = "WITH RECURSIVE d AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY {order}) AS n FROM (SELECT coalesce(source, '') AS source, doc_id, length(coalesce(text, '')) AS size{more} FROM documents))"
+_PLAN = _D.format(order="size DESC, doc_id", more="") + """,
+r AS (SELECT source, n, doc_id, size, size <= 20000 AS taken, CASE WHEN size <= 20000 THEN size ELSE 0 END AS used FROM d WHERE n = 1
+UNION ALL SELECT d.source, d.n, d.doc_id, d.size, r.used + d.size <= 20000, r.used + CASE WHEN r.used + d.size <= 20000 THEN d.size ELSE 0 END FROM r JOIN d ON d.source = r.source AND d.n = r.n + 1)"""
 
 
-@BOOK.add("""WITH RECURSIVE d AS (SELECT source, doc_id, length(text) AS size, row_number() OVER (PARTITION BY source ORDER BY length(text) DESC, doc_id) AS n FROM documents WHERE source IS NOT NULL AND text IS NOT NULL),
-r AS (SELECT source, n, doc_id, size <= 20000 AS taken, CASE WHEN size <= 20000 THEN size ELSE 0 END AS used FROM d WHERE n = 1 UNION ALL SELECT d.source, d.n, d.doc_id, r.used + d.size <= 20000, r.used + CASE WHEN r.used + d.size <= 20000 THEN d.size ELSE 0 END FROM r JOIN d ON d.source = r.source AND d.n = r.n + 1)
-SELECT source, doc_id, taken, CAST(used AS BIGINT) AS used FROM r""")
+@BOOK.add(_PLAN + "SELECT source, doc_id, taken, CAST(used AS BIGINT) AS used FROM r")
 def read_plan(spark, sf_dir):
-    """Per source the largest texts first, within a budget; a smaller one may fit where a larger didn't."""
+    """Per source the largest texts first, within a budget; a smaller one may fit where a larger didn't."""
     return folds.budget_with_skip(_sized(spark, sf_dir).drop("score"), ["source"], [F.desc("size"), F.col("doc_id")], "doc_id", "size", 20000, "source string, doc_id long, taken boolean, used long")
 
 
-@BOOK.add("""WITH RECURSIVE d AS (SELECT source, doc_id, length(text) AS size, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents WHERE source IS NOT NULL AND text IS NOT NULL),
-r AS (SELECT source, n, doc_id, 0 AS part, size AS used FROM d WHERE n = 1 UNION ALL SELECT d.source, d.n, d.doc_id, CASE WHEN r.used > 0 AND r.used + d.size > 8000 THEN r.part + 1 ELSE r.part END, CASE WHEN r.used > 0 AND r.used + d.size > 8000 THEN d.size ELSE r.used + d.size END FROM r JOIN d ON d.source = r.source AND d.n = r.n + 1)
+@BOOK.add(_PLAN + "SELECT source, count(*) FILTER (WHERE taken) AS read, count(*) FILTER (WHERE NOT taken) AS unread, CASE WHEN sum(size) > 0 THEN CAST(sum(size) FILTER (WHERE taken) AS DOUBLE) / sum(size) ELSE 1 END AS coverage FROM r GROUP BY source")
+def read_coverage(spark, sf_dir):
+    """How much of each source a plan reads."""
+    j = read_plan(spark, sf_dir).join(_sized(spark, sf_dir).select("doc_id", "size"), "doc_id")
+    share = F.sum(F.when(F.col("taken"), F.col("size"))) / F.sum("size")
+    return j.groupBy("source").agg(F.count_if("taken").alias("read"), F.count_if(~F.col("taken")).alias("unread"), F.when(F.sum("size") > 0, share).otherwise(F.lit(1.0)).alias("coverage"))
+
+
+@BOOK.add("""WITH l AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x, i: {'a': i, 'b': i, 'z': length(x) + 8}) AS l FROM documents WHERE text IS NOT NULL),
+p AS (SELECT doc_id, unnest(list_reduce(list_transform(l, lambda x: [x]), lambda a, x: CASE WHEN a[-1].z + x[1].z <= 3600 THEN list_concat(a[1:len(a) - 1], [{'a': a[-1].a, 'b': x[1].b, 'z': a[-1].z + x[1].z}]) ELSE list_concat(a, x) END)) AS p FROM l)
+SELECT doc_id, p.a AS start, p.b AS "end", p.z AS size FROM p""")
+def read_pieces(spark, sf_dir):
+    """Texts cut between lines into pieces of a size, each line counting eight more for its number; a line that is larger is a piece."""
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct((i + 1).cast("long").alias("start"), (i + 1).cast("long").alias("end"), (F.length(x) + 8).cast("long").alias("size")))
+    last = lambda a: F.element_at(a, -1)
+
+    def step(a, x):
+        joined = F.struct(last(a)["start"].alias("start"), x["end"].alias("end"), (last(a)["size"] + x["size"]).alias("size"))
+        return F.when((F.size(a) > 0) & (last(a)["size"] + x["size"] <= 3600), F.concat(F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), F.array(joined))).otherwise(F.concat(a, F.array(x)))
+
+    pieces = F.aggregate(lines, F.array().cast("array<struct<start:bigint,end:bigint,size:bigint>>"), step)
+    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.inline(pieces))
+
+
+@BOOK.add(_D.format(order="doc_id", more="") + """,
+r AS (SELECT source, n, doc_id, 0 AS part, size AS used FROM d WHERE n = 1
+UNION ALL SELECT d.source, d.n, d.doc_id, CASE WHEN r.used > 0 AND r.used + d.size > 8000 THEN r.part + 1 ELSE r.part END, CASE WHEN r.used > 0 AND r.used + d.size > 8000 THEN d.size ELSE r.used + d.size END FROM r JOIN d ON d.source = r.source AND d.n = r.n + 1)
 SELECT source, doc_id, part FROM r""")
 def prompt_parts(spark, sf_dir):
     """Texts of a source in order, packed into parts of a size."""
     return folds.next_fit(_sized(spark, sf_dir).drop("score"), ["source"], [F.col("doc_id")], "doc_id", "size", 8000, "source string, doc_id long, part int")
 
 
-@BOOK.add()
+_SCORED = r""", CAST(2 * (len(regexp_extract_all(coalesce(text, ''), '/[^/\n]{3,}/[gimsuy]*\.test\(')) + len(regexp_extract_all(coalesce(text, ''), '\.match\(\s*/')) + len(regexp_extract_all(coalesce(text, ''), 're\.(search|match)\(')))
++ 2 * len(regexp_extract_all(coalesce(text, ''), '\[\s*(["''`][\w\s-]{2,}["''`]\s*,\s*){3,}')) + len(regexp_extract_all(coalesce(text, ''), '\.(includes|startsWith|endsWith)\(\s*["''`]')) + len(regexp_extract_all(coalesce(text, ''), '\bin\s+\w+\.lower\(\)'))
++ len(regexp_extract_all(coalesce(text, ''), '\.slice\(\s*0\s*,\s*\d+\s*\)')) + len(regexp_extract_all(coalesce(text, ''), '\[\s*:\s*\d+\s*\]')) + len(regexp_extract_all(coalesce(text, ''), '[<>]=?\s*0\.\d+'))
++ 3 * len(regexp_extract_all(coalesce(text, ''), 'chat\.completions\.create|messages\.create\(|generateContent\(|\.invoke\(|ChatOpenAI|ChatAnthropic|generateText\(|generateObject\(|streamText\(|/chat/completions|/v1/messages|ollama\.|litellm|completion\(\s*model|\bresponse_format\b|structured_output'))
++ 0.5 * len(regexp_extract_all(coalesce(text, ''), 'case\s+["''`][\w\s-]+["''`]\s*:')) AS DOUBLE) AS score"""
+
+
+@BOOK.add(_D.format(order="score DESC, doc_id", more=_SCORED) + """,
+t AS (SELECT *, size + 200 AS s FROM d), r AS (SELECT source, n, doc_id, s <= 60000 AS chosen, CASE WHEN s <= 60000 THEN s ELSE 0 END AS used, CAST(s <= 60000 AS INT) AS k FROM t WHERE n = 1
+UNION ALL SELECT source, n, doc_id, c, used + CASE WHEN c THEN s ELSE 0 END, k + CAST(c AS INT) FROM (SELECT t.source, t.n, t.doc_id, t.s, r.used, r.k, r.used + t.s <= 60000 AND NOT (t.score = 0 AND r.k >= 8) AS c FROM r JOIN t ON t.source = r.source AND t.n = r.n + 1))
+SELECT source, doc_id, chosen FROM r""")
+def prompt_choice(spark, sf_dir):
+    """Per source the texts with the highest signals first, within a budget that later ones may still fit; texts without signal only while fewer than eight are chosen."""
+    return folds.choose(_sized(spark, sf_dir), ["source"], [F.desc("score"), F.col("doc_id")], "doc_id", "size", "score", 60000, 200, 8, "source string, doc_id long, chosen boolean")
+
+
+@BOOK.add(_D.format(order="size DESC, doc_id", more="") + """, k AS (SELECT source, CASE WHEN count(*) < 4 THEN 1 ELSE least(8, greatest(2, CAST(ceil(sum(size) / 40000.0) AS INT))) END AS k FROM d GROUP BY source),
+s AS (SELECT d.*, k FROM d JOIN k USING (source)), r AS (SELECT source, n, doc_id, 0 AS part, list_transform(range(k), lambda i: CASE WHEN i = 0 THEN size ELSE 0 END) AS sizes FROM s WHERE n = 1
+UNION ALL SELECT source, n, doc_id, pos - 1, list_transform(sizes, lambda x, i: CASE WHEN i = pos THEN x + size ELSE x END) FROM (SELECT s.source, s.n, s.doc_id, s.size, r.sizes, list_position(r.sizes, list_min(r.sizes)) AS pos FROM r JOIN s ON s.source = r.source AND s.n = r.n + 1))
+SELECT source, doc_id, CAST(part AS INT) AS part FROM r""")
 def even_parts(spark, sf_dir):
-    """Texts of a source into four parts of like size, largest first."""
-    return folds.smallest_first(_sized(spark, sf_dir).drop("score"), ["source"], [F.desc("size"), F.col("doc_id")], "doc_id", "size", 4, "source string, doc_id long, part int")
+    """Texts of a source into parts of like size, largest first: one for each 40,000 characters, two to eight, or one for fewer than four texts."""
+    rows = _sized(spark, sf_dir).drop("score")
+    each = rows.groupBy("source").agg(F.when(F.count("*") < 4, 1).otherwise(F.least(F.lit(8), F.greatest(F.lit(2), F.ceil(F.sum("size") / 40000).cast("int")))).alias("parts"))
+    return folds.smallest_first(rows.join(each, "source"), ["source"], [F.desc("size"), F.col("doc_id")], "doc_id", "size", "parts", "source string, doc_id long, part int")
 
 
 @BOOK.add("""SELECT request, rank, symbol, score FROM (SELECT request, symbol, score, row_number() OVER (PARTITION BY request ORDER BY score DESC, symbol) AS rank FROM (SELECT DISTINCT f.request, s.symbol, CASE WHEN f.request = s.symbol THEN 7 ELSE 4 END AS score

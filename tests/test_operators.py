@@ -118,7 +118,7 @@ def test_folds(spark):
     df = spark.createDataFrame(rows, "k string, i int, size int")
     taken = {r.i: (r.taken, r.used) for r in folds.budget_with_skip(df, ["k"], [F.desc("size"), F.col("i")], "i", "size", 200, "k string, i int, taken boolean, used long").collect()}
     part = {r.i: r.part for r in folds.next_fit(df, ["k"], [F.col("i")], "i", "size", 50, "k string, i int, part int").collect()}
-    even = {r.i: r.part for r in folds.smallest_first(df, ["k"], [F.desc("size"), F.col("i")], "i", "size", 3, "k string, i int, part int").collect()}
+    even = {r.i: r.part for r in folds.smallest_first(df.withColumn("n", F.lit(3)), ["k"], [F.desc("size"), F.col("i")], "i", "size", "n", "k string, i int, part int").collect()}
     for k in {r[0] for r in rows}:
         mine, used = [r for r in rows if r[0] == k], 0
         for _, i, s in sorted(mine, key=lambda r: (-r[2], r[1])):
