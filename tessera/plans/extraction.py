@@ -18,28 +18,37 @@ WEIGHTS = {"includes": 25, "pattern": 20, "switch": 20, "threshold": 15, "equali
 
 
 def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = entries(spark, sf_dir, "code", "unit", "file", "language").where("code is not null and language <> 'yaml'")
+    """Facts of every current entry with code; settings have no branches, so theirs are empty."""
+    e = entries(spark, sf_dir, "code", "unit", "file").where("code is not null")
     return e.select("id", "project", "file", F.col("unit.name").alias("name"), fx.facts_of(F.col("code")).alias("f")).where("f is not null")
 
 
 @BOOK.add()
 def unit_facts(spark, sf_dir):
-    """Counters over the facts of every unit."""
+    """The counters over the facts of every unit."""
     f = _facts(spark, sf_dir)
     return f.select("id", *[c.alias(name) for name, c in fx.features(F.col("f")).items()])
 
 
 @BOOK.add()
 def unit_conditions(spark, sf_dir):
-    """Each condition with its shape and what it reads."""
-    return _facts(spark, sf_dir).select("id", F.inline("f.conditions"))
+    """Each part of each condition: its kind, what is read and where that comes from."""
+    c = _facts(spark, sf_dir).select("id", F.explode("f.conditions").alias("c"))
+    return c.select("id", "c.line", "c.shapes", F.col("c.operands.name").alias("names"), F.col("c.operands.provenance").alias("provenance"), "c.strings", "c.numbers", "c.exits")
+
+
+@BOOK.add()
+def unit_returns(spark, sf_dir):
+    """Each value a unit may return, with its kind."""
+    return _facts(spark, sf_dir).select("id", F.inline("f.returns"))
 
 
 @BOOK.add()
 def proposals(spark, sf_dir):
-    """Units with the rules that propose them, and why some are none."""
+    """Units with the rules that propose them, why some are none, what they decide on and from what."""
     f = _facts(spark, sf_dir).withColumn("generators", fx.generators(F.col("f"))).where("size(generators) > 0")
-    return f.select("id", "name", "generators", fx.triage(F.col("f"), F.col("generators")).alias("triage"), fx.output_kind(F.col("f")).alias("output"), fx.outcomes(F.col("f")).alias("outcomes"), F.slice(F.array_distinct(F.col("f.conditions.operand")), 1, 12).alias("inputs"))
+    facts, fired = F.col("f"), F.col("generators")
+    return f.select("id", "name", "generators", fx.triage(facts, fired).alias("triage"), fx.output_kind(facts).alias("output"), fx.outcomes(facts).alias("outcomes"), fx.inputs(facts).alias("inputs"), fx.suggestion(facts, fired).alias("primitive"), fx.explanation(F.col("name"), facts, fired).alias("explanation"))
 
 
 _LINES = "l AS (SELECT id, unnest(string_split(code, chr(10))) AS line, generate_subscripts(string_split(code, chr(10)), 1) AS n FROM e WHERE code IS NOT NULL)"

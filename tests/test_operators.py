@@ -214,14 +214,73 @@ CODE = """function rankTicket(ticket, limit) {
 
 def test_facts(spark):
     f = fx.facts(CODE)
-    assert [c["shape"] for c in f["conditions"]] == ["trivial", "pattern", "membership", "threshold"]
-    assert [c["provenance"] for c in f["conditions"]] == ["parameter", "parameter", "awaited_call", "parameter"]
-    assert f["arms"] == [{"line": 6, "discriminant": "ticket.kind", "values": ["bug", "idea", "praise"]}]
+    assert [c["shapes"] for c in f["conditions"]] == [["trivial"], ["regex"], ["text_method"], ["relational"]]
+    assert [c["operands"][0]["provenance"] for c in f["conditions"]] == ["parameter", "parameter", "awaited_call", "parameter"]
+    assert [(a["line"], a["discriminant"], a["values"]) for a in f["arms"]] == [(6, "ticket.kind", ["bug", "idea", "praise"])]
+    assert f["params"] == ["ticket", "limit"] and f["awaits"] == 1 and f["accumulations"] == 1 and f["calls"] == ["rankTicket", "fetchData", "test", "includes"]
     row = spark.createDataFrame([(CODE,), ("",), (None,)], "c string").select(fx.facts_of(F.col("c")).alias("f")).select(fx.generators(F.col("f")).alias("g"), fx.outcomes(F.col("f")).alias("o"), fx.features(F.col("f"))["conditions"].alias("n")).collect()
     assert set(row[0].g) >= {"outcome-set", "branch-map", "gate", "text-match"} and "high" in row[0].o and row[0].n == 4
     assert not row[1].g and not row[2].g
 
 
+# Planted units: what each is, and why it is no decision after all.
+UNITS = [
+    ("(a, b) => { return a.rank - b.rank; }", "sorting_filtering"),
+    ("function f(x) { if (!x) return; if (x === null) return; run(x); }", "trivial_guard"),
+    ("async function f() { try { await g(); } catch (err) { if (err.message.includes('timeout')) return 1; if (/reset/.test(err.code)) return 2; } }", "library_error_text"),
+    ("function f() { if (process.env.MODE === 'on') { return 'a'; } if (process.env.KIND === 'x') { return 'b'; } return 'c'; }", "feature_flag"),
+    ("function f(k: 'a' | 'b' | 'c') { switch (k) { case 'a': return 'one'; case 'b': return 'two'; case 'c': return 'three'; } }", "enum_dispatch"),
+    ("function f(c) { if (c === '(') return 1; if (c === ')') return 2; if (c === ',') return 3; }", "parsing"),
+    ("function f(name) { if (name === '.png') return 'image'; if (name === 'text/html') return 'page'; }", "file_type"),
+    ("function f(res) { if (res.status === 404) return 'gone'; if (res.status >= 500) return 'down'; }", "protocol_status"),
+    ("function onKey(e) { if (e.key === 'Enter now') return send(); if (e.code === 'Escape it') return close(); }", "ui_plumbing"),
+    ("function area(w, h) { return w * h + 2 * w; }", "arithmetic"),
+    ("function View(p) { if (isReady(p)) return <div>{p.name}</div>; return <span/>; }", "ui_plumbing"),
+    ("function f(x) { if (check(x)) { go(x); } }", "trivial_guard"),
+    ("function f(text) { if (text.includes('refund please')) return 'money'; if (/angry|upset/.test(text)) return 'care'; return 'other'; }", None),
+]
+
+
+def test_triage_of_planted_units(spark):
+    df = spark.createDataFrame([(i, c) for i, (c, _) in enumerate(UNITS)], "i int, c string").select("i", fx.facts_of(F.col("c")).alias("f"))
+    rows = df.select("i", fx.triage(F.col("f"), fx.generators(F.col("f"))).alias("t")).orderBy("i").collect()
+    assert [r.t for r in rows] == [t for _, t in UNITS]
+
+
+PY = """def route(item, limit=3):
+    \"\"\"It's a doc with 'quotes' (and brackets\"\"\"
+    total = 0
+    if item.kind == "open" and len(item.lines) > 1:
+        total += 2
+    elif "urgent" in item.text.lower():
+        return "fast"
+    return "slow" if total > limit else "later"
+"""
+
+
+def test_facts_of_python():
+    f = fx.facts(PY)
+    assert [(c["line"], c["shapes"], [(o["name"], o["provenance"]) for o in c["operands"]]) for c in f["conditions"]] == [
+        (4, ["exact_literal", "trivial"], [("item.kind", "parameter"), ("item.lines", "parameter")]),
+        (6, ["membership"], [("item.text", "parameter")]),
+        (8, ["relational"], [("total", "constant")]),
+    ]
+    assert [r["value"] for r in f["returns"]] == ["fast", "slow", "later"] and f["params"] == ["item", "limit"] and f["accumulations"] == 1 and f["ternaries"] == 1
+
+
+def test_facts_of_odd_texts():
+    assert fx.facts(None) is None and fx.facts(" \n") is None
+    for odd in ("(((", "if", "return", "))) }", "case 'a':", "switch (", "x ? y", "`${", "''" + "'", "if (a", "a" * 100_000, "if (x) {" * 500):
+        assert fx.facts(odd)["lines"] == 1
+
+
+def test_suggestions(spark):
+    code = ["function f(x) { return x > 3 && ok(x); }", UNITS[-1][0], "function f(x) { let s = 0; if (x.a > 1) { s += 2; } if (x.b > 2) { s += 3; } return s * 2; }", "function f(x) { go(x); }"]
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(code)], "i int, c string").select("i", fx.facts_of(F.col("c")).alias("f")).withColumn("g", fx.generators(F.col("f")))
+    rows = df.select("i", fx.suggestion(F.col("f"), F.col("g")).alias("p"), fx.explanation(F.lit("f"), F.col("f"), F.col("g")).alias("e")).orderBy("i").collect()
+    assert [r.p for r in rows] == ["noul", "choice", "score", "none"] and rows[1].e == "f chooses one outcome from text"
+
+
 # The shell around a client.
 
 
