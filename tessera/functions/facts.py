@@ -468,9 +468,11 @@ def features(f: Column) -> dict[str, Column]:
     """36 counters over the facts, and one for each origin of inputs."""
     shapes, read = F.flatten(f["conditions"]["shapes"]), F.array_distinct(operands(decisive(f)))
     count = lambda array, test: F.size(F.filter(array, test))
+    same = lambda value: lambda x: x == value
+    from_ = lambda origin: lambda o: o["provenance"] == origin
     most = lambda array: F.coalesce(F.array_max(array), F.lit(0))
     out = {"lines": f["lines"], "statements": f["statements"], "params": F.size(f["params"]), "conditions": F.size(f["conditions"]), "decisive_conditions": F.size(decisive(f)), "atoms": F.aggregate(f["conditions"]["atoms"], F.lit(0), lambda a, x: a + x)}
-    out |= {f"cond_{s}": count(shapes, lambda x, s=s: x == s) for s in SHAPES}
+    out |= {f"cond_{s}": count(shapes, same(s)) for s in SHAPES}
     out |= {
         "string_literals": F.size(F.array_distinct(F.flatten(f["conditions"]["strings"]))),
         "numeric_literals": F.size(F.array_distinct(F.flatten(f["conditions"]["numbers"]))),
@@ -490,4 +492,4 @@ def features(f: Column) -> dict[str, Column]:
         "textual_inputs": count(read, lambda o: o["textual"]),
         "numeric_inputs": count(read, lambda o: o["numeric"]),
     }
-    return out | {f"input_{p}": count(read, lambda o, p=p: o["provenance"] == p) for p in ORIGINS}
+    return out | {f"input_{p}": count(read, from_(p)) for p in ORIGINS}

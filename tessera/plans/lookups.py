@@ -128,7 +128,7 @@ def stored_entries(spark, sf_dir):
     rows = entries(spark, sf_dir, "status", "file").where("project is not null")
     path = f"{shared_folder(spark)}/entries-{uuid.uuid4().hex}"
     sinks.gated(rows, rows.where("id is null").select(F.lit("missing id").alias("problem")), path, ["file", "id"])
-    back = files.json_lines(spark, path, "id string, project string, status string, file string")
+    back = files.json_lines(spark, sinks.gated_path(spark, path), "id string, project string, status string, file string")
     return back.groupBy("project", "status").agg(F.count("*").alias("entries"), F.countDistinct("file").alias("files"))
 
 

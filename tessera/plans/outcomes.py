@@ -24,7 +24,7 @@ def labelled(findings: DataFrame, outcomes: DataFrame) -> DataFrame:
     good: the change held; bad: it was taken back; rejected: no opportunity to begin with; else unknown. The
     undone runs are made distinct before the join, so no finding is doubled. Nulls count as not true.
     """
-    undone = outcomes.where(norm_key("outcome") == "undone").select(norm_key("run_id").alias("run_id")).distinct().withColumn("undone", F.lit(True))
+    undone = outcomes.where((norm_key("outcome") == "undone") & (norm_key("run_id") != "")).select(norm_key("run_id").alias("run_id")).distinct().withColumn("undone", F.lit(True))
     changed, taken_back = F.col("result") == "changed", F.coalesce("undone", F.lit(False))
     label = (
         F.when(changed & ~taken_back & F.coalesce("checks_after_ok", F.lit(False)), "good")
@@ -32,7 +32,10 @@ def labelled(findings: DataFrame, outcomes: DataFrame) -> DataFrame:
         .when(~F.col("is_opportunity") | F.col("verdict").isin("WEAK_FIT", "NOT_OPPORTUNITY"), "rejected")
         .otherwise("unknown")
     )
-    return findings.join(undone, "run_id", "left").withColumn("label", label).withColumn("undone", taken_back)
+    keyed = F.coalesce("run_id", F.lit("")) != ""
+    met = findings.where(keyed).join(undone, "run_id", "left")  # those without a run meet none, and would all go to one task
+    alone = findings.where(~keyed).withColumn("undone", F.lit(None).cast("boolean"))
+    return met.unionByName(alone).withColumn("label", label).withColumn("undone", taken_back)
 
 
 def pattern_rollup(training: DataFrame) -> DataFrame:
@@ -59,7 +62,7 @@ def pattern_rollup(training: DataFrame) -> DataFrame:
 
 _SQL_TRAINING = f"""
 WITH f AS (SELECT DISTINCT lower(trim(id)) AS id, lower(trim(run_id)) AS run_id, lower(trim(repo_id)) AS repo_id, {", ".join(_FIELDS)} FROM findings),
-u AS (SELECT DISTINCT lower(trim(run_id)) AS run_id FROM outcomes WHERE lower(trim(outcome)) = 'undone'),
+u AS (SELECT DISTINCT lower(trim(run_id)) AS run_id FROM outcomes WHERE lower(trim(outcome)) = 'undone' AND trim(run_id) <> ''),
 t AS (SELECT f.*, u.run_id IS NOT NULL AS undone,
   CASE WHEN result = 'changed' AND u.run_id IS NULL AND coalesce(checks_after_ok, false) THEN 'good'
        WHEN result = 'reverted' OR (result = 'changed' AND u.run_id IS NOT NULL) THEN 'bad'

@@ -24,60 +24,73 @@ def _fs(spark: SparkSession, path: str):
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
-def gated(rows: DataFrame, problems: DataFrame, path: str, order: list[str]) -> None:
-    """Writes all rows as JSON lines in a total order, or none if there is any problem (`problem`).
+def gated(rows: DataFrame, problems: DataFrame, path: str, order: list[str]) -> str:
+    """Writes all rows as JSON lines in a total order, as a new version below `path`, or none if there is any problem (`problem`).
 
-    Rows go to a folder beside the target, which then takes its place; a reader sees the old rows or the new ones.
-    Null fields are left out of the lines.
+    The log names the version only when it is whole, so a reader sees the old rows or the new ones, also if the
+    writer dies. Null fields are left out of the lines. `gated_path` is where to read.
     """
     found = {r["problem"]: r["n"] for r in problems.groupBy("problem").agg(F.count("*").alias("n")).collect()}  # one row per rule
     if found:
         raise Refused(found)
-    spark = rows.sparkSession
-    rows.orderBy(*order).write.mode("overwrite").option("ignoreNullFields", "true").json(f"{path}.new")
-    fs, at = _fs(spark, path)
-    new = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.new")
-    fs.delete(at, True)
-    if not fs.rename(new, at):
-        raise OSError(f"can't put {path}.new in place")
+    version = f"v{time.time_ns()}"
+    rows.orderBy(*order).write.option("ignoreNullFields", "true").json(f"{path}/{version}")
+    _log(rows.sparkSession, path, version, last(rows.sparkSession, path))
+    return version
+
+
+def gated_path(spark: SparkSession, path: str) -> str:
+    return f"{path}/{last(spark, path)}"
+
+
+def _log(spark: SparkSession, root: str, version: str | None, previous: str | None) -> None:
+    """Adds an entry to the log of a table: a file with a name of its own, put in place by one rename and never changed."""
+    name = f"{time.time_ns():020d}.json"
+    fs, at = _fs(spark, f"{root}/_log/{name}.tmp")
+    out = fs.create(at, False)
+    out.writeUTF(json.dumps({"version": version, "previous": previous}))
+    out.close()
+    if not fs.rename(at, spark._jvm.org.apache.hadoop.fs.Path(f"{root}/_log/{name}")):
+        raise OSError(f"can't put {root}/_log/{name} in place")
+
+
+def _entries(spark: SparkSession, root: str) -> list[dict]:
+    """The log, oldest first; one small file for each write."""
+    fs, at = _fs(spark, f"{root}/_log")
+    if not fs.exists(at):
+        return []
+    out = []
+    for status in sorted(fs.listStatus(at), key=lambda s: s.getPath().getName()):
+        if status.getPath().getName().endswith(".json"):
+            f = fs.open(status.getPath())
+            out.append(json.loads(f.readUTF()))
+            f.close()
+    return out
 
 
 def snapshot(rows: DataFrame, root: str) -> str:
-    """Writes a version of a table below a folder and points LAST to it."""
+    """Writes a version of a table below a folder and then names it in the log."""
     spark, version = rows.sparkSession, f"v{time.time_ns()}"
     rows.write.parquet(f"{root}/{version}")
-    fs, at = _fs(spark, f"{root}/LAST")
-    previous = last(spark, root)
-    out = fs.create(at, True)
-    out.writeUTF(json.dumps({"version": version, "previous": previous}))
-    out.close()
+    _log(spark, root, version, last(spark, root))
     return version
 
 
 def last(spark: SparkSession, root: str) -> str | None:
-    """The version that LAST points to."""
-    fs, at = _fs(spark, f"{root}/LAST")
-    if not fs.exists(at):
-        return None
-    f = fs.open(at)
-    version = json.loads(f.readUTF())["version"]
-    f.close()
-    return version
+    """The version that holds; none before the first and after all were undone."""
+    entries = _entries(spark, root)
+    return entries[-1]["version"] if entries else None
 
 
 def undo(spark: SparkSession, root: str) -> str | None:
-    """Points LAST to the version before; the version left is the one read from now on, or none."""
-    fs, at = _fs(spark, f"{root}/LAST")
-    f = fs.open(at)
-    previous = json.loads(f.readUTF())["previous"]
-    f.close()
-    if previous is None:
-        fs.delete(at, False)
+    """Takes the last write back: the version before it holds again, or none. The log only grows."""
+    entries = _entries(spark, root)
+    if not entries:
         return None
-    out = fs.create(at, True)
-    out.writeUTF(json.dumps({"version": previous, "previous": None}))
-    out.close()
-    return previous
+    before = {e["version"]: e["previous"] for e in entries if e["version"] is not None}
+    back = before.get(entries[-1]["version"])
+    _log(spark, root, back, before.get(back))
+    return back
 
 
 def read_last(spark: SparkSession, root: str) -> DataFrame:
@@ -85,13 +98,15 @@ def read_last(spark: SparkSession, root: str) -> DataFrame:
 
 
 def save_run(old: dict[str, DataFrame], new: dict[str, DataFrame], keys: dict[str, list[str]], root: str) -> dict[str, str]:
-    """Saves the tables of a run as new versions: tables with keys are merged by them, tables without are replaced; `runs` is appended."""
+    """Saves the tables of a run: those with keys are merged by them and those without replaced, as new versions; rows of `runs` are appended, and what is stored of it isn't touched."""
     out = {}
     for name, rows in new.items():
+        if name == "runs":
+            rows.write.mode("append").parquet(f"{root}/{name}")
+            out[name] = "appended"
+            continue
         before = old.get(name)
-        if before is not None and name == "runs":
-            rows = before.unionByName(rows)
-        elif before is not None and keys.get(name):
+        if before is not None and keys.get(name):
             rows = replace_keyed(before, rows, keys[name])
         out[name] = snapshot(rows, f"{root}/{name}")
     return out

@@ -56,10 +56,10 @@ def test_gated_write(spark, tmp_path):
     with pytest.raises(sinks.Refused) as e:
         sinks.gated(rows.limit(1), spark.createDataFrame([("bad",), ("bad",)], "problem string"), path, ["id"])
     assert e.value.problems == {"bad": 2}
-    lines = [x.value for x in spark.read.text(path).collect()]
+    lines = [x.value for x in spark.read.text(sinks.gated_path(spark, path)).collect()]
     assert sorted(lines) == ['{"id":"a"}', '{"id":"b","n":2}']
     sinks.gated(rows.where("id = 'b'"), none, path, ["id"])
-    assert spark.read.text(path).count() == 1
+    assert spark.read.text(sinks.gated_path(spark, path)).count() == 1
 
 
 def test_snapshots(spark, tmp_path):
@@ -70,11 +70,15 @@ def test_snapshots(spark, tmp_path):
     assert sinks.last(spark, root) == second and sinks.read_last(spark, root).count() == 2
     sinks.undo(spark, root)
     assert sinks.read_last(spark, root).count() == 1
+    assert sinks.undo(spark, root) is None and sinks.last(spark, root) is None and sinks.undo(spark, root) is None
+    third = sinks.snapshot(spark.range(3), root)
+    assert sinks.last(spark, root) == third and sinks.undo(spark, root) is None
     old = {"usages": spark.createDataFrame([("p", "s1", 1), ("p", "s2", 1)], "project string, site string, v int"), "runs": spark.createDataFrame([(1,)], "r int")}
     new = {"usages": spark.createDataFrame([("p", "s2", 2)], "project string, site string, v int"), "runs": spark.createDataFrame([(2,)], "r int")}
+    sinks.save_run({}, {"runs": old["runs"]}, {}, str(tmp_path / "run"))
     sinks.save_run(old, new, {"usages": ["project", "site"]}, str(tmp_path / "run"))
     assert sorted(map(tuple, sinks.read_last(spark, str(tmp_path / "run/usages")).collect())) == [("p", "s1", 1), ("p", "s2", 2)]
-    assert sinks.read_last(spark, str(tmp_path / "run/runs")).count() == 2
+    assert spark.read.parquet(str(tmp_path / "run/runs")).count() == 2
 
 
 def test_markdown(spark):
