@@ -27,15 +27,3 @@ def reach(edges: DataFrame, start: DataFrame, levels: int, stop: DataFrame | Non
         new = checkpoint(found.withColumn("level", F.lit(level)))
         seen = seen.unionByName(new)
     return seen
-
-
-def search(requests: DataFrame, symbols: DataFrame, k: int) -> DataFrame:
-    """The k best symbols of each request: the exact name counts 7, the name in other case 4; ties by name.
-
-    Both are joined on the name in lower case; a symbol counts once per request with its best score.
-    """
-    r, s = requests.select("request", F.lower("request").alias("low")).distinct(), symbols.select("symbol", F.lower("symbol").alias("low")).distinct()
-    scored = r.join(s, "low").select("request", "symbol", F.when(F.col("request") == F.col("symbol"), 7).otherwise(4).alias("score"))
-    best = scored.groupBy("request", "symbol").agg(F.max("score").alias("score"))
-    top = best.groupBy("request").agg(F.slice(F.array_sort(F.collect_set(F.struct((-F.col("score")).alias("s"), "symbol"))), 1, k).alias("top"))  # spellings of one name
-    return top.select("request", F.posexplode("top").alias("pos", "t")).select("request", (F.col("pos") + 1).alias("rank"), "t.symbol", (-F.col("t.s")).alias("score"))

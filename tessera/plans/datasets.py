@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.common import iso_ts, key_or_null, latest, norm_key, table
 from tessera.functions import scores
+from tessera.functions.text import band_for
 from tessera.operators import datasets as ds
 from tessera.operators import metrics
 from tessera.plans.registry import Book
@@ -116,7 +117,7 @@ def eval_by_split(spark, sf_dir):
 @BOOK.add(CURRENT + _JUDGED + """SELECT tp + 0 AS tp, fp + unlabelled AS fp, fn, CASE WHEN tp + fp + unlabelled = 0 THEN 1 ELSE round(tp / (tp + fp + unlabelled), 6) END AS precision, CASE WHEN tp + fn = 0 THEN 1 ELSE round(tp / (tp + fn), 6) END AS recall
 FROM (SELECT count(*) FILTER (WHERE counted AND guess AND truth) AS tp, count(*) FILTER (WHERE counted AND guess AND NOT truth) AS fp, count(*) FILTER (WHERE counted AND truth AND NOT coalesce(guess, false)) AS fn, count(*) FILTER (WHERE NOT counted AND guess) AS unlabelled FROM j)""")
 def eval_zero_rules(spark, sf_dir):
-    """The harness's rule: nothing by nothing is 1, and what no label knows counts as wrong."""
+    """The harness's rule: nothing by nothing is 1, and what no label knows counts as wrong."""
     j = _judged(spark, sf_dir)
     yes, truth = F.coalesce("guess", F.lit(False)), F.coalesce("truth", F.lit(False))
     n = j.agg(F.count_if(F.col("counted") & yes & truth).alias("tp"), (F.count_if(F.col("counted") & yes & ~truth) + F.count_if(~F.col("counted") & yes)).alias("fp"), F.count_if(F.col("counted") & truth & ~yes).alias("fn"))
@@ -268,40 +269,20 @@ def project_listing(spark, sf_dir):
     return j.groupBy("slug").agg(F.count_if(active).alias("active"), F.count_if(active & F.col("human").isNotNull()).alias("labelled"), F.count_if(F.coalesce("needsRecheck", F.lit(False))).alias("recheck"))
 
 
-_RULES_SQL = {
-    "bad visibility": "visibility IS NULL OR visibility NOT IN ('public', 'private')",
-    "bad origin": "origin IS NULL OR origin NOT IN ('generated', 'missed')",
-    "missing code hash": "coalesce(\"codeHash\", '') = ''",
-    "missing decision": "coalesce(decision, '') = ''",
-    "private entry with code": "visibility = 'private' AND code IS NOT NULL",
-    "private entry with literals": "visibility = 'private' AND coalesce(len(outputs.values), 0) > 0",
-    "visibility of its project differs": "pv IS NOT NULL AND pv <> visibility",
-    "label without reasoning": "human IS NOT NULL AND coalesce(trim(human.reasoning), '') = ''",
-    "missed without label": "origin = 'missed' AND human IS NULL",
-    "unknown project": "pv IS NULL",
-}
-
-
-@BOOK.add(CURRENT + ", x AS (SELECT e.*, p.visibility AS pv FROM e LEFT JOIN p ON p.slug = e.project) " + " UNION ALL ".join(f"SELECT id AS key, '{name}' AS problem FROM x WHERE {rule}" for name, rule in _RULES_SQL.items()))
-def dq_problems(spark, sf_dir):
-    """Q01, Q02, Q04: every rule an entry breaks."""
-    e = entries(spark, sf_dir, "visibility", "origin", "codeHash", "decision", "code", "outputs", "human")
-    x = e.join(projects(spark, sf_dir, "visibility").select(F.col("slug").alias("project"), F.col("visibility").alias("pv")), "project", "left")
-    v, private = F.col("visibility"), F.col("visibility") == "private"
-    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
-    rules = {
-        "bad visibility": v.isNull() | ~v.isin("public", "private"),
-        "bad origin": F.col("origin").isNull() | ~F.col("origin").isin("generated", "missed"),
-        "missing code hash": F.coalesce("codeHash", F.lit("")) == "",
-        "missing decision": F.coalesce("decision", F.lit("")) == "",
-        "private entry with code": private & F.col("code").isNotNull(),
-        "private entry with literals": private & (F.coalesce(F.size("outputs.values"), F.lit(0)) > 0),
-        "visibility of its project differs": F.col("pv") != v,
-        "label without reasoning": F.col("human").isNotNull() & blank("human.reasoning"),
-        "missed without label": (F.col("origin") == "missed") & F.col("human").isNull(),
-        "unknown project": F.col("pv").isNull(),
-    }
-    return ds.problems(x, F.col("id"), rules)
+@BOOK.add(
+    CURRENT
+    + """, a AS (SELECT id, auto.answers.judgment AS s, auto.answers.category AS kind, auto.answers."categoryConfidence" AS k FROM e),
+d AS (SELECT id, s, CASE WHEN s IS NULL THEN 'error' WHEN kind = 'other' AND k >= 0.8 THEN 'rejected' WHEN s >= 0.5 OR (kind <> 'other' AND k >= 0.8 AND s >= 0.4) THEN 'confirmed' ELSE 'rejected' END AS status FROM a),
+c AS (SELECT id, status, CASE WHEN status <> 'error' THEN greatest(CAST(floor(s * 100 + 0.5) AS BIGINT), CASE WHEN status = 'confirmed' THEN 50 ELSE 0 END) END AS confidence FROM d)
+SELECT id, status, confidence, CASE WHEN status = 'rejected' THEN 'ignore' WHEN confidence >= 90 THEN 'strong' WHEN confidence >= 75 THEN 'likely' WHEN confidence >= 50 THEN 'possible' END AS band FROM c"""
+)
+def validated_scores(spark, sf_dir):
+    """What answers make of a candidate: confirmed or rejected, its confidence, at least the least shown if confirmed, and band; without an answer nothing changes."""
+    a = entries(spark, sf_dir, "auto").select("id", F.col("auto.answers.judgment").alias("s"), (F.col("auto.answers.category") == "other").alias("other"), F.col("auto.answers.categoryConfidence").alias("k"))
+    sure = F.col("k") >= 0.8
+    status = F.when(F.col("s").isNull(), "error").when(F.col("other") & sure, "rejected").when((F.col("s") >= 0.5) | (~F.col("other") & sure & (F.col("s") >= 0.4)), "confirmed").otherwise("rejected")
+    c = a.select("id", "s", status.alias("status")).withColumn("confidence", F.when(F.col("status") != "error", scores.validated_score(F.col("status"), F.col("s"))))
+    return c.select("id", "status", F.col("confidence").cast("long").alias("confidence"), F.when(F.col("status") == "rejected", "ignore").when(F.col("status") == "confirmed", band_for(F.col("confidence"))).alias("band"))
 
 
 @BOOK.add("""SELECT key, problem FROM (SELECT DISTINCT id AS key, unnest(list_filter([CASE WHEN length(decision) > 200 THEN 'decision too long' END, CASE WHEN ai_score NOT BETWEEN 0 AND 1 OR average NOT BETWEEN 0 AND 1 THEN 'score out of range' END, CASE WHEN result NOT IN ('changed', 'reverted', 'skipped', 'preview', 'left') THEN 'bad result' END,
@@ -331,10 +312,3 @@ def private_view(spark, sf_dir):
     """Private entries keep kinds and counts only."""
     public = F.col("visibility") == "public"
     return entries(spark, sf_dir, "visibility", "decision", "outputs", "generators").select("id", F.when(public, F.col("decision")).alias("decision"), F.when(public, F.when(F.col("outputs.values").isNotNull(), F.size("outputs.values")).cast("long")).otherwise(F.lit(0).cast("long")).alias("values"), F.col("generators.generator").alias("generators"))
-
-
-@BOOK.add(CURRENT + "SELECT prefix, count(*) AS matches FROM (SELECT DISTINCT substr(id, 1, 3) AS prefix FROM e) x JOIN e ON starts_with(e.id, prefix) GROUP BY prefix HAVING count(*) = 1")
-def unique_prefix(spark, sf_dir):
-    """Prefixes that name one entry only."""
-    e = entries(spark, sf_dir)
-    return e.groupBy(F.substring("id", 1, 3).alias("prefix")).agg(F.count("*").alias("matches")).where("matches = 1")

@@ -87,7 +87,7 @@ def nature_groups(spark, sf_dir):
 x AS (SELECT k.id, k.feature FROM k JOIN t ON t.feature = k.feature AND t.side <> k.side AND t.value = k.value JOIN t o ON o.feature = k.feature AND o.side = k.side WHERE o.value <> t.value)
 SELECT id, count(DISTINCT feature) AS times FROM x GROUP BY id HAVING count(DISTINCT feature) >= 3""")
 def repeated_counterexamples(spark, sf_dir):
-    """Records that contradict three groups or more."""
+    """Records that contradict three groups or more."""
     rows = _long(spark, sf_dir)
     top = ev.value_counts(rows).where("rank = 1").select("feature", F.col("side").alias("s"), F.col("value").alias("v"))
     tops = top.groupBy("feature").pivot("s", ["judged", "exact"]).agg(F.first("v"))
@@ -167,5 +167,5 @@ def budget_gate(spark, sf_dir):
 
 @BOOK.add(_R + "SELECT project, arg_max(id, (ts, id)) AS run_id, make_timestamp(epoch_us(max(ts))) AS ts, CAST(sum(u.failed) AS BIGINT) AS failed, CAST(sum(u.found) AS BIGINT) AS found FROM r GROUP BY project")
 def latest_runs(spark, sf_dir):
-    """W10, SNK07: the last run of each project and what all of them found."""
+    """The last run of each project and what all of them found."""
     return runs(spark, sf_dir).groupBy("project").agg(F.max_by("run_id", F.struct("ts", "run_id")).alias("run_id"), F.max("ts").cast("timestamp_ntz").alias("ts"), F.sum("usages.failed").alias("failed"), F.sum("usages.found").alias("found"))

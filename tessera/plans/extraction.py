@@ -86,7 +86,7 @@ i AS (SELECT *, n - row_number() OVER (PARTITION BY id ORDER BY n) AS island FRO
 SELECT id, start, "end", sites, kinds, {_SCORE_SQL} AS score, CASE WHEN {_SCORE_SQL} >= 90 THEN 'strong' WHEN {_SCORE_SQL} >= 75 THEN 'likely' WHEN {_SCORE_SQL} >= 50 THEN 'possible' ELSE 'ignore' END AS band FROM g"""
 )
 def text_decisions(spark, sf_dir):
-    """Neighbouring sites merged into decisions, scored by weighted signals and banded."""
+    """Neighbouring sites merged into decisions, scored by weighted signals and banded."""
     s = _sites(spark, sf_dir)
     island = F.col("n") - F.row_number().over(Window.partitionBy("id").orderBy("n"))  # lines of one unit
     g = s.withColumn("island", island).groupBy("id", "island").agg(F.min("n").alias("start"), F.max("n").alias("end"), F.count("*").alias("sites"), F.sort_array(F.collect_set("kind")).alias("kinds"), F.bool_or("returns").alias("returns"))
@@ -97,7 +97,7 @@ def text_decisions(spark, sf_dir):
 
 @BOOK.add()
 def question_calls(spark, sf_dir):
-    """Imports, calls and texts of code files in documents, one row per line that shows one."""
+    """Imports, awaited calls, raised errors and exports of code files in documents, one row per line that shows one."""
     lines = table(spark, sf_dir, "documents").where("kind = 'code_file' and text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
     kind = F.when(F.col("line").rlike(r"^\s*(import|from)\s"), "import").when(F.col("line").rlike(r"\bawait\s+[\w.]+\("), "awaited_call").when(F.col("line").rlike(r"\bthrow\b|\braise\b"), "raise").when(F.col("line").rlike(r"^\s*export\s"), "export")
     name = F.regexp_extract("line", r"(?:await\s+|from\s+[\"']?|import\s+|export\s+(?:async\s+)?(?:function|const|class)\s+)([\w./@-]+)", 1)

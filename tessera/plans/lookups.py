@@ -48,7 +48,7 @@ def answers(spark, sf_dir):
 
 @BOOK.add("WITH f AS (SELECT DISTINCT ON (lower(trim(id))) lower(trim(id)) AS id, lower(trim(run_id)) AS run_id, result FROM findings) SELECT run_id, count(*) FILTER (WHERE result = 'changed') AS changed, count(*) FILTER (WHERE result = 'reverted') AS reverted, count(*) FILTER (WHERE result = 'skipped') AS skipped, count(*) FILTER (WHERE result NOT IN ('changed', 'reverted', 'skipped')) AS rest FROM f WHERE run_id <> '' GROUP BY run_id")
 def run_results(spark, sf_dir):
-    """What became of the findings of each run."""
+    """What became of the findings of each run."""
     f = findings(spark, sf_dir, "run_id", "result").withColumn("run_id", key_or_null("run_id")).where("run_id is not null")
     n = lambda r: F.count_if(F.col("result") == r).alias(r)
     return f.groupBy("run_id").agg(n("changed"), n("reverted"), n("skipped"), F.count_if(~F.col("result").isin("changed", "reverted", "skipped")).alias("rest"))
@@ -111,7 +111,7 @@ def union_totals(spark, sf_dir):
 
 @BOOK.add(CURRENT + "SELECT id, len(list_intersect(list_transform(inputs, lambda i: lower(i.name)), w)) AS shared, len(list_intersect(list_transform(inputs, lambda i: lower(i.name)), w)) > 0 AS overlaps FROM (SELECT id, inputs, list_distinct(regexp_extract_all(lower(decision), '[a-z]+')) AS w FROM e)")
 def shared_terms(spark, sf_dir):
-    """Names that an entry's inputs share with its decision."""
+    """Names that an entry's inputs share with its decision."""
     words = F.array_distinct(F.regexp_extract_all(F.lower("decision"), F.lit("[a-z]+"), F.lit(0)))
     both = F.array_intersect(F.transform("inputs.name", F.lower), words)
     return entries(spark, sf_dir, "inputs", "decision").select("id", F.size(both).cast("long").alias("shared"), (F.size(both) > 0).alias("overlaps"))

@@ -32,7 +32,7 @@ def top_value(spark, sf_dir):
 
 @BOOK.add("WITH f AS (SELECT DISTINCT ON (lower(trim(id))) lower(trim(id)) AS id, lower(trim(repo_id)) AS repo_id, path_kind, average FROM findings) SELECT repo_id, path_kind, arg_min(id, (-average, id)) AS id, max(average) AS average FROM f WHERE average IS NOT NULL GROUP BY ALL")
 def best_finding(spark, sf_dir):
-    """The best finding of each repository and kind of path."""
+    """The best finding of each repository and kind of path."""
     f = findings(spark, sf_dir, "repo_id", "path_kind", "average").withColumn("repo_id", norm_key("repo_id")).where("average is not null")
     return f.groupBy("repo_id", "path_kind").agg(F.min_by("id", F.struct(-F.col("average"), F.col("id"))).alias("id"), F.max("average").alias("average"))
 
@@ -112,7 +112,7 @@ def generator_counts(spark, sf_dir):
 @BOOK.add(CURRENT + """SELECT id, CASE WHEN len(inputs) > 0 AND len(list_filter(inputs, lambda i: i.provenance = 'caught_error')) = len(inputs) THEN 'library_error_text' WHEN len(inputs) > 0 AND len(list_filter(inputs, lambda i: i.provenance = 'env_config')) = len(inputs) THEN 'feature_flag'
 WHEN len(inputs) > 0 AND len(list_filter(inputs, lambda i: i."closedType")) = len(inputs) THEN 'enum_dispatch' WHEN len(inputs) > 0 AND len(list_filter(inputs, lambda i: i.provenance = 'ui_event')) = len(inputs) THEN 'ui_plumbing' WHEN outputs.kind = 'numeric' AND features['conditions'] = 0 THEN 'arithmetic' WHEN features['conditions'] = 0 AND len(generators) = 0 THEN 'trivial_guard' END AS reason FROM e""")
 def triage(spark, sf_dir):
-    """Ordered rules over facts; the first that holds names the reason."""
+    """P27 on the facts that entries store, six of its rules; `proposals` has all twelve."""
     every = lambda f: (F.size("inputs") > 0) & F.forall("inputs", f)
     prov = lambda p: every(lambda i: F.coalesce(i["provenance"] == p, F.lit(False)))
     e = entries(spark, sf_dir, "inputs", "outputs", "generators").join(entries_features(spark, sf_dir), "id", "left")
@@ -185,7 +185,7 @@ def kept_intervals(spark, sf_dir):
 @BOOK.add(_U + f""", k AS ({_CI}), j AS (SELECT u.project, u.site AS site_id, k.id, CASE WHEN k.file = u.s.file AND k.start >= u.s.unit.start AND k."end" <= u.s.unit.end THEN 0 WHEN k.file = u.s.file THEN 1 ELSE 2 END AS tier, CASE WHEN k.file = u.s.file THEN abs(k.start - u.s.unit.start) ELSE 100000 END AS distance FROM u JOIN k ON k.project = u.project JOIN contrasts x ON lower(trim(x.contrast.id)) = k.id AND lower(trim(x."siteId")) = u.site)
 SELECT project, site_id, id, tier, distance, row_number() OVER (PARTITION BY project, site_id ORDER BY tier, distance, id) AS rank FROM (SELECT DISTINCT * FROM j) QUALIFY row_number() OVER (PARTITION BY project, site_id ORDER BY tier, distance, id) <= 3""")
 def nearest_contrasts(spark, sf_dir):
-    """The three nearest contrasts of each usage: same function, same file, related file; then by distance."""
+    """The three nearest contrasts of each usage: same function, same file, related file; then by distance."""
     u = usages(spark, sf_dir).select("project", "site_id", F.col("site.file").alias("uf"), F.col("site.unit.start").alias("us"), F.col("site.unit.end").alias("ue"))
     pairs = contrasts(spark, sf_dir).select("id", F.col("site").alias("site_id"), "project").join(_contrast_units(spark, sf_dir), ["id", "project"])
     j = u.join(pairs, ["project", "site_id"])
@@ -273,14 +273,6 @@ def even_parts(spark, sf_dir):
     return folds.smallest_first(rows.join(each, "source"), ["source"], [F.desc("size"), F.col("doc_id")], "doc_id", "size", "parts", "source string, doc_id long, part int")
 
 
-@BOOK.add("""SELECT request, rank, symbol, score FROM (SELECT request, symbol, score, row_number() OVER (PARTITION BY request ORDER BY score DESC, symbol) AS rank FROM (SELECT DISTINCT f.request, s.symbol, CASE WHEN f.request = s.symbol THEN 7 ELSE 4 END AS score
-FROM (SELECT DISTINCT regexp_extract("prompt", '"function": "([^"]+)"', 1) AS request FROM gemini_prompts WHERE "prompt" IS NOT NULL) f JOIN (SELECT DISTINCT unit.name AS symbol FROM entries WHERE unit.name IS NOT NULL) s ON lower(s.symbol) = lower(f.request))) WHERE rank <= 3""")
-def symbol_search(spark, sf_dir):
-    """Symbols that prompts ask for."""
-    asked = table(spark, sf_dir, "gemini_prompts").where("prompt is not null").select(F.regexp_extract("prompt", r'"function": "([^"]+)"', 1).alias("request")).distinct()
-    return graph.search(asked, table(spark, sf_dir, "entries").select(F.col("unit.name").alias("symbol")).where("symbol is not null"), 3)
-
-
 _EDGES = """SELECT DISTINCT project, fn AS src, unnest(regexp_extract_all(p, '"id": "callee:([A-Za-z0-9_]+)"', 1)) AS dst FROM (SELECT lower(trim(project)) AS project, "prompt" AS p, regexp_extract("prompt", '"function": "([^"]+)"', 1) AS fn FROM gemini_prompts WHERE "prompt" IS NOT NULL)"""
 
 

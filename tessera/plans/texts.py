@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.common import table
-from tessera.functions import paths, text
+from tessera.functions import generic, paths, text
 from tessera.plans.registry import Book
 
 BOOK = Book()
@@ -248,21 +248,36 @@ def env_settings(spark, sf_dir):
     return named.where("name <> ''").groupBy("prompt_id", "name").agg(F.max_by("value", "ord").alias("value"))
 
 
-_GEN_SQL = r"regexp_replace(regexp_replace(regexp_replace(t, 'https?://[^ \t\r\n]+', '<url>', 'g'), '(?:[A-Za-z0-9_.-]+/)+[A-Za-z0-9_.-]+', '<path>', 'g'), '[A-Za-z0-9_-]+\.(?:[cm]?[jt]sx?|json|css|html|md)', '<file>', 'g')"
-
-
-@BOOK.add(f"SELECT doc_id, sha256({_GEN_SQL}) AS generic FROM (SELECT doc_id, text AS t FROM documents WHERE text IS NOT NULL)")
+@BOOK.add(
+    r"""WITH t AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, 'https?://[^ \t\r\n\f]+', '<url>', 'g'), '(?:[A-Za-z0-9_.-]+/)+[A-Za-z0-9_.-]+', '<path>', 'g'), '(?i)\b[A-Za-z0-9_][A-Za-z0-9_-]*\.(?:[cm]?[jt]sx?|json|css|html|md)\b', '<file>', 'g') AS t FROM documents),
+n AS (SELECT doc_id, trim(regexp_replace(t, '[ \t\r\n\f]+', ' ', 'g')) AS t FROM t), s AS (SELECT doc_id, """
+    + _scrub_sql("t")
+    + """ AS t FROM n) SELECT doc_id, nullif(substr(t, 1, 400), '') AS generic FROM s"""
+)
 def genericized(spark, sf_dir):
-    """P13 without names: addresses, paths and files become marks."""
-    t = F.regexp_replace("text", r"https?://[^ \t\r\n]+", "<url>")
-    t = F.regexp_replace(F.regexp_replace(t, r"(?:[A-Za-z0-9_.-]+/)+[A-Za-z0-9_.-]+", "<path>"), r"[A-Za-z0-9_-]+\.(?:[cm]?[jt]sx?|json|css|html|md)", "<file>")
-    return _docs(spark, sf_dir).where("text is not null").select("doc_id", F.sha2(t, 256).alias("generic"))
+    """P13 without names: addresses, paths and files become marks, credentials go."""
+    return table(spark, sf_dir, "documents").select("doc_id", generic.generic_text(F.col("text"), F.array().cast("array<string>"), 400).alias("generic"))
 
 
 @BOOK.add()
 def genericized_names(spark, sf_dir):
-    """Decisions without the names of their unit and file, longest name first."""
-    from tessera.functions.python import generic
+    """Decisions and the first lines of code without the names that identify their file, unit and code, longest first."""
+    e = table(spark, sf_dir, "entries").where("code is not null")
+    named = e.select("id", "updatedAt", "decision", "code", generic.names_in(F.col("file"), F.col("unit.name"), F.col("code")).alias("names"))
+    return named.select("id", "updatedAt", F.size("names").alias("names"), generic.generic_text(F.col("decision"), F.col("names"), 200).alias("decision"), generic.generic_text(F.col("code"), F.col("names"), 200).alias("code")).distinct()
 
-    e = table(spark, sf_dir, "entries").where("code is not null and decision is not null")
-    return e.select("id", generic(F.col("file"), F.col("unit.name"), F.col("code"), F.col("decision")).alias("generic"))
+
+@BOOK.add(
+    r"""WITH u AS (SELECT DISTINCT source, trim(source) AS s FROM project_records WHERE source IS NOT NULL), p AS (SELECT source, regexp_extract(s, '^https?://(?:[^/@]*@)?([^/:?#]+)', 1) AS host, list_filter(string_split(regexp_extract(s, '^https?://[^/]+/([^?#]*)', 1), '/'), lambda x: x <> '') AS path FROM u)
+SELECT source, lower(host) AS host, path[1] AS owner, regexp_replace(path[2], '\.git$', '') AS name, CASE WHEN path[3] IN ('tree', 'blob') THEN path[4] END AS ref, CASE WHEN path[3] IN ('tree', 'blob') THEN array_to_string(path[5:], '/') END AS path FROM p
+WHERE host <> '' AND len(path) >= 2 AND lower(path[1]) NOT IN ('settings', 'orgs', 'marketplace', 'explore', 'topics', 'notifications', 'pulls', 'issues', 'login', 'signup', 'features', 'sponsors', 'about', 'pricing', 'search', 'new', 'codespaces', 'collections', 'trending', 'apps', 'enterprise', 'organizations', 'users', 'site', 'security')"""
+)
+def repository_urls(spark, sf_dir):
+    """Host, owner, name, and reference and path of the page, of web addresses; those of pages that are no repository have no row."""
+    s = F.trim("source")
+    p = table(spark, sf_dir, "project_records").where("source is not null").select("source").distinct()
+    p = p.select("source", F.regexp_extract(s, r"^https?://(?:[^/@]*@)?([^/:?#]+)", 1).alias("host"), F.filter(F.split(F.regexp_extract(s, r"^https?://[^/]+/([^?#]*)", 1), "/"), lambda x: x != "").alias("p"))
+    page = F.get("p", F.lit(2)).isin("tree", "blob")
+    rest = F.array_join(F.slice("p", 5, 1000), "/")
+    kept = p.where((F.col("host") != "") & (F.size("p") >= 2) & ~F.lower(F.get("p", F.lit(0))).isin(*text.NOT_OWNERS))
+    return kept.select("source", F.lower("host").alias("host"), F.get("p", F.lit(0)).alias("owner"), F.regexp_replace(F.get("p", F.lit(1)), r"\.git$", "").alias("name"), F.when(page, F.get("p", F.lit(3))).alias("ref"), F.when(page, rest).alias("path"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 from typing import Any
 
@@ -39,14 +40,21 @@ def as_pattern(glob: str) -> str:
 def scan(spark: SparkSession, root: str, include: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:
     """Columns `path` (from the root), `text`, `size` of the source files below a folder.
 
-    Ignored folders are left out before any text is read into a column; bytes that are no UTF-8 become U+FFFD.
+    Other files are left out when the folder is listed, ignored folders and what the `.gitignore` of the root names
+    before any text is read; bytes that are no UTF-8 become U+FFFD. Rows have no order: `path` sorts them.
     An empty folder gives an empty table.
     """
     base = root.rstrip("/")
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{ts,tsx,mts,cts,js,jsx,mjs,cjs,py}").load(base)
     path = F.regexp_replace("path", "^[a-z]+:/*" + base.replace(".", r"\.").lstrip("/") + "/", "")
     found = raw.withColumn("path", path).where(F.col("path").rlike(SOURCE))
     found = found.where(~F.col("path").rlike("(^|/)(" + "|".join(x.replace(".", r"\.") for x in IGNORED) + ")/"))
+    rules = gitignored(spark, base)
+    for pattern, ignores in rules:
+        hidden = F.col("path").rlike(pattern)
+        found = found.withColumn("_hidden", F.when(hidden, ignores).otherwise(F.col("_hidden") if "_hidden" in found.columns else False))
+    if rules:
+        found = found.where("not _hidden")
     if include:
         found = found.where(any_of(F.col("path"), include))
     if exclude:
@@ -54,6 +62,26 @@ def scan(spark: SparkSession, root: str, include: list[str] | None = None, exclu
     return found.select("path", F.decode("content", "UTF-8").alias("text"), F.col("length").alias("size"))
 
 
+def gitignored(spark: SparkSession, root: str) -> list[tuple[str, bool]]:
+    """The rules of a folder's `.gitignore` in order, as patterns of paths from the root and whether they ignore; the last that fits decides. It is one small file; without one there are none."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/.gitignore")
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return []
+    stream = fs.open(at)  # a table of text would leave hidden files out
+    lines = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").splitlines()
+    stream.close()
+    out = []
+    for line in map(str.strip, lines):
+        if not line or line.startswith("#"):
+            continue
+        ignores, line = not line.startswith("!"), line.lstrip("!")
+        anchored = "/" in line.rstrip("/")
+        body = as_pattern(line.strip("/") + "/**")[1:-1].removesuffix(".*").removesuffix("/") if any(c in line for c in "*?[") else re.escape(line.strip("/"))
+        out.append((("^" if anchored else "(?:^|/)") + body + ("/" if line.endswith("/") else "(?:/|$)"), ignores))
+    return out
+
+
 def any_of(path: Column, globs: list[str]) -> Column:
     return path.rlike("|".join(map(as_pattern, globs)))
 

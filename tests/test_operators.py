@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import facts as fx
-from tessera.functions import paths, python, scores, text
+from tessera.functions import paths, generic, scores, text
 from tessera.operators import adaptive, datasets, evidence, folds, graph, intervals, metrics
 
 
@@ -158,14 +158,11 @@ def test_intervals(spark):
         out += [n] if free else []
 
 
-def test_reach_and_search(spark):
+def test_reach(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("d", "e"), ("b", "x"), ("x", "y"), ("e", "a")], "src string, dst string")
     start = spark.createDataFrame([("a",)], "node string")
     assert {r.node: r.level for r in graph.reach(edges, start, 3).collect()} == {"a": 0, "b": 1, "c": 2, "x": 2, "d": 3, "y": 3}
     assert {r.node for r in graph.reach(edges, start, 4, spark.createDataFrame([("b",)], "node string")).collect()} == {"a", "b"}
-    asked = spark.createDataFrame([("getName",), ("none",)], "request string")
-    found = graph.search(asked, spark.createDataFrame([("getname",), ("getName",), ("GETNAME",), ("other",)], "symbol string"), 2).collect()
-    assert [(r["rank"], r.symbol, r.score) for r in sorted(found, key=lambda r: r["rank"])] == [(1, "getName", 7), (2, "GETNAME", 4)]
 
 
 # Text.
@@ -192,9 +189,17 @@ def test_paths(spark):
     assert s(paths.path_kind, "app/api/x.ts") == "api" and s(paths.path_kind, "x.ts") == "other"
 
 
-def test_generic_text():
-    assert python.generic_text("loadUser reads src/lib/user.ts and https://a.b/c", ["loadUser"], 200) == "<name> reads <path> and <url>"
-    assert python.generic_text(None, [], 10) is None and python.names_in(None, None, None) == []
+def test_generic_text(spark):
+    code = """import { Queue } from "./queue";
+// secretName in a comment
+const maxOpen = "too many open tickets"; /* otherName */
+function loadUser(error) { return new Error(`user ${maxOpen} gone`); }"""
+    df = spark.createDataFrame([("src/billing/userStore.ts", "Store.loadUser", code), (None, None, None)], "f string, u string, c string")
+    names = [r.n for r in df.select(generic.names_in(F.col("f"), F.col("u"), F.col("c")).alias("n")).collect()]
+    assert names == [["too many open tickets", "userStore.ts", "user   gone", "userStore", "loadUser", "./queue", "billing", "maxOpen", "Queue", "Store"], []]
+    texts = [("loadUser reads src/lib/user.ts and https://a.b/c", ["loadUser"]), ("Store. Queue loadUser failed in a.tsx", ["loadUser", "Queue", "Store"]), ("reloadUser  a\\E|b \n c", ["a\\E|b", "loadUser"]), ("", []), (None, ["x"]), ("key sk_live_abcdefghijklmnop1234", [])]
+    got = [r.g for r in spark.createDataFrame(texts, "t string, n array<string>").select(generic.generic_text(F.col("t"), F.col("n"), 60).alias("g")).collect()]
+    assert got == ["<name> reads <path> and <url>", "<name> failed in <file>", "reloadUser <name> c", None, None, "key [REDACTED]"]
 
 
 CODE = """function rankTicket(ticket, limit) {

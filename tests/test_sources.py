@@ -17,6 +17,15 @@ def test_scan(spark, tmp_path):
     assert {r.path for r in files.scan(spark, str(tmp_path), include=["src/*.ts", "deep"], exclude=["**/a.ts"]).collect()} == {"src/deep/er/d.tsx"}
 
 
+def test_scan_with_gitignore(spark, tmp_path):
+    for name in ("src/a.ts", "src/gen/b.ts", "gen/c.ts", "a.min.js", "src/a.min.js", "tmp/x.js", "src/tmp/y.js", "keep.min.js", "logs.ts"):
+        p = tmp_path / name
+        p.parent.mkdir(parents=True, exist_ok=True)
+        p.write_text("x")
+    (tmp_path / ".gitignore").write_text("# made\n*.min.js\n/gen\n!keep.min.js\ntmp/\n\nlogs\n")
+    assert {r.path for r in files.scan(spark, str(tmp_path)).collect()} == {"src/a.ts", "src/gen/b.ts", "keep.min.js", "logs.ts"}
+
+
 def test_json_lines(spark, tmp_path):
     good, bad = tmp_path / "good.jsonl", tmp_path / "bad.jsonl"
     good.write_text('{"a": 1}\n\n{"a": 2, "b": "x"}\n')
