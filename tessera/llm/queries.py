@@ -252,3 +252,14 @@ hit AS (SELECT id, i FROM g WHERE split <> 'train' AND g IN (SELECT g FROM g WHE
 span AS (SELECT id, least(6, coalesce(lead(i) OVER (PARTITION BY id ORDER BY i) - i, 6)) AS n FROM hit)
 SELECT id, split, CAST(coalesce((SELECT sum(n) FROM span WHERE span.id = c.id), 0) AS BIGINT) AS covered FROM c WHERE split <> 'train'""",
 }
+SQL["p2_groups"] = f"""
+WITH RECURSIVE pairs AS ({SQL["p2_found"]}), b AS (SELECT id_a AS a, id_b AS b FROM pairs UNION ALL SELECT id_b, id_a FROM pairs),
+{_CURRENT}, c AS (SELECT id, CASE WHEN regexp_matches(r.code, '[^\\s\\x{{a0}}\\x{{200b}}\\x{{feff}}]') THEN r.code WHEN regexp_matches(r.decision, '[^\\s\\x{{a0}}\\x{{200b}}\\x{{feff}}]') THEN r.decision END AS c, regexp_matches(r.code, '[^\\s\\x{{a0}}\\x{{200b}}\\x{{feff}}]') IS TRUE AS kind FROM e),
+held AS (SELECT id, kind, list_sort(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS g, c FROM (SELECT *, list_transform(regexp_extract_all(c, '[A-Za-z0-9_]+'), lambda x: lower(x)) AS w FROM c WHERE c IS NOT NULL)),
+same AS (SELECT kind, CASE WHEN len(g) > 0 THEN array_to_string(g, '|') ELSE c END AS s, len(g) > 0 AS runs, count(*) AS copies FROM held GROUP BY ALL),
+reach(x, y) AS (SELECT id, id FROM held UNION SELECT reach.x, b.b FROM reach JOIN b ON b.a = reach.y),
+grp AS (SELECT x AS id, min(y) AS grp FROM reach GROUP BY x)
+SELECT held.id, grp, copies, (SELECT count(*) FROM b WHERE b.a = held.id) AS links FROM held JOIN grp USING (id) JOIN same ON same.kind = held.kind AND same.runs = (len(g) > 0) AND same.s = CASE WHEN len(g) > 0 THEN array_to_string(g, '|') ELSE c END"""
+SQL["p3_report"] = f"""
+WITH pairs AS ({SQL["p3_found"]}), hit AS (SELECT id_a AS id FROM pairs UNION SELECT id_b FROM pairs), {_CURRENT}, held AS (SELECT e.id, p.r.split AS split, p.r AS r FROM e JOIN p ON p.slug = e.r.project WHERE e.r.status = 'active' AND p.r.split IN ('dev', 'test'))
+SELECT split, coalesce({_REPOSITORY}, 'unknown') AS source, count(*) AS entries, count(hit.id) AS overlapping FROM held LEFT JOIN hit ON hit.id = held.id GROUP BY ALL"""
