@@ -58,10 +58,14 @@ def fresh_hits(wanted: DataFrame, cache: DataFrame, items: DataFrame, key: str)
     return wanted.join(known, key, "left").join(broken, key, "left").select(wanted["*"], (F.coalesce("known", F.lit(False)) & F.coalesce(~F.col("broken"), F.lit(True))).alias("hit"))
 
 
+def broken(rules: dict[str, Column]) -> Column:
+    """The names of the rules that hold for a row; a null rule doesn't hold."""
+    return F.filter(F.array(*[F.when(F.coalesce(rule, F.lit(False)), F.lit(name)) for name, rule in rules.items()]), lambda x: x.isNotNull())
+
+
 def problems(rows: DataFrame, key: Column, rules: dict[str, Column]) -> DataFrame:
     """Columns `key, problem`: every rule that holds for a row; a null rule doesn't hold."""
-    found = F.filter(F.array(*[F.when(F.coalesce(rule, F.lit(False)), F.lit(name)) for name, rule in rules.items()]), lambda x: x.isNotNull())
-    return rows.select(key.alias("key"), F.explode(found).alias("problem"))
+    return rows.select(key.alias("key"), F.explode(broken(rules)).alias("problem"))
 
 
 def budget_gate(rows: DataFrame, group: list[str], order: list[Column], cost: Column, budget: float) -> DataFrame:

@@ -101,6 +101,82 @@ UNION ALL SELECT id, 'missed without label' FROM x WHERE origin = 'missed' AND h
 _COLUMNS = ("schema", "visibility", "origin", "status", "file", "codeHash", "decision", "suggestedPrimitive", "generators", "auto", "code", "outputs", "human", "gemini", "openrouter", "needsRecheck")
 
 
+# What fields of a finding may hold, and the most characters of its texts.
+FINDING_VALUES = {
+    "provider": ("xai", "openrouter", "mcp"),
+    "origin": ("ai", "static"),
+    "path_kind": ("api", "lib", "server", "component", "page", "other"),
+    "primitive": PRIMITIVES,
+    "verdict": ("STRONG_FIT", "POSSIBLE_FIT", "WEAK_FIT", "REVIEW_DISAGREE", "NOT_OPPORTUNITY"),
+    "status": ("strong", "possible", "review", "weak", "not_opportunity", "edit_failed", "failed"),
+    "result": ("changed", "reverted", "skipped", "preview", "left"),
+    "input_kind": ("user_text", "error_message", "ai_output", "external_api_results", "free_text_name", "structured_app_data", "other"),
+    "rule_kind": ("regex", "keyword_list", "includes_or_startswith", "lookup_with_default", "sort_or_slice", "threshold", "if_else_chain", "switch", "other"),
+}
+FINDING_LENGTHS = {"run_id": 64, "jevx_version": 20, "prompt_version": 20, "model": 80, "file_ext": 8, "decision": 200, "result_reason": 120, "pattern_label": 60, "rule_shape": 200, "why_generic": 200, "failure_example": 200}
+_UUID = "^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
+
+
+def finding_rules() -> dict[str, Column]:
+    """The constraints of the table of findings, as problems: values, lengths, ranges, forms and what may not be missing."""
+    c = F.col
+    return {
+        **{f"value of {name}": ~c(name).isin(*allowed) for name, allowed in FINDING_VALUES.items()},
+        **{f"length of {name}": F.length(name) > most for name, most in FINDING_LENGTHS.items()},
+        **{f"range of {name}": ~c(name).between(0, 1) for name in ("ai_score", "pattern_score", "typesafe_score", "average")},
+        "range of min_fit": ~c("min_fit").between(0.5, 1),
+        "range of outcome_count": ~c("outcome_count").between(0, 50),
+        "form of pattern_label": ~c("pattern_label").rlike("^[a-z0-9-]+$"),
+        **{f"form of {name}": ~norm_key(name).rlike(_UUID) for name in ("id", "repo_id")},
+        **{f"missing {name}": c(name).isNull() for name in ("id", "run_id", "repo_id", "is_opportunity")},
+        "size of features": F.length(F.to_json("features")) > 2000,
+    }
+
+
+_FINDING = """WITH f AS (SELECT * FROM findings), bad(key, problem) AS (
+SELECT id, 'value of provider' FROM f WHERE provider NOT IN ('xai', 'openrouter', 'mcp') UNION ALL SELECT id, 'value of origin' FROM f WHERE origin NOT IN ('ai', 'static')
+UNION ALL SELECT id, 'value of path_kind' FROM f WHERE path_kind NOT IN ('api', 'lib', 'server', 'component', 'page', 'other') UNION ALL SELECT id, 'value of primitive' FROM f WHERE primitive NOT IN ('noul', 'choice', 'score', 'none')
+UNION ALL SELECT id, 'value of verdict' FROM f WHERE verdict NOT IN ('STRONG_FIT', 'POSSIBLE_FIT', 'WEAK_FIT', 'REVIEW_DISAGREE', 'NOT_OPPORTUNITY')
+UNION ALL SELECT id, 'value of status' FROM f WHERE status NOT IN ('strong', 'possible', 'review', 'weak', 'not_opportunity', 'edit_failed', 'failed')
+UNION ALL SELECT id, 'value of result' FROM f WHERE result NOT IN ('changed', 'reverted', 'skipped', 'preview', 'left')
+UNION ALL SELECT id, 'value of input_kind' FROM f WHERE input_kind NOT IN ('user_text', 'error_message', 'ai_output', 'external_api_results', 'free_text_name', 'structured_app_data', 'other')
+UNION ALL SELECT id, 'value of rule_kind' FROM f WHERE rule_kind NOT IN ('regex', 'keyword_list', 'includes_or_startswith', 'lookup_with_default', 'sort_or_slice', 'threshold', 'if_else_chain', 'switch', 'other')
+UNION ALL SELECT id, 'length of run_id' FROM f WHERE length(run_id) > 64 UNION ALL SELECT id, 'length of jevx_version' FROM f WHERE length(jevx_version) > 20 UNION ALL SELECT id, 'length of prompt_version' FROM f WHERE length(prompt_version) > 20
+UNION ALL SELECT id, 'length of model' FROM f WHERE length(model) > 80 UNION ALL SELECT id, 'length of file_ext' FROM f WHERE length(file_ext) > 8 UNION ALL SELECT id, 'length of decision' FROM f WHERE length(decision) > 200
+UNION ALL SELECT id, 'length of result_reason' FROM f WHERE length(result_reason) > 120 UNION ALL SELECT id, 'length of pattern_label' FROM f WHERE length(pattern_label) > 60 UNION ALL SELECT id, 'length of rule_shape' FROM f WHERE length(rule_shape) > 200
+UNION ALL SELECT id, 'length of why_generic' FROM f WHERE length(why_generic) > 200 UNION ALL SELECT id, 'length of failure_example' FROM f WHERE length(failure_example) > 200
+UNION ALL SELECT id, 'range of ai_score' FROM f WHERE ai_score NOT BETWEEN 0 AND 1 UNION ALL SELECT id, 'range of pattern_score' FROM f WHERE pattern_score NOT BETWEEN 0 AND 1 UNION ALL SELECT id, 'range of typesafe_score' FROM f WHERE typesafe_score NOT BETWEEN 0 AND 1
+UNION ALL SELECT id, 'range of average' FROM f WHERE average NOT BETWEEN 0 AND 1 UNION ALL SELECT id, 'range of min_fit' FROM f WHERE min_fit NOT BETWEEN 0.5 AND 1 UNION ALL SELECT id, 'range of outcome_count' FROM f WHERE outcome_count NOT BETWEEN 0 AND 50
+UNION ALL SELECT id, 'form of pattern_label' FROM f WHERE NOT regexp_matches(pattern_label, '^[a-z0-9-]+$')
+UNION ALL SELECT id, 'form of id' FROM f WHERE NOT regexp_matches(lower(trim(id)), '^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$') UNION ALL SELECT id, 'form of repo_id' FROM f WHERE NOT regexp_matches(lower(trim(repo_id)), '^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$')
+UNION ALL SELECT id, 'missing id' FROM f WHERE id IS NULL UNION ALL SELECT id, 'missing run_id' FROM f WHERE run_id IS NULL UNION ALL SELECT id, 'missing repo_id' FROM f WHERE repo_id IS NULL UNION ALL SELECT id, 'missing is_opportunity' FROM f WHERE is_opportunity IS NULL)
+"""
+
+
+@BOOK.add(_FINDING + "SELECT key, problem, count(*) AS rows FROM bad GROUP BY ALL")
+def finding_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q03: every constraint that rows of findings break."""
+    return ds.problems(table(spark, sf_dir, "findings"), F.col("id"), finding_rules()).groupBy("key", "problem").agg(F.count("*").alias("rows"))
+
+
+@BOOK.add(
+    _FINDING.replace("SELECT * FROM findings)", "SELECT * FROM findings WHERE id IS NOT NULL)")
+    + """, k AS (SELECT id, count(*) AS n FROM f GROUP BY id), r AS (SELECT DISTINCT key FROM bad)
+SELECT CASE WHEN key IS NULL THEN 'inserted' ELSE 'rejected' END AS what, CAST(sum(n) AS BIGINT) AS rows, count(*) AS ids FROM k LEFT JOIN r ON r.key = k.id GROUP BY 1"""
+)
+def inserted_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK05: findings inserted behind the constraints into a table that only grows, and those rejected, as both are read back."""
+    import uuid
+
+    from tessera.common import shared_folder
+    from tessera.sources import sinks
+
+    at = f"{shared_folder(spark)}/findings-{uuid.uuid4().hex}"
+    sinks.insert_checked(table(spark, sf_dir, "findings").where("id is not null"), finding_rules(), at)
+    read = lambda what: spark.read.parquet(f"{at}/{what}").select(F.lit(what).alias("what"), "id")
+    return read("inserted").unionByName(read("rejected")).groupBy("what").agg(F.count("*").alias("rows"), F.countDistinct("id").alias("ids"))
+
+
 @BOOK.add(_ENTRY + "SELECT key, problem FROM found")
 def entry_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q01: every rule a current entry breaks."""

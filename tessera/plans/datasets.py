@@ -285,22 +285,6 @@ def validated_scores(spark, sf_dir):
     return c.select("id", "status", F.col("confidence").cast("long").alias("confidence"), F.when(F.col("status") == "rejected", "ignore").when(F.col("status") == "confirmed", band_for(F.col("confidence"))).alias("band"))
 
 
-@BOOK.add("""SELECT key, problem FROM (SELECT DISTINCT id AS key, unnest(list_filter([CASE WHEN length(decision) > 200 THEN 'decision too long' END, CASE WHEN ai_score NOT BETWEEN 0 AND 1 OR average NOT BETWEEN 0 AND 1 THEN 'score out of range' END, CASE WHEN result NOT IN ('changed', 'reverted', 'skipped', 'preview', 'left') THEN 'bad result' END,
-CASE WHEN NOT regexp_matches(lower(trim(id)), '^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$') THEN 'bad id' END, CASE WHEN run_id IS NULL OR trim(run_id) = '' THEN 'no run' END, CASE WHEN NOT regexp_matches(pattern_label, '^[a-z0-9][a-z0-9-]*$') THEN 'bad pattern label' END], lambda x: x IS NOT NULL)) AS problem FROM findings)""")
-def constraint_problems(spark, sf_dir):
-    """Q03, SNK05: constraints of the outcome tables."""
-    c = F.col
-    rules = {
-        "decision too long": F.length("decision") > 200,
-        "score out of range": ~c("ai_score").between(0, 1) | ~c("average").between(0, 1),
-        "bad result": ~c("result").isin("changed", "reverted", "skipped", "preview", "left"),
-        "bad id": ~norm_key("id").rlike("^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"),
-        "no run": c("run_id").isNull() | (F.trim("run_id") == ""),
-        "bad pattern label": ~c("pattern_label").rlike("^[a-z0-9][a-z0-9-]*$"),
-    }
-    return ds.problems(table(spark, sf_dir, "findings"), c("id"), rules).distinct()
-
-
 @BOOK.add("SELECT lower(trim(id)) AS id, count(*) AS rows FROM entries GROUP BY 1 HAVING count(*) > 1")
 def duplicate_ids(spark, sf_dir):
     """Ids with history."""

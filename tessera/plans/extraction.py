@@ -43,6 +43,19 @@ def unit_returns(spark, sf_dir):
     return _facts(spark, sf_dir).select("id", F.inline("f.returns"))
 
 
+@BOOK.add()
+def guard_chains(spark, sf_dir):
+    """Two or more conditions in a row that each leave the unit or the loop: the lines of the first and the last, and how many."""
+    c = _facts(spark, sf_dir).select("id", F.posexplode("f.conditions").alias("n", "c")).select("id", "n", "c.line", "c.exits")
+    return exiting_runs(c)
+
+
+def exiting_runs(conditions: DataFrame) -> DataFrame:
+    """Columns `id, start, end, length` of runs of conditions (`id, n, line, exits`) that exit, one after another; a unit's conditions are few."""
+    island = F.col("n") - F.row_number().over(Window.partitionBy("id").orderBy("n"))
+    return conditions.where("exits").withColumn("island", island).groupBy("id", "island").agg(F.min("line").alias("start"), F.max("line").alias("end"), F.count("*").alias("length")).where("length >= 2").drop("island")
+
+
 @BOOK.add()
 def proposals(spark, sf_dir):
     """Units with the rules that propose them, why some are none, what they decide on and from what."""

@@ -54,11 +54,12 @@ def run_results(spark, sf_dir):
     return f.groupBy("run_id").agg(n("changed"), n("reverted"), n("skipped"), F.count_if(~F.col("result").isin("changed", "reverted", "skipped")).alias("rest"))
 
 
-@BOOK.add("SELECT source, count(*) AS files, make_timestamp(max(epoch_us(created_at))) AS newest, concat(count(*), ':', max(epoch_us(created_at))) AS fingerprint FROM documents GROUP BY source")
+@BOOK.add("SELECT source, count(*) AS files, make_timestamp(max(epoch_us(created_at))) AS newest, concat(count(*), ':', max(coalesce(epoch_us(created_at), 9007199254740991))) AS fingerprint FROM documents GROUP BY source")
 def source_fingerprints(spark, sf_dir):
-    """Count and newest time of each source; another value means something changed."""
-    d = table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("files"), F.max("created_at").alias("newest"))
-    return d.select("source", "files", "newest", F.concat(F.col("files").cast("string"), F.lit(":"), F.unix_micros(F.col("newest").cast("timestamp")).cast("string")).alias("fingerprint"))
+    """Count and newest time of each source; another value means something changed. A file without a time is gone, which counts as later than any."""
+    at = F.coalesce(F.unix_micros(F.col("created_at").cast("timestamp")), F.lit(9007199254740991))
+    d = table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("files"), F.max("created_at").alias("newest"), F.max(at).alias("at"))
+    return d.select("source", "files", "newest", F.concat(F.col("files").cast("string"), F.lit(":"), F.col("at").cast("string")).alias("fingerprint"))
 
 
 _PRI = _case("lower(file)", paths.PRIORITIES, 0)

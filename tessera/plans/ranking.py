@@ -71,14 +71,15 @@ def anchors(spark, sf_dir):
     return k.select("project", "site_id", F.row_number().over(W("project").orderBy("pos")).alias("anchor"))
 
 
-@BOOK.add(CURRENT + "SELECT id, row_number() OVER (PARTITION BY project ORDER BY file, unit.start, id) AS stored, row_number() OVER (PARTITION BY project ORDER BY len(generators) DESC, file, unit.start, id) AS proposed, row_number() OVER (PARTITION BY project ORDER BY CASE WHEN auto.source = 'triage' THEN 2 WHEN human IS NULL OR \"needsRecheck\" THEN 0 ELSE 1 END, file, unit.start, id) AS review FROM e")
+@BOOK.add(CURRENT + "SELECT id, row_number() OVER (PARTITION BY project ORDER BY file, unit.start, id) AS stored, row_number() OVER (PARTITION BY project ORDER BY len(generators) DESC, file, unit.start, id) AS proposed, row_number() OVER (PARTITION BY project ORDER BY CASE WHEN auto.source = 'triage' THEN 2 WHEN human IS NULL OR \"needsRecheck\" THEN 0 ELSE 1 END, file, unit.start, id) AS review, row_number() OVER (PARTITION BY project ORDER BY CASE WHEN auto.source = 'typesafe' AND auto.label <> 'NOT_JEV' THEN 0 ELSE 1 END, auto.answers.judgment DESC NULLS LAST, file, unit.start, id) AS detected FROM e")
 def entry_orders(spark, sf_dir):
-    """The order in which entries are stored, proposed and reviewed, within a project."""
+    """The order in which entries are stored, proposed, reviewed and detected (validated first, then by score), within a project."""
     e = entries(spark, sf_dir, "file", "unit", "generators", "auto", "human", "needsRecheck")
     tail = [F.col("file"), F.col("unit.start"), F.col("id")]
     queue = F.when(F.col("auto.source") == "triage", 2).when(F.col("human").isNull() | F.coalesce("needsRecheck", F.lit(False)), 0).otherwise(1)
+    confirmed = F.when((F.col("auto.source") == "typesafe") & (F.col("auto.label") != "NOT_JEV"), 0).otherwise(1)
     n = lambda *o: F.row_number().over(W("project").orderBy(*o, *tail))
-    return e.select("id", n().alias("stored"), n(F.desc(F.size("generators"))).alias("proposed"), n(queue).alias("review"))
+    return e.select("id", n().alias("stored"), n(F.desc(F.size("generators"))).alias("proposed"), n(queue).alias("review"), n(confirmed, F.col("auto.answers.judgment").desc_nulls_last()).alias("detected"))
 
 
 @BOOK.add("WITH f AS (SELECT DISTINCT ON (lower(trim(id))) lower(trim(id)) AS id, status, average, verdict FROM findings) SELECT id, status, average FROM f ORDER BY list_position(['strong', 'possible', 'review', 'weak', 'not_opportunity'], status), average DESC NULLS LAST, id LIMIT 100")

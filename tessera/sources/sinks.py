@@ -5,10 +5,10 @@ from __future__ import annotations
 import json
 import time
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators.datasets import replace_keyed
+from tessera.operators.datasets import broken, replace_keyed
 
 
 class Refused(ValueError):
@@ -112,6 +112,13 @@ def save_run(old: dict[str, DataFrame], new: dict[str, DataFrame], keys: dict[st
     return out
 
 
+def insert_checked(rows: DataFrame, rules: dict[str, Column], root: str) -> None:
+    """Appends the rows that break no rule to `inserted` below a folder and the others, with `problems`, to `rejected`. Rows stored before are neither read nor changed."""
+    checked = rows.withColumn("problems", broken(rules))
+    checked.where(F.size("problems") == 0).drop("problems").write.mode("append").parquet(f"{root}/inserted")
+    checked.where(F.size("problems") > 0).write.mode("append").parquet(f"{root}/rejected")
+
+
 def markdown(rows: DataFrame, title: str, most: int = 500) -> str:
     """A report of a small, ordered table; it is cut to `most` rows, which is said."""
     head = rows.limit(most + 1).collect()

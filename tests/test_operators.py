@@ -279,6 +279,15 @@ def test_facts_of_odd_texts():
         assert fx.facts(odd)["lines"] == 1
 
 
+def test_guard_chains(spark):
+    from tessera.plans.extraction import exiting_runs
+
+    exits = {"a": [1, 1, 0, 1, 1, 1], "b": [1, 0, 1], "c": []}
+    rows = [(k, n, 10 + n, bool(x)) for k, xs in exits.items() for n, x in enumerate(xs)]
+    got = exiting_runs(spark.createDataFrame(rows, "id string, n int, line int, exits boolean")).collect()
+    assert sorted((r.id, r.start, r.end, r.length) for r in got) == [("a", 10, 11, 2), ("a", 13, 15, 3)]
+
+
 def test_suggestions(spark):
     code = ["function f(x) { return x > 3 && ok(x); }", UNITS[-1][0], "function f(x) { let s = 0; if (x.a > 1) { s += 2; } if (x.b > 2) { s += 3; } return s * 2; }", "function f(x) { go(x); }"]
     df = spark.createDataFrame([(i, c) for i, c in enumerate(code)], "i int, c string").select("i", fx.facts_of(F.col("c")).alias("f")).withColumn("g", fx.generators(F.col("f")))

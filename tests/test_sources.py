@@ -71,6 +71,14 @@ def test_gated_write(spark, tmp_path):
     assert spark.read.text(sinks.gated_path(spark, path)).count() == 1
 
 
+def test_insert_checked(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "ok"), (2, "too long"), (3, None)], "id int, s string")
+    for _ in range(2):
+        sinks.insert_checked(rows, {"long": F.length("s") > 3, "odd": F.col("id") == 2}, str(tmp_path / "t"))
+    assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "t/inserted")).collect()) == [1, 1, 3, 3]
+    assert [(r.id, r.problems) for r in spark.read.parquet(str(tmp_path / "t/rejected")).collect()] == [(2, ["long", "odd"])] * 2
+
+
 def test_snapshots(spark, tmp_path):
     root = str(tmp_path / "t")
     assert sinks.last(spark, root) is None
