@@ -310,6 +310,38 @@ def test_converse(spark):
     assert got[2].rounds == 3 and got[2].tokens == 180 and got[3].retries == 2 and got[3].error == "no"
 
 
+def test_converse_with_requests_tiers_and_pools(spark):
+    known = {"unit:a": "the unit a"}
+
+    def first(prompt, n):
+        if "flaky" in prompt:
+            raise RuntimeError("busy")
+        if "wants a" in prompt and "the unit a" not in prompt:
+            return {"answer": None, "more": "unit:a", "tokens": 1}
+        if "wants b" in prompt:
+            return {"answer": "guess", "more": "unit:b", "tokens": 1}
+        return {"answer": "first", "tokens": 1}
+
+    def second(prompt, n):
+        return {"answer": "second", "tokens": 2}
+
+    rows = spark.createDataFrame([(1, "wants a"), (2, "wants b"), (3, "flaky"), (4, "plain"), (5, None)], "id int, p string").coalesce(1)
+    got = {r.key: r for r in adaptive.converse(rows, "id", "p", [first, second], rounds=5, retries=1, resolve=known.get, workers=4).collect()}
+    assert [(got[i].answer, got[i].rounds, got[i].stopped) for i in range(1, 6)] == [("first", 2, "answered"), ("guess", 2, "unresolved"), ("second", 1, "answered"), ("first", 1, "answered"), (None, 0, "empty")]
+    assert got[3].retries == 1 and got[3].tokens == 2
+
+
+def test_converse_stops_after_a_fatal_failure(spark):
+    def client(prompt, n):
+        if prompt == "bad":
+            raise PermissionError("no such key")
+        return {"answer": prompt, "tokens": 1}
+
+    rows = spark.createDataFrame([(1, "a"), (2, "bad"), (3, "c"), (4, None)], "id int, p string").coalesce(1)
+    got = {r.key: (r.stopped, r.retries) for r in adaptive.converse(rows, "id", "p", client, fatal=lambda e: isinstance(e, PermissionError)).collect()}
+    assert got == {1: ("answered", 0), 2: ("error", 0), 3: ("skipped", 0), 4: ("empty", 0)}
+
+
 def test_loose_find(spark):
     df = spark.createDataFrame([("a\n  b = 1\nc", "b = 1"), ("a\n\tb = 1\n\tc = 2\nd", "  b = 1\n  c = 2"), ("x\nx", "x"), ("a", None)], "t string, w string")
     rows = [r.f for r in df.select(adaptive.loose_find(F.col("t"), F.col("w")).alias("f")).collect()]
