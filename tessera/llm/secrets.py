@@ -70,7 +70,8 @@ _STAND_IN = re.compile(
     r"(?i)^(?:(.)\1*|[x*.•#_-]+|<.*>|\[.*\]|\{.*\}|\(.*\)|none|null|nil|undefined|true|false|todo|tbd|changeme|example|dummy|sample|fake|masked|hidden|password\d{0,3}|passwd|secret\d{0,3}|token\d{0,3}|string|str|xxx.*|.*(?:redact|placeholder|example|\byour[-_ ]?|change[-_ ]?me|replace[-_ ]?me|insert[-_ ]|enter[-_ ]|[-_ ]here\b|xxxx|\*\*\*|\.\.\.|dummy|goes[-_]here).*)$"
 )
 _TEMPLATE = re.compile(r"\$\{|\{\{|\$\(|#\{|%\(|<[A-Za-z_]|^\$[A-Za-z_]|^%[A-Za-z_]+%$|\{[A-Za-z_][\w.]*\}|^%s$")
-_WORD = re.compile(r"[a-z]+|[A-Z]+|[A-Z][a-z]+|v?\d{1,2}")
+#: Parts of a name: words, versions and single digits; a longer number is none.
+_WORD = re.compile(r"[a-z]+|[A-Z]+|[A-Z][a-z]+|v\d{1,2}|\d")
 
 
 def named(name: str) -> str | None:

@@ -122,3 +122,8 @@ def test_tables(spark):
     clean = {r.rec_id: r for r in s.cleaned(df, "entries", "id", "code", "updatedAt").collect()}
     assert set(clean) == {"a1", "d"} and clean["a1"].redactions == 2 and clean["a1"].text.startswith("x\n")
     assert s.found(df.where("false"), "entries", "id", "code", "updatedAt").count() == 0
+
+
+@pytest.mark.parametrize("line,want", [('store.setPassword("river-stone-48");', [1]), ("GATE_SECRET=hollow-agent-72", [1]), ('const pwd = "quarter-broker-806"', [1]), ('const password = "step-2"', []), ('const passphrase = "member-order-v7"', []), ('cacheKey = "member-order-12"', [])])
+def test_words_with_a_number(line, want):
+    assert s.lines(line) == want
