@@ -22,25 +22,39 @@ def tokens(requests: DataFrame) -> DataFrame:
     return files.unionByName(kept.select("request", F.lit("name").alias("kind"), "token", strong.alias("strong")))
 
 
+def _found_by(symbols: DataFrame, files: DataFrame, k: int) -> DataFrame:
+    """Columns `way, key, id, points`: the k best ids of each key. Ways: `file` by a path's ends, `name` as written (names, their last parts and base names of files), `low` by last parts in any letter case."""
+    f, s = files.select("file").where("file is not null").distinct(), symbols.select("symbol").where("symbol is not null").distinct()
+    # few bytes, but a row for each character: left to its size, this would be one task; by the column itself Spark drops the exchange
+    f = f.repartition(int(f.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("file"))
+    row = lambda way, id_, points: (F.lit(way).alias("way"), "key", F.concat(F.lit(id_[0]), id_[1]).alias("id"), points.alias("points"))
+    file, symbol, outline = ("file:", "file"), ("symbol:", "symbol"), ("outline:", "file")
+    ends = f.select("file", F.explode(F.sequence(F.lit(1), F.length("file"))).alias("i")).select("file", F.expr("substring(file, i)").alias("key"))
+    base = f.select("file", F.regexp_replace(F.element_at(F.split("file", "/"), -1), r"\.[^.]+$", "").alias("key"))
+    last = F.element_at(F.split("symbol", r"\."), -1)
+    named = s.select("symbol", F.explode(F.array_distinct(F.array("symbol", last))).alias("key"))
+    lists = ends.select(*row("file", file, F.when(F.col("file") == F.col("key"), 10).otherwise(8)))
+    lists = lists.unionByName(named.select(*row("name", symbol, F.lit(7)))).unionByName(base.select(*row("name", outline, F.lit(3))))
+    lists = lists.unionByName(s.select("symbol", F.lower(last).alias("key")).select(*row("low", symbol, F.lit(4))))
+    return lists.withColumn("nth", F.row_number().over(Window.partitionBy("way", "key").orderBy(F.desc("points"), "id"))).where(F.col("nth") <= k).drop("nth")
+
+
 def search(requests: DataFrame, symbols: DataFrame, files: DataFrame, k: int) -> DataFrame:
     """Columns `request, rank, id, score`: the k best matches of each request among symbols (`symbol`) and files (`file`).
 
     A file named in full counts 10, by its end 8; a symbol by its name or the last part of it 7 (5 for a plain word), in
     other letter case 4 (2); a file by its name without ending 3. Each match is an equality: a path is matched by all of
     its ends. An id counts with its best score; ties by id. Null names are left out.
+
+    Each key brings its k best ids only, chosen before requests are joined: were one of a request's k best not among
+    those of the key that gives its best score, k others of that key would come before it. So nothing is lost, and a
+    name that many files share and many requests say costs k rows for each request, not one for each file.
     """
-    t = checkpoint(tokens(requests))
-    f, s = files.select("file").where("file is not null").distinct(), symbols.select("symbol").where("symbol is not null").distinct()
-    ends = f.select("file", F.explode(F.sequence(F.lit(1), F.length("file"))).alias("i")).select("file", F.expr("substring(file, i)").alias("token"))
-    by_path = t.where("kind = 'file'").join(ends, "token").select("request", F.concat(F.lit("file:"), "file").alias("id"), F.when(F.col("file") == F.col("token"), 10).otherwise(8).alias("score"))
-    last = F.element_at(F.split("symbol", r"\."), -1)
-    named = s.select("symbol", last.alias("last"), F.explode(F.array_distinct(F.array(F.lower("symbol"), F.lower(last)))).alias("low"))
-    names = t.where("kind = 'name'").withColumn("low", F.lower("token"))
-    exact, other = (F.col("token") == F.col("symbol")) | (F.col("token") == F.col("last")), F.col("low") == F.lower("last")
-    by_name = names.join(named, "low").select("request", F.concat(F.lit("symbol:"), "symbol").alias("id"), F.when(exact, F.when(F.col("strong"), 7).otherwise(5)).when(other, F.when(F.col("strong"), 4).otherwise(2)).alias("score")).where("score is not null")
-    base = f.select("file", F.regexp_replace(F.element_at(F.split("file", "/"), -1), r"\.[^.]+$", "").alias("token"))
-    by_base = names.join(base, "token").select("request", F.concat(F.lit("outline:"), "file").alias("id"), F.lit(3).alias("score"))
-    best = by_path.unionByName(by_name).unionByName(by_base).groupBy("request", "id").agg(F.max("score").alias("score"))
+    way = lambda name, key: F.struct(F.lit(name).alias("way"), key.alias("key"))
+    token, is_file = F.col("token"), F.col("kind") == "file"
+    t = tokens(requests).select("request", "strong", F.inline(F.when(is_file, F.array(way("file", token))).otherwise(F.array(way("name", token), way("low", F.lower(token))))))
+    score = F.when(F.col("strong") | (F.col("points") == 3), F.col("points")).otherwise(F.col("points") - 2)
+    best = t.join(_found_by(symbols, files, k), ["way", "key"]).groupBy("request", "id").agg(F.max(score).alias("score"))
     ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("request").orderBy(F.desc("score"), "id")))
     return ranked.where(F.col("rank") <= k).select("request", "rank", "id", "score")
 

@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -49,6 +50,64 @@ def test_search_scores(spark):
     }
 
 
+def search_one_by_one(asked, symbols, files, k):
+    out = []
+    for q in asked:
+        best, called = {}, re.findall(r"([A-Za-z_$][A-Za-z0-9_$]*)\s*\(", q)
+        add = lambda id_, score: best.update({id_: max(score, best.get(id_, 0))})  # noqa: E731, B023
+        for t in (re.sub(r"^\.?/", "", x) for x in re.findall(r"[\w@./-]+\.[A-Za-z]{1,5}\b", q)):
+            for f in files:
+                if f.endswith(t):
+                    add(f"file:{f}", 10 if f == t else 8)
+        for w in re.findall(r"[A-Za-z_$][A-Za-z0-9_$]*", q):
+            strong = bool(re.search(r"[a-z][A-Z]|_|[0-9]", w)) or w in called
+            if strong or w[0].isupper() or len(w) >= 5:
+                for s in symbols:
+                    last = s.split(".")[-1]
+                    if w in (s, last):
+                        add(f"symbol:{s}", 7 if strong else 5)
+                    elif w.lower() == last.lower():
+                        add(f"symbol:{s}", 4 if strong else 2)
+                for f in files:
+                    if re.sub(r"\.[^.]+$", "", f.split("/")[-1]) == w:
+                        add(f"outline:{f}", 3)
+        out += [(q, n, i, s) for n, (i, s) in enumerate(sorted(best.items(), key=lambda x: (-x[1], x[0]))[:k], 1)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("seed,k", [(1, 1), (2, 2), (3, 3), (4, 7)])
+def test_search_where_keys_share_ids(spark, seed, k):
+    rng = random.Random(seed)
+    words = ["index", "store", "Index", "loadAll", "LOADALL", "loadall", "run_2", "ab"]
+    files = ["/".join([*rng.choices(["src", "lib", "index", "a"], k=rng.randrange(3)), rng.choice(words) + rng.choice([".ts", ".py", ".d.ts", ""])]) for _ in range(60)]
+    symbols = [".".join(rng.choices([*words, "Runner"], k=rng.randrange(1, 4))) for _ in range(60)]
+    asked = [" ".join(rng.choices([*words, "loadAll()", "store()", "index.ts", "./src/index.ts", "x.py", "./.ts", *files[:9], *symbols[:9]], k=rng.randrange(1, 6))) for _ in range(80)]
+    one = lambda rows, name: spark.createDataFrame([(x,) for x in [*rows, None]], f"{name} string")
+    got = op.search(one(asked, "request"), one(symbols, "symbol"), one(files, "file"), k).collect()
+    assert sorted(map(tuple, got)) == search_one_by_one(sorted(set(asked)), sorted(set(symbols)), sorted(set(files)), k)
+
+
+def test_search_of_a_name_many_share(spark):
+    """Requests that all say a name which all files and symbols have: the joins give rows in proportion to the requests, not to requests times files."""
+    n, k = 400, 3
+    asked = spark.range(n).select(F.format_string("request %s: Load of index.ts, index", "id").alias("request"))
+    symbols, files = (spark.range(n).select(F.format_string(x, "id").alias(c)) for x, c in (("Store%s.load", "symbol"), ("d%03d/index.ts", "file")))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # the plan as it ran is then one tree
+    try:
+        df = op.search(asked, symbols, files, k)
+        got = df.collect()
+        nodes, made = [df._jdf.queryExecution().executedPlan()], []
+        while nodes:
+            node = nodes.pop()
+            if "Join" in node.nodeName():
+                made.append(node.metrics().apply("numOutputRows").value())
+            nodes += [node.children().apply(i) for i in range(node.children().size())]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sorted({(r["rank"], r.id, r.score) for r in got}) == [(1, "file:d000/index.ts", 8), (2, "file:d001/index.ts", 8), (3, "file:d002/index.ts", 8)] and len(got) == n * k
+    assert made and sum(made) <= 4 * k * n
+
+
 def test_answers_of_models(spark):
     raw = ['{"a": " x  y "}', '```json\n{"a": 1}\n```', 'Sure:\n{"a": ["p", 2, " q "]}\nBye', "{broken", "[1]", '"text"', "", None]
     df = spark.createDataFrame([(i, x) for i, x in enumerate(raw)], "i int, raw string").select("i", "raw", answers.parsed(F.col("raw")).alias("v"))
