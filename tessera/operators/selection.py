@@ -8,28 +8,38 @@ from pyspark.sql import functions as F
 from tessera.common import checkpoint
 
 _FILE, _IDENTIFIER = r"[\w@./-]+\.[A-Za-z]{1,5}\b", r"[A-Za-z_$][A-Za-z0-9_$]*"
+#: Hashes of file tokens, 8 bytes each, up to which they are broadcast.
+FEW = 1 << 20
 
 
 def tokens(requests: DataFrame) -> DataFrame:
-    """Columns `request, kind, token, strong`: the file and identifier tokens of each request. Strong ones look like code: in backquotes, called, in mixed case, with underscores or digits."""
-    r = requests.select("request").distinct()
+    """Columns `request, kind, token, strong`: the file and identifier tokens of requests, which are distinct. Strong ones look like code: in backquotes, called, in mixed case, with underscores or digits."""
+    r = requests.select("request")
     files = r.select("request", F.explode(F.array_distinct(F.regexp_extract_all("request", F.lit(_FILE), F.lit(0)))).alias("t")).select("request", F.lit("file").alias("kind"), F.regexp_replace("t", r"^\.?/", "").alias("token"), F.lit(True).alias("strong"))
     marked = F.concat(F.flatten(F.transform(F.regexp_extract_all("request", F.lit("`([^`]+)`"), F.lit(1)), lambda x: F.regexp_extract_all(x, F.lit(_IDENTIFIER), F.lit(0)))), F.regexp_extract_all("request", F.lit(rf"({_IDENTIFIER})\s*\("), F.lit(1)))
-    words = r.select("request", marked.alias("marked"), F.explode(F.array_distinct(F.regexp_extract_all("request", F.lit(_IDENTIFIER), F.lit(0)))).alias("token"))
+    # a step of its own: beside an explode it would be worked out for each word, and again in each condition
+    words = r.select("request", marked.alias("marked")).select("request", "marked", F.explode(F.array_distinct(F.regexp_extract_all("request", F.lit(_IDENTIFIER), F.lit(0)))).alias("token"))
     mixed = F.col("token").rlike(r"[a-z][A-Z]|_|\d")
     strong = F.array_contains("marked", F.col("token")) | mixed
     kept = words.where(strong | F.col("token").rlike("^[A-Z]") | (F.length("token") >= 5))
     return files.unionByName(kept.select("request", F.lit("name").alias("kind"), "token", strong.alias("strong")))
 
 
-def _found_by(symbols: DataFrame, files: DataFrame, k: int) -> DataFrame:
-    """Columns `way, key, id, points`: the k best ids of each key. Ways: `file` by a path's ends, `name` as written (names, their last parts and base names of files), `low` by last parts in any letter case."""
+def _found_by(symbols: DataFrame, files: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """Columns `way, key, id, points`: the k best ids of each key. Ways: `file` by a path's ends, `name` as written (names, their last parts and base names of files), `low` by last parts in any letter case.
+
+    A path has an end for each character. Up to `FEW` hashes in `asked`, a checkpointed table of the distinct ones of file
+    tokens, only the ends among these are kept; beyond that all are, as to move each to its hash would cost more than to rank it.
+    """
     f, s = files.select("file").where("file is not null").distinct(), symbols.select("symbol").where("symbol is not null").distinct()
+    few, spark = asked.count() <= FEW, f.sparkSession
     # few bytes, but a row for each character: left to its size, this would be one task; by the column itself Spark drops the exchange
-    f = f.repartition(int(f.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("file"))
+    f = f.repartition(2 * spark.sparkContext.defaultParallelism if few else int(spark.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("file"))
     row = lambda way, id_, points: (F.lit(way).alias("way"), "key", F.concat(F.lit(id_[0]), id_[1]).alias("id"), points.alias("points"))
     file, symbol, outline = ("file:", "file"), ("symbol:", "symbol"), ("outline:", "file")
     ends = f.select("file", F.explode(F.sequence(F.lit(1), F.length("file"))).alias("i")).select("file", F.expr("substring(file, i)").alias("key"))
+    if few:
+        ends = ends.withColumn("hash", F.xxhash64("key")).join(F.broadcast(asked), "hash", "left_semi")
     base = f.select("file", F.regexp_replace(F.element_at(F.split("file", "/"), -1), r"\.[^.]+$", "").alias("key"))
     last = F.element_at(F.split("symbol", r"\."), -1)
     named = s.select("symbol", F.explode(F.array_distinct(F.array("symbol", last))).alias("key"))
@@ -48,13 +58,18 @@ def search(requests: DataFrame, symbols: DataFrame, files: DataFrame, k: int) ->
 
     Each key brings its k best ids only, chosen before requests are joined: were one of a request's k best not among
     those of the key that gives its best score, k others of that key would come before it. So nothing is lost, and a
-    name that many files share and many requests say costs k rows for each request, not one for each file.
+    name that many files share and many requests say costs k rows for each request, not one for each file. Ends of paths
+    that no request says are dropped where they are made, before anything is sorted or moved, if there are few file tokens.
     """
+    r = checkpoint(requests.select("request").distinct())
     way = lambda name, key: F.struct(F.lit(name).alias("way"), key.alias("key"))
     token, is_file = F.col("token"), F.col("kind") == "file"
-    t = tokens(requests).select("request", "strong", F.inline(F.when(is_file, F.array(way("file", token))).otherwise(F.array(way("name", token), way("low", F.lower(token))))))
+    said = tokens(r)
+    asked = checkpoint(said.where(is_file).select(F.xxhash64("token").alias("hash")).distinct())
+    t = said.select("request", "strong", F.inline(F.when(is_file, F.array(way("file", token))).otherwise(F.array(way("name", token), way("low", F.lower(token))))))
     score = F.when(F.col("strong") | (F.col("points") == 3), F.col("points")).otherwise(F.col("points") - 2)
-    best = t.join(_found_by(symbols, files, k), ["way", "key"]).groupBy("request", "id").agg(F.max(score).alias("score"))
+    found = t.join(_found_by(symbols, files, asked, k), ["way", "key"]).repartition("request")  # serves both the best of an id and the ranks
+    best = found.groupBy("request", "id").agg(F.max(score).alias("score"))
     ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("request").orderBy(F.desc("score"), "id")))
     return ranked.where(F.col("rank") <= k).select("request", "rank", "id", "score")
 

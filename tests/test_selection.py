@@ -108,6 +108,30 @@ def test_search_of_a_name_many_share(spark):
     assert made and sum(made) <= 4 * k * n
 
 
+def test_search_moves_only_ends_that_are_asked_for(spark, monkeypatch):
+    """Paths have an end for each character: those that no request says aren't sorted and moved. With more file tokens than are broadcast, results are the same."""
+    n = 300
+    files = spark.range(n).select(F.format_string("packages/of/a/long/path/part%03d/index%s.ts", "id", F.col("id") % 7).alias("file"))
+    asked = spark.createDataFrame([("see part003/index3.ts",), ("see index5.ts",), ("see 012/index5.ts",), ("see ./packages/of/a/long/path/part001/index1.ts",), ("see .ts",)], "request string")
+    symbols = spark.createDataFrame([("Store.load",)], "symbol string")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # the plan as it ran is then one tree
+    try:
+        df = op.search(asked, symbols, files, 2)
+        got, nodes, moved = sorted(map(tuple, df.collect())), [df._jdf.queryExecution().executedPlan()], 0
+        while nodes:
+            node = nodes.pop()
+            if node.nodeName() == "Exchange":
+                moved += node.metrics().apply("shuffleRecordsWritten").value()
+            nodes += [node.children().apply(i) for i in range(node.children().size())]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    names = [f"packages/of/a/long/path/part{i:03}/index{i % 7}.ts" for i in range(n)]
+    assert got == search_one_by_one(sorted(r.request for r in asked.collect()), ["Store.load"], names, 2)
+    assert 0 < moved <= 8 * n
+    monkeypatch.setattr(op, "FEW", 0)
+    assert sorted(map(tuple, op.search(asked, symbols, files, 2).collect())) == got
+
+
 def test_answers_of_models(spark):
     raw = ['{"a": " x  y "}', '```json\n{"a": 1}\n```', 'Sure:\n{"a": ["p", 2, " q "]}\nBye', "{broken", "[1]", '"text"', "", None]
     df = spark.createDataFrame([(i, x) for i, x in enumerate(raw)], "i int, raw string").select("i", "raw", answers.parsed(F.col("raw")).alias("v"))
